@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from cairnworks.llm.leaks import leaked_items
 from cairnworks.llm.lookalikes import same_looking_pairs
+from cairnworks.llm.main_text import main_lines
 from cairnworks.llm.near_dups import near_duplicate_classes, near_duplicate_pairs
+from cairnworks.llm.pii import masked_fields, personal_mentions
+from cairnworks.llm.residue import residue_fields
 from cairnworks.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_fields(table(spark, sf_dir, "offers"), "url", "title", "raw_text", "source").withColumnRenamed("key", "url")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicate_pairs(_described(spark, sf_dir), "url", F.concat_ws(" ", "title", "description"), n=3, threshold=0.5)
     return pairs.select(F.col("key_a").alias("url_a"), F.col("key_b").alias("url_b"))
@@ -24,12 +31,24 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "offers").filter("description IS NOT NULL AND description <> ''")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_lines(table(spark, sf_dir, "offers"), "url", "title", "raw_text", "source").select(F.col("key").alias("url"), "line_no")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "offers"), "url", ["title", "description"]).select(
         F.col("key_a").alias("url_a"), F.col("key_b").alias("url_b"), "field_name"
     )
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_mentions(table(spark, sf_dir, "offers"), "url", ["description", "raw_text"]).withColumnRenamed("key", "url")
+
+
+def p7_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_fields(table(spark, sf_dir, "offers"), "url", ["description", "raw_text"]).withColumnRenamed("key", "url")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).filter("edits = 0").select("doc_id", "item_id")
 
@@ -40,6 +59,6 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if(F.col("edits") == 0).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p6_found, p8_found, p8_leaks)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_classes, p5_found, p6_found, p7_found, p7_masked, p8_found, p8_leaks)}
 
 SQL: dict[str, str] = {}
