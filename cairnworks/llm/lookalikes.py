@@ -11,30 +11,34 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.textforms import canonical, respaced
 
 
-@F.pandas_udf("form string, plain string")
-def text_forms(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"form": [canonical(t) for t in texts], "plain": [None if t is None else respaced(t) for t in texts]})
+def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        forms = [canonical(t) for t in batch.column(2).to_pylist()]
+        keep = pa.array([bool(f) for f in forms], pa.bool_())
+        batch = batch.filter(keep)
+        classes = pa.array([xxhash.xxh128_digest(f) for f in forms if f], pa.binary())
+        variants = pa.array([xxhash.xxh128_digest(respaced(t)) for t in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), classes, variants], names=["key", "field_name", "class", "variant"])
 
 
 def same_looking_pairs(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key_a, key_b, field_name), key_a < key_b."""
     long = rows.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
     forms = (
-        long.select("key", "x.field_name", "x.text")
-        .filter("key IS NOT NULL AND text IS NOT NULL AND text <> ''")
-        .withColumn("f", text_forms("text"))
-        .filter("f.form <> ''")
-        .select("key", "field_name", F.xxhash64("f.form").alias("c1"), F.xxhash64(F.lit("second"), "f.form").alias("c2"), F.xxhash64("f.plain").alias("variant"))
-        .distinct()
+        long.select("key", "x.field_name", "x.text").filter("key IS NOT NULL AND text IS NOT NULL AND text <> ''")
+        .mapInArrow(_form_batches, "key string, field_name string, class binary, variant binary").distinct()
     )
-    of_class = ["field_name", "c1", "c2"]
+    of_class = ["field_name", "class"]
     mixed = forms.groupBy(*of_class).agg(F.min("variant").alias("lo"), F.max("variant").alias("hi")).filter("lo <> hi").select(*of_class)
     inside = forms.join(mixed, of_class, "left_semi")
     a = inside.select(*of_class, F.col("key").alias("key_a"), F.col("variant").alias("va"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from cairnworks.llm.leaks import leaked_items
 from cairnworks.llm.lookalikes import same_looking_pairs
 from cairnworks.llm.main_text import main_lines
+from cairnworks.llm.mixing import reached_shares, training_order
 from cairnworks.llm.near_dups import near_duplicate_classes, near_duplicate_pairs
 from cairnworks.llm.pii import masked_fields, personal_mentions
+from cairnworks.llm.reading import reading_levels
 from cairnworks.llm.residue import residue_fields
 from cairnworks.runtime import table
 
@@ -59,6 +61,18 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if(F.col("edits") == 0).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_classes, p5_found, p6_found, p7_found, p7_masked, p8_found, p8_leaks)}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_classes, p5_found, p6_found, p7_found, p7_masked, p8_found, p8_leaks, p9_mix, p9_shares, p10_found)}
 
 SQL: dict[str, str] = {}
