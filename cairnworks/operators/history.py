@@ -67,7 +67,7 @@ def scd2_merge(observations: DataFrame, *, key: str, attributes: Column, at_us:
     """
     rows = observations.select(F.col(key).alias("key"), at_us.alias("at_us"), tie.alias("tie"), F.xxhash64(attributes).alias("digest"))
     if current is not None:
-        rows = rows.unionByName(current.select("key", F.col("valid_from_us").alias("at_us"), F.lit(-1).cast("long").alias("tie"), "digest"))
+        rows = rows.unionByName(current.select("key", F.col("valid_from_us").alias("at_us"), (F.col("version_no") - F.lit(1 << 40)).alias("tie"), "digest"))
     heads, blocks = _versions(_blocked(rows.filter("key IS NOT NULL AND at_us IS NOT NULL")))
     if entities is None:
         blocks = blocks.withColumns({"opened_us": F.lit(None).cast("long"), "closed_us": F.lit(None).cast("long")})
