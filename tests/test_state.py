@@ -34,7 +34,7 @@ def test_last_and_first_wins(spark):
 
 
 def test_defaults_migrate_additively(spark):
-    df = S.with_defaults(spark.createDataFrame([("u", None)], "url string, source string"), {"source": F.lit("cnrs"), "flags": F.lit("[]")})
+    df = S.with_defaults(spark.createDataFrame([("u", None)], "url string, source string"), {"source": F.lit("portal"), "flags": F.lit("[]")})
     assert tuple(df.first()) == ("u", None, "[]")
 
 
