@@ -7,10 +7,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cairnworks.plans import listing, snapshots
+from cairnworks.plans import extraction, listing, snapshots
 
-QUERIES = {**snapshots.QUERIES, **listing.QUERIES}
-SQL = {**snapshots.SQL, **listing.SQL}
+QUERIES = {**snapshots.QUERIES, **listing.QUERIES, **extraction.QUERIES}
+SQL = {**snapshots.SQL, **listing.SQL, **extraction.SQL}
 
 
 def plain(v):
