@@ -1,17 +1,21 @@
 """Near-duplicate records: a MinHash LSH forest with adaptively shortened prefixes, then an exact check.
 
-A text is the set of its sequences of n consecutive words, each a 64-bit digest. Rows with equal sets are
-one class; the forest holds one representative of each. Every tree orders the representatives by the string
-of their min-hashes; two of them meet in a tree at depth d when the first d min-hashes agree. The search
-begins at the deepest prefixes. From the similarities of the pairs verified so far, each weighted by the
-inverse of its chance to be found, the recall at every shorter prefix is estimated, and the prefixes are
-shortened to the longest that reaches the target. Candidates pass a size test and a 512-bit sketch test
-whose threshold lies 4.5 standard deviations below the wanted similarity, and are then compared exactly.
-
-Defined cases: rows with a null key, or with a null or empty required field, never take part; a text of fewer
-than n words is one sequence; a text without words takes no part; equal texts are pairs; repeated rows of a
-key give no pair of the key with itself; an empty table gives no rows; other columns are ignored; texts are
-read whole, however long.
+A text is the set of its sequences of n consecutive words. Rows with the same text are one class; the forest
+holds one representative of each. Every tree orders the representatives by the string of their min-hashes,
+kept as one byte each; two of them meet in a tree at depth d when the first d bytes agree. A pilot over some
+trees begins at the deepest prefixes. From the similarities of the pairs it verifies, each weighted by the
+inverse of its chance to be found, the recall of the whole forest at every shorter prefix is estimated, and
+the prefixes are shortened to the longest that reaches the target. Candidates pass two sketch tests, of the
+lowest bits of the min-hashes, whose thresholds lie 4.5 standard deviations below the wanted similarity, and
+are then compared word by word.
+
+Signatures are computed in one pass over the texts; prefixes, candidates and sketch tests stay in the JVM,
+and only pairs that passed both tests meet their texts again.
+
+Defined cases: rows with a null key or a null text never take part; a text of fewer than n words is one
+sequence; a text without words takes no part; equal texts are pairs; repeated rows of a key give no pair of
+the key with itself; an empty table gives no rows; other columns are ignored; texts are read whole, however
+long.
 """
 
 from __future__ import annotations
@@ -28,15 +32,16 @@ from pyspark.sql import functions as F
 from cairnworks.llm.textforms import canonical, words
 from cairnworks.runtime import cut
 
-TREES, DEEPEST, SKETCH_BITS = 256, 8, 512
+TREES, DEEPEST, PILOT_TREES = 96, 6, 16
+FIRST_BITS = 256  # of the TREES * DEEPEST sketch bits, tested first
 TARGET_RECALL = 0.9995
 
 
 @lru_cache(maxsize=1)
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20240607)
-    a = draw.integers(0, 1 << 63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, draw.integers(0, 1 << 63, TREES * DEEPEST, dtype=np.uint64)
+    count = TREES * DEEPEST
+    return draw.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), draw.integers(0, 1 << 32, count, dtype=np.uint32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,147 +71,136 @@ class Shingler:
         return np.unique(total)
 
 
-def min_hashes(shingles: np.ndarray, count: int) -> np.ndarray:
-    a, b = (x[:count] for x in _functions())
-    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 128):
-        np.minimum(least, (shingles[i : i + 128, None] * a + b).min(0), out=least)
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """TREES * DEEPEST min-hashes; those of tree t stand at t * DEEPEST."""
+    a, b = _functions()
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(x), 64):
+        np.minimum(least, (x[i : i + 64, None] * a + b).min(0), out=least)
     return least
 
 
-def prefixes(shingles: np.ndarray, depth: int) -> np.ndarray:
-    """The digest of each tree's first `depth` min-hashes."""
-    m = min_hashes(shingles, TREES * depth).reshape(depth, TREES)
-    h = np.arange(1, TREES + 1, dtype=np.uint64)
-    for row in m:
-        h = _mixed(h ^ row) * np.uint64(0x9E3779B97F4A7C15)
-    return h
+def signature(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A byte of each min-hash, and the sketch of one other bit of each as longs."""
+    m = min_hashes(shingles)
+    mixed = m * np.uint32(0x9E3779B1)
+    return (mixed >> np.uint32(24)).astype(np.uint8).tobytes(), np.packbits((m >> np.uint32(7)).astype(np.uint8) & 1).view(np.int64)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    bits = (min_hashes(shingles, SKETCH_BITS) >> np.uint64(13)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.concatenate(parts).astype(np.uint64).view(np.int64) if parts else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
-def _shingle_batches(n: int):
+def _signature_batches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(n)
         for batch in batches:
             sets = [of(t) for t in batch.column(1).to_pylist()]
             keep = [i for i, s in enumerate(sets) if len(s)]
-            sets = [sets[i] for i in keep]
-            digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(digests, pa.binary()), _lists(sets)], names=["key", "class", "shingles"])
+            signed = [signature(sets[i]) for i in keep]
+            width = TREES * DEEPEST // 64
+            flat = np.concatenate([s for _, s in signed]) if signed else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(sets[i]) for i in keep], pa.int32()), pa.array([b for b, _ in signed], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * width), pa.array(flat)),
+                ],
+                names=["key", "n", "bytes", "sketch"],
+            )
 
     return run
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = _numpy_lists(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([sketch(s).view(np.uint64) for s in sets])], names=["id", "shingles", "sketch"])
-
-
-def _numpy_lists(column: pa.ListArray) -> list[np.ndarray]:
-    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-    return np.split(flat, ends[:-1]) if len(ends) else []
-
-
-def _prefix_batches(depth: int):
+def _compare_batches(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(maxsize=2000)(Shingler(n))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = _numpy_lists(part.column(1))
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), TREES)
-                sizes = np.repeat(np.array([len(s) for s in sets], np.int32), TREES)
-                spots = np.concatenate([prefixes(s, depth) for s in sets]).view(np.int64) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(ids), pa.array(sizes)], names=["spot", "id", "n"])
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = of(x), of(y)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                near.append(common / max(len(p) + len(q) - common, 1))
+            keep = pa.array(np.array(near) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(near, pa.float64()).filter(keep)], names=["a", "b", "jaccard"])
 
     return run
 
 
-def _verified(reps: DataFrame, depth: int, threshold: float) -> DataFrame:
+def _least_agreeing(bits: int, threshold: float) -> float:
+    """Sketch bits that agree for all but one in 300,000 pairs of this similarity."""
+    p = (1 + threshold) / 2
+    return bits * p - 4.5 * (bits * p * (1 - p)) ** 0.5
+
+
+def _verified(reps: DataFrame, texts: DataFrame, depth: int, trees: int, n: int, threshold: float) -> DataFrame:
     """(a, b, jaccard) of representatives that meet in a tree at this depth and are at least that similar."""
-    forest = reps.select("id", "shingles").mapInArrow(_prefix_batches(depth), "spot long, id long, n int")
-    x = forest.select("spot", F.col("id").alias("a"), F.col("n").alias("na"))
-    y = forest.select("spot", F.col("id").alias("b"), F.col("n").alias("nb"))
+    spots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.hash(t, F.substring("bytes", t * DEEPEST + 1, depth)))
+    forest = reps.select("id", F.explode(spots).alias("spot"))
+    candidates = forest.select("spot", F.col("id").alias("a")).join(forest.select("spot", F.col("id").alias("b")), "spot").filter("a < b").select("a", "b").distinct()
+    first, longs = FIRST_BITS // 64, TREES * DEEPEST // 64
+
+    def differing(x: str, y: str, size: int):
+        return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(size)), F.lit(0))
+
+    head = reps.select("id", "n", F.slice("sketch", 1, first).alias("s"))
+    tail = reps.select("id", "key", F.slice("sketch", first + 1, longs - first).alias("s"))
     near = (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))
-    candidates = x.join(y, "spot").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    at_least = SKETCH_BITS * (1 + threshold) / 2 - 4.5 * (SKETCH_BITS * (1 + threshold) * (1 - threshold)) ** 0.5 / 2
-    alike = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    sketches = reps.select("id", "sketch")
     passed = (
-        candidates.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        .filter(SKETCH_BITS - alike >= at_least)
-        .select("a", "b")
-    )
-    sets = reps.select("id", "shingles")
-    both = F.size(F.array_intersect("ha", "hb"))
-    return (
-        passed.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("ha")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("hb")), "b")
-        .select("a", "b", both.alias("i"), (F.size("ha") + F.size("hb")).alias("s"))
-        .select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("jaccard"))
-        .filter(F.col("jaccard") >= threshold)
+        candidates.join(head.toDF("a", "na", "sa"), "a").join(head.toDF("b", "nb", "sb"), "b")
+        .filter(near & (FIRST_BITS - differing("sa", "sb", first) >= _least_agreeing(FIRST_BITS, threshold)))
+        .select("a", "b", differing("sa", "sb", first).alias("off"))
+        .join(tail.toDF("a", "ka", "ta"), "a").join(tail.toDF("b", "kb", "tb"), "b")
+        .filter(longs * 64 - F.col("off") - differing("ta", "tb", longs - first) >= _least_agreeing(longs * 64, threshold))
+        .select("a", "b", "ka", "kb")
     )
+    held = passed.join(texts.toDF("ka", "xa"), "ka").join(texts.toDF("kb", "xb"), "kb").select("a", "b", "xa", "xb")
+    return held.mapInArrow(_compare_batches(n, threshold), "a long, b long, jaccard double")
 
 
-def chance(similarity: float, depth: int) -> float:
+def chance(similarity: float, depth: int, trees: int) -> float:
     """Of a pair to meet in at least one tree."""
-    return 1 - (1 - similarity**depth) ** TREES
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def _shortened(found: DataFrame, depth: int, target: float, threshold: float) -> int:
-    """The longest prefix, this one at most, whose estimated recall reaches the target."""
+def _shortened(found: DataFrame, target: float, threshold: float) -> int:
+    """The longest prefix at which the whole forest is estimated to find the target share, from the pilot's pairs."""
     bins = [(r["s"] / 100 + 0.005, r["count"]) for r in found.groupBy(F.floor(F.least(F.col("jaccard"), F.lit(0.99)) * 100).alias("s")).count().collect()]
-    weights = [(s, n / max(chance(s, depth), 1e-3)) for s, n in bins] or [(threshold, 1.0)]
+    weights = [(s, n / chance(s, DEEPEST, PILOT_TREES)) for s, n in bins] or [(threshold, 1.0)]
     total = sum(w for _, w in weights)
-    for d in range(depth, 0, -1):
-        if sum(w * chance(s, d) for s, w in weights) >= target * total:
-            return d
-    return 1
+    return next((d for d in range(DEEPEST, 0, -1) if sum(w * chance(s, d, TREES) for s, w in weights) >= target * total), 1)
 
 
-def near_duplicates(rows: DataFrame, key: str, text: Column, *, n: int = 5, threshold: float = 0.8, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
-    """Membership (key, id), and links (a, b, jaccard) between the ids of different classes."""
+def near_duplicates(rows: DataFrame, key: str, text: Column, *, n: int = 5, threshold: float = 0.8, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership (key, class); representatives (class, id); links (a, b, jaccard) between their ids."""
     texts = rows.select(F.col(key).alias("key"), text.alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
-    shingled = cut(texts.mapInArrow(_shingle_batches(n), "key string, class binary, shingles array<long>"))
-    members = shingled.select("key", F.xxhash64("class").alias("id")).distinct()
-    reps = cut(shingled.select(F.xxhash64("class").alias("id"), "shingles").dropDuplicates(["id"]).mapInArrow(_sketch_batches, "id long, shingles array<long>, sketch array<long>"))
-    depth = DEEPEST
-    found = cut(_verified(reps, depth, threshold))
-    while (shorter := _shortened(found, depth, target, threshold)) < depth:
-        depth = shorter
-        found = cut(_verified(reps, depth, threshold))
-    return members, found
+    of_class = F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit("second"), "text")))
+    members = texts.select("key", of_class.alias("class")).distinct()
+    leaders = texts.groupBy(of_class.alias("class")).agg(F.min(F.struct("key", "text")).alias("x")).select("class", "x.key", "x.text")
+    signed = leaders.select("key", "text").mapInArrow(_signature_batches(n), "key string, n int, bytes binary, sketch array<long>")
+    reps = cut(signed.withColumn("id", F.monotonically_increasing_id()))
+    one_text = leaders.select("key", "text")
+    depth = _shortened(cut(_verified(reps, one_text, DEEPEST, PILOT_TREES, n, threshold)), target, threshold)
+    links = cut(_verified(reps, one_text, depth, TREES, n, threshold))
+    return members, reps.select("key", "id").join(leaders.select("key", "class"), "key").select("class", "id"), links
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str, text: Column, **settings) -> DataFrame:
     """(key_a, key_b), key_a < key_b, of all rows that are near-duplicates, copies included."""
-    members, links = near_duplicates(rows, key, text, **settings)
-    a = members.select(F.col("key").alias("ka"), F.col("id").alias("a"))
-    b = members.select(F.col("key").alias("kb"), F.col("id").alias("b"))
-    across = links.select("a", "b").join(a, "a").join(b, "b").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
-    copied = members.groupBy("id").count().filter("count > 1").select("id")
-    copies = members.join(copied, "id", "left_semi")
-    within = (
-        copies.select(F.col("key").alias("key_a"), "id").join(copies.select(F.col("key").alias("key_b"), "id"), "id").filter("key_a < key_b").select("key_a", "key_b")
+    members, reps, links = near_duplicates(rows, key, text, **settings)
+    holders = members.join(reps, "class").select("key", "id")
+    across = (
+        links.select("a", "b").join(holders.toDF("ka", "a"), "a").join(holders.toDF("kb", "b"), "b")
+        .select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
     )
+    copied = holders.groupBy("id").count().filter("count > 1").select("id")
+    copies = holders.join(copied, "id", "left_semi").select("key", "id")
+    within = copies.toDF("key_a", "id").join(copies.toDF("key_b", "id"), "id").filter("key_a < key_b").select("key_a", "key_b")
     return across.unionByName(within).filter("key_a <> key_b").distinct()
 
 
 def near_duplicate_classes(rows: DataFrame, key: str, text: Column, **settings) -> DataFrame:
     """One row per record: (key, class_id, copies, links), links being those of its class to other classes."""
-    members, links = near_duplicates(rows, key, text, **settings)
+    members, reps, links = near_duplicates(rows, key, text, **settings)
     both = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("id").agg(F.count("*").alias("copies"))
-    return members.join(sizes, "id").join(both, "id", "left").select("key", F.col("id").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    sizes = members.groupBy("class").agg(F.count("*").alias("copies"))
+    return (
+        members.join(sizes, "class").join(reps, "class").join(both, "id", "left")
+        .select("key", F.col("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    )
