@@ -35,7 +35,8 @@ MIN_SHARE = 1e-4  # of all pages that a recurring line must be on, and at least
 MIN_PAGES = 3
 HEAD_SHARE = 0.1
 BARE_SHARE = 0.8
-STATISTICS = "digest long, head int, bare int, source string"
+BARE_TITLES, BARE_TITLE_SHARE = 5, 0.6
+STATISTICS = "title boolean, digest long, head int, bare int, source string"
 
 _MASKS = [
     (re.compile(r"\S+@\S+"), "@"),
@@ -97,6 +98,7 @@ class Lexicon:
 
     furniture: set[int] = field(default_factory=set)
     messages: set[int] = field(default_factory=set)
+    titles: set[int] = field(default_factory=set)  # that recur on bare pages
     openings: set[str] = field(default_factory=set)
 
 
@@ -108,55 +110,72 @@ class Page:
     structured: bool
 
 
+FACT, SECTION, CONTACT, LIST, TRAIL, FURNITURE_PHRASE = 1, 2, 4, 8, 16, 32
+
+
+def _traits(rough: str) -> tuple[str, int]:
+    """A line in canonical form, and what its wording alone says."""
+    line = canonical(rough)
+    traits = FACT if _FACT.match(line) else 0
+    if line and len(line) <= LONGEST:
+        low = line.casefold()
+        if low in SECTIONS:
+            traits |= SECTION | (CONTACT if low in ("contact", "contacts") else 0)
+        if LISTS.match(line):
+            traits |= LIST
+        if _TRAIL.match(line):
+            traits |= TRAIL
+        if FURNITURE.search(line):
+            traits |= FURNITURE_PHRASE
+    return line, traits
+
+
+_short_traits = lru_cache(maxsize=200_000)(_traits)
+
+
 def read_page(title: str | None, raw: str, lexicon: Lexicon | None = None) -> Page:
     rough = raw.split("\n")
-    lines = [canonical(x) for x in rough]
+    lines, traits = zip(*(_short_traits(x) if len(x) <= LONGEST else _traits(x) for x in rough))
     own = canonical(title or "")
     heading = next((i for i, x in enumerate(lines) if x and x == own), None)
-    facts = [bool(_FACT.match(x)) for x in lines]
     if heading is None:
-        first = next((i for i, x in enumerate(lines) if facts[i] or (x.casefold() in SECTIONS and x.casefold() not in ("contact", "contacts"))), None)
+        first = next((i for i, t in enumerate(traits) if t & FACT or t & (SECTION | CONTACT) == SECTION), None)
         if first is not None:
-            heading = next((i for i in range(first - 1, -1, -1) if lines[i] and not _is_furniture(lines[i], rough[i], lexicon) and not _TRAIL.match(lines[i])), first)
+            heading = next((i for i in range(first - 1, -1, -1) if lines[i] and not traits[i] & TRAIL and not _is_furniture(lines[i], rough[i], traits[i], lexicon)), first)
     kinds = []
     in_list = False
-    for i, x in enumerate(lines):
+    for i, (x, t) in enumerate(zip(lines, traits)):
         if not x:
             kinds.append("blank")
         elif heading is not None and i < heading:
             kinds.append("head")
         elif i == heading:
             kinds.append("heading")
-        elif LISTS.match(x):
+        elif t & LIST:
             kinds.append("list")
             in_list = True
-        elif facts[i]:
+        elif t & FACT:
             kinds.append("fact")
             in_list = False
-        elif x.casefold() in SECTIONS and (heading is not None or x.casefold() not in ("contact", "contacts")):
+        elif t & SECTION and (heading is not None or not t & CONTACT):
             kinds.append("section")
             in_list = False
-        elif _is_furniture(x, rough[i], lexicon):
+        elif _is_furniture(x, rough[i], t, lexicon):
             kinds.append("furniture")
-        elif _TRAIL.match(x) and (heading is None or len(x) < 40):
+        elif t & TRAIL and (heading is None or len(x) < 40):
             kinds.append("trail")
         elif in_list and _is_item(x, lexicon):
             kinds.append("list")
         else:
             kinds.append("text")
             in_list = False
-    return Page(lines, kinds, heading, any(facts) or "section" in kinds)
-
+    return Page(list(lines), kinds, heading, any(t & FACT for t in traits) or "section" in kinds)
 
-@lru_cache(maxsize=100_000)
-def _furniture_phrase(line: str) -> bool:
-    return bool(FURNITURE.search(line))
 
-
-def _is_furniture(line: str, raw: str, lexicon: Lexicon | None) -> bool:
+def _is_furniture(line: str, raw: str, traits: int, lexicon: Lexicon | None) -> bool:
     if len(line) > LONGEST:
         return False
-    if _furniture_phrase(line):
+    if traits & FURNITURE_PHRASE:
         return True
     if lexicon is None:
         return False
@@ -205,25 +224,21 @@ def density(node: Node, body: Node) -> float:
 
 def body_lines(page: Page) -> list[int]:
     """Indices of the lines of the record itself."""
-    def leaf(i: int) -> tuple[int, int, bool]:
-        return i, len(page.lines[i]), page.kinds[i] in ("head", "furniture", "list", "trail")
-
-    present = [i for i, k in enumerate(page.kinds) if k != "blank"]
-    head = Node.of([leaf(i) for i in present if page.kinds[i] == "head"])
-    groups: list[list[int]] = []
+    kinds = page.kinds
+    sizes = [(i, len(page.lines[i]), k in ("head", "furniture", "list", "trail")) for i, k in enumerate(kinds) if k != "blank"]
+    groups: list[list[tuple[int, int, bool]]] = []
     was = None
-    for i in present:
-        if page.kinds[i] == "head":
+    for x in sizes:
+        if kinds[x[0]] == "head":
             continue
-        kind = "link" if leaf(i)[2] else "own"
-        if kind != was or page.kinds[i] == "section":
+        if x[2] != was or kinds[x[0]] == "section":
             groups.append([])
-        groups[-1].append(i)
-        was = kind
-    main = Node.of([], [Node.of([leaf(i) for i in g]) for g in groups])
+        groups[-1].append(x)
+        was = x[2]
+    head = Node.of([], [Node.of([x for x in sizes if kinds[x[0]] == "head"])])
+    main = Node.of([], [Node.of(g) for g in groups])
     root = Node.of([], [head, main])
-    sums = {id(n): sum(density(Node.of([leaf(i)]), root) for i in n.leaves) + sum(density(c, root) for c in n.children) for n in (root, head, main)}
-    best = max((head, main), key=lambda n: sums[id(n)])
+    best = max((head, main), key=lambda n: sum(density(c, root) for c in n.children))
     if best is head and page.structured:
         best = main
     least = min(density(best, root), density(root, root))
@@ -235,7 +250,7 @@ def body_lines(page: Page) -> list[int]:
 
 def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple[int, int, int, str]] = []
+        rows: list[tuple[bool, int, int, int, str]] = []
         for title, raw, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
             page, own = read_page(title, raw), canonical(title or "")
             bare = int(not page.structured)
@@ -244,9 +259,12 @@ def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 if x and len(x) <= LONGEST and page.kinds[i] not in ("fact", "section", "heading", "list"):
                     d = line_digest(x)
                     seen[d] = max(seen.get(d, 0), int(page.kinds[i] == "head" and x != own))
-            rows += [(d, head, bare, source) for d, head in seen.items()]
-        cols = list(zip(*rows)) if rows else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["digest", "head", "bare", "source"])
+            rows += [(False, d, head, bare, source) for d, head in seen.items()]
+            if title and title.strip():
+                rows.append((True, line_digest(title), 0, bare, source))
+        cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
+        types = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["title", "digest", "head", "bare", "source"])
 
 
 def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str) -> Lexicon:
@@ -256,11 +274,16 @@ def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str) -> Lexi
     least = max(MIN_PAGES, math.ceil(MIN_SHARE * total))
     lines = (
         texts.mapInArrow(_statistics_batches, STATISTICS)
-        .groupBy("digest")
+        .groupBy("title", "digest")
         .agg(F.count("*").alias("pages"), F.sum("head").alias("head"), F.sum("bare").alias("bare"), F.min("source").alias("s1"), F.max("source").alias("s2"))
         .filter(F.col("pages") >= least)
-        .select("digest", (F.col("head") >= HEAD_SHARE * F.col("pages")).alias("furniture"), ((F.col("bare") >= BARE_SHARE * F.col("pages")) & (F.col("s1") != F.col("s2"))).alias("message"))
-        .filter("furniture OR message")
+        .withColumns({
+            "furniture": ~F.col("title") & (F.col("head") >= HEAD_SHARE * F.col("pages")),
+            "message": ~F.col("title") & (F.col("bare") >= BARE_SHARE * F.col("pages")) & (F.col("s1") != F.col("s2")),
+            "bare_title": F.col("title") & (F.col("pages") >= BARE_TITLES) & (F.col("bare") >= BARE_TITLE_SHARE * F.col("pages")) & (F.col("s1") != F.col("s2")),
+        })
+        .select("digest", "furniture", "message", "bare_title")
+        .filter("furniture OR message OR bare_title")
         .collect()
     )
     words_of = F.split(F.lower(F.trim("title")), r"\s+")
@@ -269,4 +292,5 @@ def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str) -> Lexi
         .groupBy("opening").count().filter(F.col("count") >= max(MIN_PAGES, math.ceil(1e-3 * total))).select("opening").collect()
     )
     furniture = {r["digest"] for r in lines if r["furniture"]}
-    return Lexicon(furniture, {r["digest"] for r in lines if r["message"]} - furniture, {r["opening"] for r in openings})
+    messages = {r["digest"] for r in lines if r["message"]} - furniture
+    return Lexicon(furniture, messages, {r["digest"] for r in lines if r["bare_title"]}, {r["opening"] for r in openings})

@@ -25,15 +25,15 @@ _FIELD = r"[A-Za-zÀ-ÿ]\w*(?:[._-]\w+)+"  # a name of parts: nom_labo, offer.lo
 _CAPS = r"[A-ZÀ-Ý]{2,}(?:[_. ][A-ZÀ-Ý]+)*"
 PLACEHOLDERS = re.compile(
     rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|\$\{{[^{{}}\n]{{1,60}}\}}|#\{{[^{{}}\n]{{1,60}}\}}|\{{%[^%\n]{{1,60}}%\}}|<%[^%\n]{{1,60}}%>|\[\[[^\[\]\n]{{1,60}}\]\]|##[^#\n]{{1,60}}##|@@[^@\n]{{1,60}}@@"
-    rf"|\{{(?:{_FIELD}|{_CAPS}|[a-zà-ÿ]{{3,}})\}}|\[(?:{_FIELD}|[A-ZÀ-Ý]{{4,}}(?:[_ ][A-ZÀ-Ý]+)*)\]|<(?:{_FIELD}|[A-ZÀ-Ý]{{4,}}(?:[_ ][A-ZÀ-Ý]+)*|employeur|employer)>"
+    rf"|\{{(?:{_FIELD}|{_CAPS}|[a-zà-ÿ]{{3,}})\}}|\[(?:{_FIELD}|[A-ZÀ-Ý]{{4,}}(?:[_ ][A-ZÀ-Ý]+)*|employeur|employer)\]|<(?:{_FIELD}|[A-ZÀ-Ý]{{4,}}(?:[_ ][A-ZÀ-Ý]+)*|employeur|employer)>"
     rf"|(?<![\w%])%(?:{_FIELD}|[A-ZÀ-Ý]{{3,}}(?:[_ ][A-ZÀ-Ý]+)*|[a-zà-ÿ]{{4,}})%|(?<!\w)__[A-Za-zÀ-ÿ][\w. À-ÿ]*?__(?!\w)|(?<![\w$])\$(?:{_FIELD}|[A-ZÀ-Ý]{{3,}}(?:[_ ][A-ZÀ-Ý]+)*|[a-z]{{4,}})\b"
-    r"|\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|#DIV/0!|(?<!\w)X{4,}(?!\w)|\.{5,}\s*\(|[(<\[{]\s*(?:à|a) (?:compléter|completer|préciser|preciser|renseigner|définir|remplir)[^)>\]}\n]{0,60}[)>\]}]"
+    r"|\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|#DIV/0!|(?<!\w)X{4,}(?!\w)|\.{5,}\s*\(|[(<\[{%$#_]\s*(?i:[àa] (?:compléter|completer|préciser|preciser|renseigner|définir|remplir))\b"
     r"|\((?:compléter|completer|to be completed|to complete)\)|\[(?:insert|insérer|insérez)[^\]\n]{0,60}\]|<(?:insert|insérer|insérez)[^>\n]{0,60}>"
 )
 # a stand-in as the whole value of a fact, or in the place of a name
-STANDINS = r"(?:undefined|null|NaN|None|TBD|TBC|TBA|TODO|N/C|à (?:renseigner|compléter|préciser|définir)|to be (?:defined|completed|announced|confirmed)|\?{3,}|_{4,}|\.{4,})"
+STANDINS = r"(?:undefined|null|NaN|None|TBD|TBC|TBA|TODO|N/C|(?i:à (?:renseigner|compléter|préciser|définir))|to be (?:defined|completed|announced|confirmed)|\?{3,}|_{4,}|\.{4,})"
 _WHOLE_VALUE = re.compile(rf"(?:^|: )\s*{STANDINS}\s*(?:$| - |\n| : )", re.M)
-_IN_PLACE = re.compile(rf"(?:l'équipe|the|du|de la|au|chez|at) {STANDINS} (?:dès que|team|soon|as soon)")
+_IN_PLACE = re.compile(rf"(?m:(?:^| )(?:undefined|NaN|TBD|TBC|TODO|(?i:à renseigner))(?: - | : |$))|(?:l'équipe|the|du|de la|au|chez|at) {STANDINS} (?:dès que|team|soon|as soon)")
 FILLER_WORDS = {
     "lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "adipiscing", "elit", "sed", "do", "eiusmod", "tempor", "incididunt", "ut", "labore", "et", "dolore", "magna",
     "aliqua", "enim", "ad", "minim", "veniam", "quis", "nostrud", "exercitation", "ullamco", "laboris", "nisi", "aliquip", "ex", "ea", "commodo", "consequat", "duis", "aute",
@@ -57,18 +57,21 @@ MESSAGES = re.compile(
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-_HINTS = re.compile(r"[{}\[\]<>%_$#@]|XXXX|\.{4}|\((?:à|a|compl|to be|to comp)|undefined|null|NaN|None|TB[DCA]|TODO|N/C|à (?:re|co|pr|dé)|to be |\?\?\?", re.I)
+_OPENERS = ("{", "[", "<", "%", "$", "#", "__", "@@", "XXXX", ".....", "(à ", "(a ", "(À ", "(compl", "(to ")
+_STANDIN_HINTS = ("undefined", "null", "NaN", "None", "TBD", "TBC", "TBA", "TODO", "N/C", "à renseigner", "à compléter", "à préciser", "à définir", "À ", "to be ", "???", "____", "....")
 
 
 def has_placeholder(text: str) -> bool:
-    return bool(_HINTS.search(text)) and bool(PLACEHOLDERS.search(text) or _WHOLE_VALUE.search(text) or _IN_PLACE.search(text))
+    if any(x in text for x in _OPENERS) and PLACEHOLDERS.search(text):
+        return True
+    return any(x in text for x in _STANDIN_HINTS) and bool(_WHOLE_VALUE.search(text) or _IN_PLACE.search(text))
 
 
 @lru_cache(maxsize=50_000)
 def is_filler(line: str) -> bool:
-    found = [w.casefold() for w in _WORDS.findall(line)]
-    if FILLER_LINES.search(line):
+    if len(line) <= LONGEST and FILLER_LINES.search(line):
         return True
+    found = [w.casefold() for w in _WORDS.findall(line)]
     known = sum(w in FILLER_WORDS for w in found)
     return bool(found) and known >= 0.8 * len(found) and any(w in _LATIN for w in found)
 
@@ -88,7 +91,7 @@ def holds_no_record(page: Page, lexicon: Lexicon) -> bool:
     if not own:
         return not page.structured and page.heading is not None and (is_message(page.lines[page.heading], lexicon) or is_filler(page.lines[page.heading]))
     if page.structured:
-        return all(is_filler(x) for x in own) and "fact" not in page.kinds
+        return "fact" not in page.kinds and all(is_filler(x) for x in own)
     wrong = sum(len(x) for x in own if is_filler(x) or is_message(x, lexicon))
     return wrong >= 0.5 * sum(map(len, own))
 
@@ -98,12 +101,12 @@ def title_residue(title: str) -> bool:
     return has_placeholder(text) or is_filler(text) or bool(MESSAGES.search(text)) and len(text) < 60
 
 
-def _residue_batches(lexicon: Lexicon, shared_titles: set[int]):
+def _residue_batches(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, title, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if title and title.strip() and (title_residue(title) or line_digest(title) in shared_titles):
+                if title and title.strip() and (title_residue(title) or line_digest(title) in lexicon.titles):
                     rows.append((key, "title"))
                 if raw and raw.strip() and (has_placeholder(raw) or holds_no_record(read_page(title, raw, lexicon), lexicon)):
                     rows.append((key, "raw_text"))
@@ -113,25 +116,8 @@ def _residue_batches(lexicon: Lexicon, shared_titles: set[int]):
     return run
 
 
-def _bare_title_batches(lexicon: Lexicon):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(line_digest(t), int(holds_no_record(read_page(t, r, lexicon), lexicon)), s) for t, r, s in zip(*(batch.column(i).to_pylist() for i in range(3)))]
-            cols = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["digest", "bare", "source"])
-
-    return run
-
-
 def residue_fields(pages: DataFrame, key: str, title: str, raw: str, source: str) -> DataFrame:
     """(key, field_name) of the fields without real content."""
     lexicon = learned_lexicon(pages, title, raw, source)
-    texts = pages.select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(raw).alias("raw"), F.col(source).alias("source"))
-    known = texts.filter("title IS NOT NULL AND raw IS NOT NULL").select("title", "raw", "source")
-    least = max(5, 1e-4 * known.count())  # bounds the shared titles by 10,000
-    shared = (
-        known.mapInArrow(_bare_title_batches(lexicon), "digest long, bare int, source string").groupBy("digest")
-        .agg(F.count("*").alias("n"), F.sum("bare").alias("bare"), F.min("source").alias("s1"), F.max("source").alias("s2"))
-        .filter((F.col("n") >= least) & (F.col("bare") >= 0.6 * F.col("n")) & (F.col("s1") != F.col("s2"))).select("digest").collect()
-    )
-    return texts.filter("key IS NOT NULL").select("key", "title", "raw").mapInArrow(_residue_batches(lexicon, {r["digest"] for r in shared}), "key string, field_name string").distinct()
+    texts = pages.select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(raw).alias("raw")).filter("key IS NOT NULL")
+    return texts.mapInArrow(_residue_batches(lexicon), "key string, field_name string").distinct()

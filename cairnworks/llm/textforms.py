@@ -87,6 +87,7 @@ def _transducer():
     plain = "".join(c for c in map(chr, (*range(0x21, 0x7F), *range(0xC0, 0x180))) if c not in table)
     p = re.escape(plain)
     suspect = re.compile(f" *[{p}]?[^{p} ][^{p}]*| {{2,}}")
+    odd = re.compile(f"[^{p} ]|  ")
     seen: dict[str, str] = {}
 
     def rewrite(m: re.Match) -> str:
@@ -97,15 +98,15 @@ def _transducer():
                 seen[x] = out
         return out
 
-    return suspect, rewrite
+    return odd, suspect, rewrite
 
 
 def canonical(text: str | None) -> str | None:
     """The one form of all texts that look like this one; plain stretches are passed over, the rest goes through the transducer."""
     if text is None:
         return None
-    suspect, rewrite = _transducer()
-    return suspect.sub(rewrite, text).strip(" ")
+    odd, suspect, rewrite = _transducer()
+    return (suspect.sub(rewrite, text) if odd.search(text) else text).strip(" ")
 
 
 _BLANK = re.compile("[ \t\r\n\x0b\x0c]+")
