@@ -3,9 +3,9 @@
 A text is the set of its sequences of n consecutive words. Rows with the same text are one class; the forest
 holds one representative of each. Every tree orders the representatives by the string of their min-hashes,
 kept as one byte each; two of them meet in a tree at depth d when the first d bytes agree. A pilot over some
-trees begins at the deepest prefixes. From the similarities of the pairs it verifies, each weighted by the
-inverse of its chance to be found, the recall of the whole forest at every shorter prefix is estimated, and
-the prefixes are shortened to the longest that reaches the target. Candidates pass two sketch tests, of the
+trees begins at the deepest prefixes. From the similarities of the pairs it finds, estimated by their sketches and
+each weighted by the inverse of its chance to be found, the recall of the whole forest at every shorter prefix is
+estimated, and the prefixes are shortened to the longest that reaches the target. Candidates pass two sketch tests, of the
 lowest bits of the min-hashes, whose thresholds lie 4.5 standard deviations below the wanted similarity, and
 are then compared word by word.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cairnworks.llm.textforms import canonical, words
 from cairnworks.runtime import cut
 
-TREES, DEEPEST, PILOT_TREES = 96, 6, 16
+TREES, DEEPEST, PILOT_TREES = 128, 6, 16
 FIRST_BITS = 256  # of the TREES * DEEPEST sketch bits, tested first
 TARGET_RECALL = 0.9995
 
@@ -97,12 +97,13 @@ def _signature_batches(n: int):
             signed = [signature(sets[i]) for i in keep]
             width = TREES * DEEPEST // 64
             flat = np.concatenate([s for _, s in signed]) if signed else np.empty(0, np.int64)
+            rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(sets[i]) for i in keep], pa.int32()), pa.array([b for b, _ in signed], pa.binary()),
+                    batch.column(0).take(rows), batch.column(2).take(rows), pa.array([len(sets[i]) for i in keep], pa.int32()), pa.array([b for b, _ in signed], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * width), pa.array(flat)),
                 ],
-                names=["key", "n", "bytes", "sketch"],
+                names=["key", "class", "n", "bytes", "sketch"],
             )
 
     return run
@@ -129,29 +130,34 @@ def _least_agreeing(bits: int, threshold: float) -> float:
     return bits * p - 4.5 * (bits * p * (1 - p)) ** 0.5
 
 
-def _verified(reps: DataFrame, texts: DataFrame, depth: int, trees: int, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of representatives that meet in a tree at this depth and are at least that similar."""
+def _sketched(reps: DataFrame, depth: int, trees: int, threshold: float) -> DataFrame:
+    """(a, b, ka, kb, ca, cb, similarity) of representatives that meet in a tree at this depth and pass both sketch tests."""
     spots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.hash(t, F.substring("bytes", t * DEEPEST + 1, depth)))
     forest = reps.select("id", F.explode(spots).alias("spot"))
     candidates = forest.select("spot", F.col("id").alias("a")).join(forest.select("spot", F.col("id").alias("b")), "spot").filter("a < b").select("a", "b").distinct()
-    first, longs = FIRST_BITS // 64, TREES * DEEPEST // 64
+    bits, first = TREES * DEEPEST, FIRST_BITS // 64
 
     def differing(x: str, y: str, size: int):
         return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(size)), F.lit(0))
 
     head = reps.select("id", "n", F.slice("sketch", 1, first).alias("s"))
-    tail = reps.select("id", "key", F.slice("sketch", first + 1, longs - first).alias("s"))
+    tail = reps.select("id", "key", "class", F.slice("sketch", first + 1, bits // 64 - first).alias("s"))
     near = (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))
-    passed = (
+    agreeing = bits - F.col("off") - differing("ta", "tb", bits // 64 - first)
+    return (
         candidates.join(head.toDF("a", "na", "sa"), "a").join(head.toDF("b", "nb", "sb"), "b")
         .filter(near & (FIRST_BITS - differing("sa", "sb", first) >= _least_agreeing(FIRST_BITS, threshold)))
         .select("a", "b", differing("sa", "sb", first).alias("off"))
-        .join(tail.toDF("a", "ka", "ta"), "a").join(tail.toDF("b", "kb", "tb"), "b")
-        .filter(longs * 64 - F.col("off") - differing("ta", "tb", longs - first) >= _least_agreeing(longs * 64, threshold))
-        .select("a", "b", "ka", "kb")
+        .join(tail.toDF("a", "ka", "ca", "ta"), "a").join(tail.toDF("b", "kb", "cb", "tb"), "b")
+        .filter(agreeing >= _least_agreeing(bits, threshold))
+        .select("a", "b", "ka", "kb", "ca", "cb", (2 * agreeing / bits - 1).alias("similarity"))
     )
-    held = passed.join(texts.toDF("ka", "xa"), "ka").join(texts.toDF("kb", "xb"), "kb").select("a", "b", "xa", "xb")
-    return held.mapInArrow(_compare_batches(n, threshold), "a long, b long, jaccard double")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose texts are at least that similar."""
+    held = pairs.join(texts.toDF("ka", "ca", "xa"), ["ka", "ca"]).join(texts.toDF("kb", "cb", "xb"), ["kb", "cb"]).select("a", "b", "xa", "xb")
+    return held.mapInArrow(_compare_batches(n, threshold), "a long, b long, jaccard double").distinct()
 
 
 def chance(similarity: float, depth: int, trees: int) -> float:
@@ -161,7 +167,8 @@ def chance(similarity: float, depth: int, trees: int) -> float:
 
 def _shortened(found: DataFrame, target: float, threshold: float) -> int:
     """The longest prefix at which the whole forest is estimated to find the target share, from the pilot's pairs."""
-    bins = [(r["s"] / 100 + 0.005, r["count"]) for r in found.groupBy(F.floor(F.least(F.col("jaccard"), F.lit(0.99)) * 100).alias("s")).count().collect()]
+    similar = F.greatest(F.least("similarity", F.lit(0.99)), F.lit(threshold))
+    bins = [(r["s"] / 100 + 0.005, r["count"]) for r in found.groupBy(F.floor(similar * 100).alias("s")).count().collect()]
     weights = [(s, n / chance(s, DEEPEST, PILOT_TREES)) for s, n in bins] or [(threshold, 1.0)]
     total = sum(w for _, w in weights)
     return next((d for d in range(DEEPEST, 0, -1) if sum(w * chance(s, d, TREES) for s, w in weights) >= target * total), 1)
@@ -169,16 +176,14 @@ def _shortened(found: DataFrame, target: float, threshold: float) -> int:
 
 def near_duplicates(rows: DataFrame, key: str, text: Column, *, n: int = 5, threshold: float = 0.8, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Membership (key, class); representatives (class, id); links (a, b, jaccard) between their ids."""
-    texts = rows.select(F.col(key).alias("key"), text.alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
-    of_class = F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit("second"), "text")))
-    members = texts.select("key", of_class.alias("class")).distinct()
-    leaders = texts.groupBy(of_class.alias("class")).agg(F.min(F.struct("key", "text")).alias("x")).select("class", "x.key", "x.text")
-    signed = leaders.select("key", "text").mapInArrow(_signature_batches(n), "key string, n int, bytes binary, sketch array<long>")
+    of_class = F.unhex(F.concat(F.lpad(F.hex(F.xxhash64("text")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("second"), "text")), 16, "0")))
+    texts = rows.select(F.col(key).alias("key"), text.alias("text")).filter("key IS NOT NULL AND text IS NOT NULL").select("key", of_class.alias("class"), "text")
+    leaders = texts.groupBy("class").agg(F.min(F.struct("key", "text")).alias("x")).select("x.key", "x.text", "class")
+    signed = leaders.mapInArrow(_signature_batches(n), "key string, class binary, n int, bytes binary, sketch array<long>")
     reps = cut(signed.withColumn("id", F.monotonically_increasing_id()))
-    one_text = leaders.select("key", "text")
-    depth = _shortened(cut(_verified(reps, one_text, DEEPEST, PILOT_TREES, n, threshold)), target, threshold)
-    links = cut(_verified(reps, one_text, depth, TREES, n, threshold))
-    return members, reps.select("key", "id").join(leaders.select("key", "class"), "key").select("class", "id"), links
+    depth = _shortened(_sketched(reps, DEEPEST, PILOT_TREES, threshold), target, threshold)
+    links = cut(_verified(_sketched(reps, depth, TREES, threshold), texts, n, threshold))
+    return texts.select("key", "class").distinct(), reps.select("class", "id"), links
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str, text: Column, **settings) -> DataFrame:
@@ -202,5 +207,5 @@ def near_duplicate_classes(rows: DataFrame, key: str, text: Column, **settings)
     sizes = members.groupBy("class").agg(F.count("*").alias("copies"))
     return (
         members.join(sizes, "class").join(reps, "class").join(both, "id", "left")
-        .select("key", F.col("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+        .select("key", F.hex("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     )
