@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairnworks.operators.history import offer_history
 from cairnworks.operators.snapshot_diff import offer_changes
@@ -17,9 +18,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offer_history(table(spark, sf_dir, "offer_snapshots"), table(spark, sf_dir, "offers"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p1_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest change of every offer beside what its last_seen_status claims."""
+    order = table(spark, sf_dir, "runs").select(F.col("id").alias("run_id"), "started_at")
+    last = p1_found(spark, sf_dir).join(order, "run_id").groupBy("offer_url").agg(F.max(F.struct("started_at", "run_id", "change_type")).alias("x"))
+    known = table(spark, sf_dir, "offers").select(F.col("url").alias("offer_url"), "last_seen_status")
+    gone = F.col("last_seen_status").isin("missing", "unavailable")
+    return last.join(known, "offer_url").select("offer_url", "x.run_id", "x.change_type", "last_seen_status", ((F.col("x.change_type") == "removed") == gone).alias("agrees"))
 
-SQL = {
+
+def p3_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of every offer and how many it has had."""
+    versions = p3_found(spark, sf_dir)
+    return versions.groupBy("offer_url").agg(F.max("version_no").alias("versions"), F.max("valid_from_us").alias("valid_from_us"), F.count_if(F.col("valid_to_us") == -1).alias("open_versions"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p1_claims": p1_claims, "p3_current": p3_current}
+
+_SQL = {
     "p1_found": r"""
 WITH ok AS (
   SELECT id, lag(id) OVER (PARTITION BY source ORDER BY started_at, id) AS before
@@ -47,3 +63,15 @@ SELECT v.offer_url, CAST(version_no AS INTEGER) AS version_no,
   coalesce(next_us, CASE WHEN last_seen_status IN ('missing', 'unavailable') THEN epoch_us(last_seen_at) END, -1) AS valid_to_us
 FROM v LEFT JOIN offers o ON o.url = v.offer_url""",
 }
+
+SQL = {
+    **_SQL,
+    "p1_claims": f"""
+WITH c AS ({_SQL['p1_found']}),
+x AS (SELECT c.*, row_number() OVER (PARTITION BY offer_url ORDER BY r.started_at DESC, c.run_id DESC) AS rn FROM c JOIN runs r ON r.id = c.run_id)
+SELECT x.offer_url, x.run_id, x.change_type, o.last_seen_status, (x.change_type = 'removed') = (o.last_seen_status IN ('missing', 'unavailable')) AS agrees
+FROM x JOIN offers o ON o.url = x.offer_url WHERE rn = 1""",
+    "p3_current": f"""
+WITH v AS ({_SQL['p3_found']})
+SELECT offer_url, max(version_no) AS versions, max(valid_from_us) AS valid_from_us, count(*) FILTER (WHERE valid_to_us = -1) AS open_versions FROM v GROUP BY 1""",
+}
