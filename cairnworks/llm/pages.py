@@ -38,14 +38,9 @@ BARE_SHARE = 0.8
 BARE_TITLES, BARE_TITLE_SHARE = 5, 0.6
 STATISTICS = "title boolean, digest long, head int, bare int, source string"
 
-_MASKS = [
-    (re.compile(r"\S+@\S+"), "@"),
-    (re.compile(r"\b(?:https?://|www\.)\S+"), "&"),
-    (re.compile(r"\b[0-9a-f]{8,}\b", re.I), "#"),
-    (re.compile(r"\b(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|january|february|march|april|may|june|july|august|september|october|november|december)\b", re.I), "#"),
-    (re.compile(r"\d+(?:[.,:/ -]\d+)*"), "#"),
-]
-_SPACE = re.compile(r"\s+")
+_EMAIL, _URL, _HEX = re.compile(r"\S+@\S+"), re.compile(r"\b(?:https?://|www\.)\S+"), re.compile(r"\b[0-9a-f]{8,}\b", re.I)
+_MONTH = re.compile(r"\b(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|january|february|march|april|may|june|july|august|september|october|november|december)\b", re.I)
+_NUMBER, _DIGIT = re.compile(r"\d+(?:[.,:/ -]\d+)*"), re.compile(r"\d")
 # Labels of fact lines and headings of sections, French and English.
 LABELS = ("Lieu", "Unité", "Durée", "Niveau", "Type de contrat", "Contrat", "Salaire", "Référence", "Unit", "Length", "Degree", "Contract", "Place", "Salary", "Reference", "Location", "Duration")
 SECTIONS = {
@@ -57,13 +52,16 @@ LISTS = re.compile(
     r"latest (?:vacancies|offers|jobs)|most viewed|you may also like|à lire aussi|voir aussi|annonces (?:similaires|récentes)|offres récentes|other vacancies)\s*:?$",
     re.I,
 )
-FURNITURE = re.compile(
-    r"cookie|traceur|témoins de connexion|partenaires stockons|tout accepter|vie privée compte|©|droits réservés|rights reserved|mentions légales|legal notice|"
-    r"données personnelles \||accessibility statement|^plan du site$|^site map$|retour en haut|back to top|suivez-nous|follow us|lettre d'information|newsletter|page générée|page generated|"
-    r"données mises à jour|data updated|portail est édité|^aller (?:au|à)|skip to|fonctions de cette page|best experience please enable|navigateur est ancien|^télécharger au|download as pdf|^postuler plus tard|apply later|"
-    r"signaler un problème|report a problem|^imprimer\b|^print\b|envoyer à un ami|personnes consultent|people are viewing|partager cette|share this|ajouter aux favoris|add to favourites|^offre \d+ sur \d+|^vacancy \d+ of \d+",
-    re.I,
+# Wordings of page furniture in lower case: anywhere in a line, at its start, the whole line.
+FURNITURE_PARTS = (
+    "cookie", "traceur", "témoins de connexion", "partenaires stockons", "tout accepter", "vie privée compte", "©", "droits réservés", "rights reserved", "mentions légales", "legal notice",
+    "données personnelles |", "accessibility statement", "retour en haut", "back to top", "suivez-nous", "follow us", "lettre d'information", "newsletter", "page générée", "page generated",
+    "données mises à jour", "data updated", "portail est édité", "skip to", "fonctions de cette page", "best experience please enable", "navigateur est ancien", "download as pdf", "apply later",
+    "signaler un problème", "report a problem", "envoyer à un ami", "personnes consultent", "people are viewing", "partager cette", "share this", "ajouter aux favoris", "add to favourites",
 )
+FURNITURE_STARTS = ("aller au", "aller à", "télécharger au", "postuler plus tard", "imprimer |", "print |")
+FURNITURE_LINES = {"plan du site", "site map", "imprimer", "print"}
+_COUNTER = re.compile(r"^(?:offre|vacancy) \d+ (?:sur|of) \d+")
 _FACT = re.compile(rf"^(?:{'|'.join(LABELS)}) ?: ?\S")
 _TRAIL = re.compile(r"^[^.!?]{1,60}(?: > [^>]{1,200})+$")
 _PLACE = re.compile(r"^[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)* - \d+ \S+$")
@@ -73,9 +71,14 @@ _NO_PROSE = re.compile(r"[.!?…]$")
 
 
 def masked_line(line: str) -> str:
-    for pattern, sign in _MASKS:
-        line = pattern.sub(sign, line)
-    return _SPACE.sub(" ", line).strip().casefold()
+    """The line with addresses, dates and numbers masked, white space as one blank, in lower case."""
+    if "@" in line:
+        line = _EMAIL.sub("@", line)
+    if "://" in line or "www." in line:
+        line = _URL.sub("&", line)
+    if _DIGIT.search(line):
+        line = _NUMBER.sub("#", _MONTH.sub("#", _HEX.sub("#", line)))
+    return " ".join(line.split()).casefold()
 
 
 LONGEST = 240  # characters of a line that can be furniture or a message; longer ones are prose
@@ -125,7 +128,8 @@ def _traits(rough: str) -> tuple[str, int]:
             traits |= LIST
         if _TRAIL.match(line):
             traits |= TRAIL
-        if FURNITURE.search(line):
+        low = line.lower()
+        if any(x in low for x in FURNITURE_PARTS) or low.startswith(FURNITURE_STARTS) or low in FURNITURE_LINES or _COUNTER.match(low):
             traits |= FURNITURE_PHRASE
     return line, traits
 

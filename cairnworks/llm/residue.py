@@ -54,6 +54,12 @@ MESSAGES = re.compile(
     r"vérification (?:en cours|de votre navigateur)|just a moment|checking (?:that|your|the)|un instant|ray [0-9a-f]{6,}|maintenance|fermé pour|sqlstate|database (?:connection|error)|connexion à la base|could not connect|too many requests|trop de requêtes|captcha|are you (?:a )?human|êtes-vous un robot|^loading\b|^chargement",
     re.I,
 )
+# a word of each of the phrases above, so that most lines need no search
+_MESSAGE_HINTS = (
+    "4", "5", "page", "adresse", "unavailable", "unable", "retry", "gateway", "upstream", "error", "erreur", "incident", "quelque", "wrong", "oups", "oops", "réessay", "again", "retiré", "archivé", "indisponible", "expiré",
+    "closed", "removed", "filled", "no longer", "supprimé", "clôturé", "expired", "withdrawn", "pourvu", "n'est plus", "clos", "accès", "access", "droits", "authori", "permission", "forbidden", "identifi", "session", "please",
+    "script", "cookies", "enable", "vérification", "moment", "checking", "instant", "ray ", "maintenance", "fermé", "sqlstate", "database", "connexion", "connect", "requests", "requêtes", "captcha", "human", "robot", "loading", "chargement",
+)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -82,7 +88,8 @@ def is_message(line: str, lexicon: Lexicon | None = None) -> bool:
 
 @lru_cache(maxsize=50_000)
 def _message_phrase(line: str) -> bool:
-    return bool(MESSAGES.search(line))
+    low = line.lower()
+    return any(x in low for x in _MESSAGE_HINTS) and bool(MESSAGES.search(line))
 
 
 def holds_no_record(page: Page, lexicon: Lexicon) -> bool:
@@ -98,7 +105,7 @@ def holds_no_record(page: Page, lexicon: Lexicon) -> bool:
 
 def title_residue(title: str) -> bool:
     text = title.strip()
-    return has_placeholder(text) or is_filler(text) or bool(MESSAGES.search(text)) and len(text) < 60
+    return has_placeholder(text) or is_filler(text) or len(text) < 60 and _message_phrase(text)
 
 
 def _residue_batches(lexicon: Lexicon):
