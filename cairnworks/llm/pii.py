@@ -20,6 +20,7 @@ text; an empty table gives no rows; other columns are ignored; texts are read wh
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -85,26 +86,38 @@ def _plain() -> tuple[re.Pattern, dict[str, str], set[str], set[str]]:
     return re.compile(f"[^\n{re.escape(plain)}]"), table, set(spaces) - {"\n"}, set(hidden)
 
 
-def aligned(text: str) -> tuple[str, list[int] | None]:
-    """The text with look-alike, wide and invisible characters resolved, and the original position of each character, one more at the end."""
+def aligned(text: str) -> tuple[str, tuple[list[int], list[int]] | None]:
+    """The text with look-alike, wide, invisible and decomposed characters resolved, and where each character begins and ends in the original."""
     if text.isascii():
         return text, None
     odd, table, spaces, hidden = _plain()
-    out, at, last, moved = [], [], 0, False
+    out, starts, ends, last, moved = [], [], [], 0, False
     for m in odd.finditer(text):
         i, c = m.start(), m.group()
+        mark = unicodedata.combining(c)
         x = "" if c in hidden else " " if c in spaces else table.get(c, c)
-        if x == c:
+        if x == c and not mark:
             continue
-        moved = moved or len(x) != 1
-        out += [text[last:i], x]
-        at += range(last, i)
-        at += [i] * len(x)
+        if i > last:
+            out.append(text[last:i])
+            starts += range(last, i)
+            ends += range(last + 1, i + 1)
         last = i + 1
-    if not out:
+        if mark and out and len(whole := unicodedata.normalize("NFC", out[-1][-1] + c)) == 1:
+            out[-1] = out[-1][:-1] + whole
+            ends[-1] = last
+        elif x:
+            out.append(x)
+            starts += [i] * len(x)
+            ends += [last] * len(x)
+            continue
+        moved = True
+    if not out and not moved:
         return text, None
     plain = "".join([*out, text[last:]])
-    return plain, [*at, *range(last, len(text) + 1)] if moved else None
+    starts += range(last, len(text))
+    ends += range(last + 1, len(text) + 1)
+    return plain, (starts, ends) if moved or len(plain) != len(text) else None
 
 
 def shaped_entities(plain: str) -> list[tuple[int, int, str]]:
@@ -216,7 +229,7 @@ def mentions(text: str, patterns: dict[str, float]) -> list[tuple[int, int, str]
         if all(hi <= a or lo >= b for a, b in names):
             names.append((lo, hi))
     whole = sorted([*found, *((back[lo], back[hi], "person_name") for lo, hi in names)])
-    return whole if at is None else [(at[lo], at[hi - 1] + 1, kind) for lo, hi, kind in whole]
+    return whole if at is None else [(at[0][lo], at[1][hi - 1], kind) for lo, hi, kind in whole]
 
 
 def masked(text: str | None, patterns: dict[str, float]) -> str | None:
