@@ -145,7 +145,8 @@ def read_page(title: str | None, raw: str, lexicon: Lexicon | None = None) -> Pa
     if heading is None:
         first = next((i for i, t in enumerate(traits) if t & FACT or t & (SECTION | CONTACT) == SECTION), None)
         if first is not None:
-            heading = next((i for i in range(first - 1, -1, -1) if lines[i] and not traits[i] & TRAIL and not _is_furniture(lines[i], rough[i], traits[i], lexicon)), first)
+            listed = next((i for i in range(first) if traits[i] & LIST), first)  # a list of other records stands below the heading
+            heading = next((i for i in range(listed - 1, -1, -1) if lines[i] and not traits[i] & TRAIL and not _is_furniture(lines[i], rough[i], traits[i], lexicon)), first)
     kinds = []
     in_list = False
     for i, (x, t) in enumerate(zip(lines, traits)):

@@ -41,7 +41,7 @@ FILLER_WORDS = {
 }
 _LATIN = {"lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "eiusmod", "nostrud", "ullamco", "laboris", "veniam", "aliquip", "commodo", "dolore", "magna", "bla", "blah", "test", "azerty", "qwerty", "asdf"}
 FILLER_LINES = re.compile(
-    r"sample (?:text|title)|texte? (?:de remplissage|d'exemple|factice)|paragraphe d'exemple|exemple de texte|^insérez ici|^insert (?:your )?(?:text|title|content|description)|placeholder|ne pas publier|do not publish|"
+    r"sample (?:text|title)|texte? (?:de remplissage|d'exemple|factice)|paragraphe d'exemple|exemple de texte|\bà saisir\b|^insérez ici|^insert (?:your )?(?:text|title|content|description)|placeholder|ne pas publier|do not publish|"
     r"sans titre|^untitled|^new (?:page|post|document)|^nouve(?:au|lle) (?:poste|page|offre|document)\b.*(?:copie|sans titre|\(\d+\))|dummy text|texte à (?:venir|remplacer)|contenu à venir|coming soon|your text here",
     re.I,
 )
