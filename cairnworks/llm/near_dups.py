@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from cairnworks.llm.textforms import canonical, words
 from cairnworks.runtime import cut
 
-TREES, DEEPEST, PILOT_TREES = 128, 6, 16
-FIRST_BITS = 256  # of the TREES * DEEPEST sketch bits, tested first
+TREES, DEEPEST, PILOT_TREES = 112, 6, 8
+SKETCH_BITS = TREES * DEEPEST // 64 * 64
+FIRST_BITS = 256  # of them, tested first
 TARGET_RECALL = 0.9995
 
 
@@ -85,7 +86,7 @@ def signature(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
     """A byte of each min-hash, and the sketch of one other bit of each as longs."""
     m = min_hashes(shingles)
     mixed = m * np.uint32(0x9E3779B1)
-    return (mixed >> np.uint32(24)).astype(np.uint8).tobytes(), np.packbits((m >> np.uint32(7)).astype(np.uint8) & 1).view(np.int64)
+    return (mixed >> np.uint32(24)).astype(np.uint8).tobytes(), np.packbits((m[:SKETCH_BITS] >> np.uint32(7)).astype(np.uint8) & 1).view(np.int64)
 
 
 def _signature_batches(n: int):
@@ -95,7 +96,7 @@ def _signature_batches(n: int):
             sets = [of(t) for t in batch.column(1).to_pylist()]
             keep = [i for i, s in enumerate(sets) if len(s)]
             signed = [signature(sets[i]) for i in keep]
-            width = TREES * DEEPEST // 64
+            width = SKETCH_BITS // 64
             flat = np.concatenate([s for _, s in signed]) if signed else np.empty(0, np.int64)
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -135,7 +136,7 @@ def _sketched(reps: DataFrame, depth: int, trees: int, threshold: float) -> Data
     spots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.hash(t, F.substring("bytes", t * DEEPEST + 1, depth)))
     forest = reps.select("id", F.explode(spots).alias("spot"))
     candidates = forest.select("spot", F.col("id").alias("a")).join(forest.select("spot", F.col("id").alias("b")), "spot").filter("a < b").select("a", "b").distinct()
-    bits, first = TREES * DEEPEST, FIRST_BITS // 64
+    bits, first = SKETCH_BITS, FIRST_BITS // 64
 
     def differing(x: str, y: str, size: int):
         return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(size)), F.lit(0))
@@ -167,8 +168,8 @@ def chance(similarity: float, depth: int, trees: int) -> float:
 
 def _shortened(found: DataFrame, target: float, threshold: float) -> int:
     """The longest prefix at which the whole forest is estimated to find the target share, from the pilot's pairs."""
-    similar = F.greatest(F.least("similarity", F.lit(0.99)), F.lit(threshold))
-    bins = [(r["s"] / 100 + 0.005, r["count"]) for r in found.groupBy(F.floor(similar * 100).alias("s")).count().collect()]
+    similar = F.least("similarity", F.lit(0.99))
+    bins = [(r["s"] / 100 + 0.005, r["count"]) for r in found.filter(similar >= threshold).groupBy(F.floor(similar * 100).alias("s")).count().collect()]
     weights = [(s, n / chance(s, DEEPEST, PILOT_TREES)) for s, n in bins] or [(threshold, 1.0)]
     total = sum(w for _, w in weights)
     return next((d for d in range(DEEPEST, 0, -1) if sum(w * chance(s, d, TREES) for s, w in weights) >= target * total), 1)
