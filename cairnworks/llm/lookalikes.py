@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.textforms import canonical, respaced
+from cairnworks.runtime import cut
 
 
 def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +35,7 @@ def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def same_looking_pairs(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key_a, key_b, field_name), key_a < key_b."""
     long = rows.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
-    forms = (
+    forms = cut(  # both the search for mixed classes and their pairs read it
         long.select("key", "x.field_name", "x.text").filter("key IS NOT NULL AND text IS NOT NULL AND text <> ''")
         .mapInArrow(_form_batches, "key string, field_name string, class binary, variant binary").distinct()
     )
