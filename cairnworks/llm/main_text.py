@@ -26,7 +26,7 @@ def _body_batches(lexicon: Lexicon):
                 if holds_no_record(page, lexicon):
                     continue
                 raw_lines = raw.split("\n")
-                for i in body_lines(page):
+                for i in body_lines(page, lexicon):
                     keys.append(key)
                     numbers.append(i + 1)
                     texts.append(raw_lines[i])

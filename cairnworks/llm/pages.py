@@ -5,15 +5,17 @@ A page is text with one element per line. Two passes read every page whole:
 1. `line_statistics` masks numbers, addresses and dates in every line and counts, by the digest of the masked
    line, the pages and sources that hold it, how often it stands before the heading of its page, and how
    often on a page without any fact or section line (a bare page).
-2. Lines that recur before headings are furniture, lines that recur on bare pages only are messages. What
-   is kept of these for the second pass are digests that at least MIN_SHARE of all pages hold, hence at most
+2. Lines that recur before headings are furniture, lines that recur on bare pages only are messages, and
+   furniture that almost no line of a record follows closes its page. What is kept of these for the second pass are digests that at least MIN_SHARE of all pages hold, hence at most
    lines-per-page / MIN_SHARE of them, whatever the size of the corpus.
 
-`page_parts` builds the element tree of a page: the part before the heading, the body, and the lists of
-other records inside it, each with its lines. Link text is furniture, list and trail text. The composite
-text density of each node is link-adjusted characters per element; the node with the greatest sum of child
-densities is the body of the page, and of its children those are kept that hold no link text or whose
-density reaches the least density on the path to the root.
+`page_tree` builds the element tree of a page: the part before the heading, and below it the record, each
+list of other records up to its last item (another list or a sentence ends it), and the foot from a closing line to the end or the next part of
+the record. Each holds known link text (furniture, list, trail and item lines) and lines that no rule or
+count knows. The composite text density of a node is link-adjusted characters per element; of the two
+subtrees the one with the greater sum of child densities is the body of the page, and of its children those
+are kept whose density reaches the least density on the path to the root, without their link text. So
+phrase rules and corpus counts say what is link text, and the density decides on the unknown lines beside it.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ MIN_SHARE = 1e-4  # of all pages that a recurring line must be on, and at least
 MIN_PAGES = 3
 HEAD_SHARE = 0.1
 BARE_SHARE = 0.8
+CLOSING_SHARE = 0.95
 BARE_TITLES, BARE_TITLE_SHARE = 5, 0.6
-STATISTICS = "title boolean, digest long, head int, bare int, source string"
+STATISTICS = "title boolean, digest long, head int, bare int, foot int, inside int, source string"
 
 _EMAIL, _URL, _HEX = re.compile(r"\S+@\S+"), re.compile(r"\b(?:https?://|www\.)\S+"), re.compile(r"\b[0-9a-f]{8,}\b", re.I)
 _MONTH = re.compile(r"\b(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|january|february|march|april|may|june|july|august|september|october|november|december)\b", re.I)
@@ -103,6 +106,7 @@ class Lexicon:
     messages: set[int] = field(default_factory=set)
     titles: set[int] = field(default_factory=set)  # that recur on bare pages
     openings: set[str] = field(default_factory=set)
+    closing: set[int] = field(default_factory=set)  # furniture that stands below the whole record
 
 
 @dataclass
@@ -227,49 +231,83 @@ def density(node: Node, body: Node) -> float:
     return node.chars / node.tags * max(0.0, math.log(node.chars / links) / math.log(max(base, 1.0001)) + (node.links == 0)) if node.chars > node.links else 0.0
 
 
-def body_lines(page: Page) -> list[int]:
-    """Indices of the lines of the record itself."""
+def page_tree(page: Page, lexicon: Lexicon | None = None) -> tuple[Node, Node, Node, set[int]]:
+    """The root, the part before the heading, the main part, and the lines that are link text."""
     kinds = page.kinds
-    sizes = [(i, len(page.lines[i]), k in ("head", "furniture", "list", "trail")) for i, k in enumerate(kinds) if k != "blank"]
-    groups: list[list[tuple[int, int, bool]]] = []
-    was = None
-    for x in sizes:
-        if kinds[x[0]] == "head":
+    links = {i for i, k in enumerate(kinds) if k in ("head", "furniture", "list", "trail")}
+    head, record, others = [], [], []
+    at = record
+    for i, k in enumerate(kinds):
+        if k == "blank":
+            continue
+        if k == "head":
+            head.append(i)
+            continue
+        if k in ("heading", "fact", "section"):
+            at = record
+        elif k == "furniture" and lexicon is not None and line_digest(page.lines[i]) in lexicon.closing:
+            if at is record:
+                others.append(at := [])
+        elif at is record and k == "list" and i not in (others[-1] if others else ()):
+            end = i  # the last item of the list, with the short lines between its items
+            for j in range(i + 1, len(kinds)):
+                if kinds[j] not in ("blank", "list", "text") or LISTS.match(page.lines[j]) or kinds[j] == "text" and _NO_PROSE.search(page.lines[j]):
+                    break
+                if kinds[j] == "list" or kinds[j] == "text" and _is_item(page.lines[j], lexicon):
+                    links.add(j)
+                    end = j
+            others.append([j for j in range(i, end + 1) if kinds[j] != "blank"])
             continue
-        if x[2] != was or kinds[x[0]] == "section":
-            groups.append([])
-        groups[-1].append(x)
-        was = x[2]
-    head = Node.of([], [Node.of([x for x in sizes if kinds[x[0]] == "head"])])
-    main = Node.of([], [Node.of(g) for g in groups])
-    root = Node.of([], [head, main])
-    best = max((head, main), key=lambda n: sum(density(c, root) for c in n.children))
-    if best is head and page.structured:
-        best = main
+        if at is not record or not others or i not in others[-1]:
+            at.append(i)
+
+    def node(lines: list[int]) -> Node:
+        return Node.of([(i, len(page.lines[i]), i in links) for i in lines])
+
+    before, main = Node.of([], [node(head)]), Node.of([], [node(x) for x in (record, *others) if x])
+    return Node.of([], [before, main]), before, main, links
+
+
+def body_lines(page: Page, lexicon: Lexicon | None = None) -> list[int]:
+    """Indices of the lines of the record itself."""
+    root, head, main, links = page_tree(page, lexicon)
+    best = max((main, head), key=lambda n: sum(density(c, root) for c in n.children))
     least = min(density(best, root), density(root, root))
-    return sorted(i for c in best.children for i in c.leaves if c.links == 0 or density(c, root) >= max(least, 1e-9))
+    return sorted(i for c in best.children if density(c, root) >= least for i in c.leaves if i not in links)
 
 
 # --- corpus statistics ------------------------------------------------------------------------------------
 
 
+def _record_end(page: Page) -> int | None:
+    """The last line of a structured page that is surely no furniture: a heading, fact, section, list or sentence."""
+    if not page.structured:
+        return None
+    sure = ("heading", "fact", "section", "list")
+    return next((i for i in range(len(page.kinds) - 1, -1, -1) if page.kinds[i] in sure or page.kinds[i] == "text" and _NO_PROSE.search(page.lines[i])), None)
+
+
 def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple[bool, int, int, int, str]] = []
+        rows: list[tuple[bool, int, int, int, int, int, str]] = []
         for title, raw, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
             page, own = read_page(title, raw), canonical(title or "")
             bare = int(not page.structured)
             seen: dict[int, int] = {}
+            last = _record_end(page)
+            foot: dict[int, bool] = {}
             for i, x in enumerate(page.lines):
                 if x and len(x) <= LONGEST and page.kinds[i] not in ("fact", "section", "heading", "list"):
                     d = line_digest(x)
                     seen[d] = max(seen.get(d, 0), int(page.kinds[i] == "head" and x != own))
-            rows += [(False, d, head, bare, source) for d, head in seen.items()]
+                    if last is not None and page.kinds[i] == "furniture":
+                        foot[d] = foot.get(d, True) and i > last
+            rows += [(False, d, head, bare, int(foot.get(d, False)), int(not foot.get(d, True)), source) for d, head in seen.items()]
             if title and title.strip():
-                rows.append((True, line_digest(title), 0, bare, source))
-        cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
-        types = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["title", "digest", "head", "bare", "source"])
+                rows.append((True, line_digest(title), 0, bare, 0, 0, source))
+        cols = list(zip(*rows)) if rows else [()] * 7
+        types = (pa.bool_(), pa.int64(), *[pa.int32()] * 4, pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["title", "digest", "head", "bare", "foot", "inside", "source"])
 
 
 def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str) -> Lexicon:
@@ -280,15 +318,16 @@ def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str) -> Lexi
     lines = (
         texts.mapInArrow(_statistics_batches, STATISTICS)
         .groupBy("title", "digest")
-        .agg(F.count("*").alias("pages"), F.sum("head").alias("head"), F.sum("bare").alias("bare"), F.min("source").alias("s1"), F.max("source").alias("s2"))
+        .agg(F.count("*").alias("pages"), F.sum("head").alias("head"), F.sum("bare").alias("bare"), F.sum("foot").alias("foot"), F.sum("inside").alias("inside"), F.min("source").alias("s1"), F.max("source").alias("s2"))
         .filter(F.col("pages") >= least)
         .withColumns({
             "furniture": ~F.col("title") & (F.col("head") >= HEAD_SHARE * F.col("pages")),
             "message": ~F.col("title") & (F.col("bare") >= BARE_SHARE * F.col("pages")) & (F.col("s1") != F.col("s2")),
+            "closing": ~F.col("title") & (F.col("foot") >= least) & (F.col("foot") >= CLOSING_SHARE * (F.col("foot") + F.col("inside"))),
             "bare_title": F.col("title") & (F.col("pages") >= BARE_TITLES) & (F.col("bare") >= BARE_TITLE_SHARE * F.col("pages")) & (F.col("s1") != F.col("s2")),
         })
-        .select("digest", "furniture", "message", "bare_title")
-        .filter("furniture OR message OR bare_title")
+        .select("digest", "furniture", "message", "closing", "bare_title")
+        .filter("furniture OR message OR closing OR bare_title")
         .collect()
     )
     words_of = F.split(F.lower(F.trim("title")), r"\s+")
@@ -298,4 +337,4 @@ def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str) -> Lexi
     )
     furniture = {r["digest"] for r in lines if r["furniture"]}
     messages = {r["digest"] for r in lines if r["message"]} - furniture
-    return Lexicon(furniture, messages, {r["digest"] for r in lines if r["bare_title"]}, {r["opening"] for r in openings})
+    return Lexicon(furniture, messages, {r["digest"] for r in lines if r["bare_title"]}, {r["opening"] for r in openings}, {r["digest"] for r in lines if r["closing"]})

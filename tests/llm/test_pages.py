@@ -67,3 +67,35 @@ def test_filler_and_messages():
 def test_masked_line_digests_join_variants():
     assert P.line_digest("Version 12.3 - page générée en 3 ms") == P.line_digest("Version 99.41 - page générée en 41 ms")
     assert P.line_digest("a@b.fr écrit") == P.line_digest("x.y@c.org écrit")
+
+
+FOOT = "\n© 2025 Portal. All rights reserved.\n{}\nSite map\nBack to top"
+WORDS = ("Charte", "Partenaires", "Presse", "Dons", "Marchés", "Annuaire", "Boutique", "Médias")
+
+
+def kept_lines(page, lexicon):
+    read = P.read_page("My job", page, lexicon)
+    return [read.lines[i] for i in P.body_lines(read, lexicon)]
+
+
+def test_a_footer_of_unknown_wording_is_dropped(spark):
+    record = PAGE.rsplit("\n", 1)[0].replace("Git\n", "Git\nShare this vacancy\nDocker\n")
+    rows = [(f"u{i}", "My job", record + FOOT.format(w), "ab"[i % 2]) for i, w in enumerate(WORDS)]
+    df = spark.createDataFrame(rows, "url string, title string, raw_text string, source string")
+    got = {}
+    for r in main_text.main_lines(df, "url", "title", "raw_text", "source").collect():
+        got.setdefault(r["key"], []).append((r["line_no"], r["line"]))
+    assert len(got) == len(WORDS)
+    for lines in got.values():
+        lines = [x for _, x in sorted(lines)]
+        assert not set(WORDS) & set(lines) and lines[-5:] == ["Git", "Docker", "R", "Contact", "Call the office."]
+
+
+def test_density_decides_on_lines_beside_link_text():
+    closing = P.Lexicon(closing={P.line_digest("© 2025 Portal. All rights reserved.")}, openings={"other job"})
+    page = "My job\nLieu : 35000 RENNES\nPrésentation\n" + "A sentence on graphs and on people. " * 6
+    assert "Charte" not in kept_lines(page + FOOT.format("Charte"), closing)
+    prose = ("The laboratory pays the journeys of everyone who works there. " * 6).strip()
+    assert prose in kept_lines(page + "\n© 2025 Portal. All rights reserved.\n" + prose, closing)
+    between = kept_lines(page + "\nOffres similaires\nOther job one\nA job of unknown title\nOther job two\nCompétences\nGit", closing)
+    assert between[-2:] == ["Compétences", "Git"] and not any("job" in x for x in between[1:])
