@@ -1,15 +1,15 @@
-"""Near-duplicate records: a MinHash LSH forest with adaptively shortened prefixes, then an exact check.
+"""Near-duplicate records: a MinHash LSH forest with prefixes as long as the wanted similarity allows, then an exact check.
 
 A text is the set of its sequences of n consecutive words. Rows with the same text are one class; the forest
 holds one representative of each. Every tree orders the representatives by the string of their min-hashes,
-kept as one byte each; two of them meet in a tree at depth d when the first d bytes agree. A pilot over some
-trees begins at the deepest prefixes. From the similarities of the pairs it finds, estimated by their sketches and
-each weighted by the inverse of its chance to be found, the recall of the whole forest at every shorter prefix is
-estimated, and the prefixes are shortened to the longest that reaches the target. Candidates pass two sketch tests, of the
+kept as one byte each; two of them meet in a tree at depth d when the first d bytes agree. The prefixes are the
+longest at which a pair of just the wanted similarity meets in some tree with the target chance. The chance grows
+with the similarity, so every single pair has it, whatever the other pairs are. Candidates pass two sketch tests, of the
 lowest bits of the min-hashes, whose thresholds lie 4.5 standard deviations below the wanted similarity, and
 are then compared word by word.
 
-Signatures are computed in one pass over the texts; prefixes, candidates and sketch tests stay in the JVM,
+The trees are taken in blocks, and the shuffle files of a block are removed when its pairs are kept, so that disk
+holds one block at a time. Signatures are computed in one pass over the texts; prefixes, candidates and sketch tests stay in the JVM,
 and only pairs that passed both tests meet their texts again.
 
 Defined cases: rows with a null key or a null text never take part; a text of fewer than n words is one
@@ -21,7 +21,7 @@ long.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.textforms import canonical, words
-from cairnworks.runtime import cut
+from cairnworks.runtime import cut_freed
 
-TREES, DEEPEST, PILOT_TREES = 112, 6, 8
-SKETCH_BITS = TREES * DEEPEST // 64 * 64
+TREES, DEEPEST = 240, 6
+BLOCK_TREES = 48  # of the forest on disk at once
+SKETCH_BITS = 768
 FIRST_BITS = 256  # of them, tested first
 TARGET_RECALL = 0.9995
 
@@ -72,9 +73,9 @@ class Shingler:
         return np.unique(total)
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    """TREES * DEEPEST min-hashes; those of tree t stand at t * DEEPEST."""
-    a, b = _functions()
+def min_hashes(shingles: np.ndarray, depth: int = DEEPEST) -> np.ndarray:
+    """TREES * depth min-hashes, or as many as the sketch needs; the first of every tree come first, then the second."""
+    a, b = (x[: max(TREES * depth, SKETCH_BITS)] for x in _functions())
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(x), 64):
@@ -82,20 +83,20 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def signature(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """A byte of each min-hash, and the sketch of one other bit of each as longs."""
-    m = min_hashes(shingles)
-    mixed = m * np.uint32(0x9E3779B1)
+def signature(shingles: np.ndarray, depth: int) -> tuple[bytes, np.ndarray]:
+    """A byte of each min-hash, those of tree t at t * depth, and the sketch of one other bit of SKETCH_BITS of them as longs."""
+    m = min_hashes(shingles, depth)
+    mixed = m[: TREES * depth].reshape(depth, TREES).T * np.uint32(0x9E3779B1)
     return (mixed >> np.uint32(24)).astype(np.uint8).tobytes(), np.packbits((m[:SKETCH_BITS] >> np.uint32(7)).astype(np.uint8) & 1).view(np.int64)
 
 
-def _signature_batches(n: int):
+def _signature_batches(n: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(n)
         for batch in batches:
             sets = [of(t) for t in batch.column(1).to_pylist()]
             keep = [i for i, s in enumerate(sets) if len(s)]
-            signed = [signature(sets[i]) for i in keep]
+            signed = [signature(sets[i], depth) for i in keep]
             width = SKETCH_BITS // 64
             flat = np.concatenate([s for _, s in signed]) if signed else np.empty(0, np.int64)
             rows = pa.array(keep, pa.int64())
@@ -131,9 +132,9 @@ def _least_agreeing(bits: int, threshold: float) -> float:
     return bits * p - 4.5 * (bits * p * (1 - p)) ** 0.5
 
 
-def _sketched(reps: DataFrame, depth: int, trees: int, threshold: float) -> DataFrame:
-    """(a, b, ka, kb, ca, cb, similarity) of representatives that meet in a tree at this depth and pass both sketch tests."""
-    spots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.hash(t, F.substring("bytes", t * DEEPEST + 1, depth)))
+def _sketched(reps: DataFrame, depth: int, trees: range, threshold: float) -> DataFrame:
+    """(a, b, ka, kb, ca, cb) of representatives that meet in one of the trees at this depth and pass both sketch tests."""
+    spots = F.transform(F.sequence(F.lit(trees[0]), F.lit(trees[-1])), lambda t: F.hash(t, F.substring("bytes", t * depth + 1, depth)))
     forest = reps.select("id", F.explode(spots).alias("spot"))
     candidates = forest.select("spot", F.col("id").alias("a")).join(forest.select("spot", F.col("id").alias("b")), "spot").filter("a < b").select("a", "b").distinct()
     bits, first = SKETCH_BITS, FIRST_BITS // 64
@@ -151,7 +152,7 @@ def _sketched(reps: DataFrame, depth: int, trees: int, threshold: float) -> Data
         .select("a", "b", differing("sa", "sb", first).alias("off"))
         .join(tail.toDF("a", "ka", "ca", "ta"), "a").join(tail.toDF("b", "kb", "cb", "tb"), "b")
         .filter(agreeing >= _least_agreeing(bits, threshold))
-        .select("a", "b", "ka", "kb", "ca", "cb", (2 * agreeing / bits - 1).alias("similarity"))
+        .select("a", "b", "ka", "kb", "ca", "cb")
     )
 
 
@@ -166,13 +167,12 @@ def chance(similarity: float, depth: int, trees: int) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def _shortened(found: DataFrame, target: float, threshold: float) -> int:
-    """The longest prefix at which the whole forest is estimated to find the target share, from the pilot's pairs."""
-    similar = F.least("similarity", F.lit(0.99))
-    bins = [(r["s"] / 100 + 0.005, r["count"]) for r in found.filter(similar >= threshold).groupBy(F.floor(similar * 100).alias("s")).count().collect()]
-    weights = [(s, n / chance(s, DEEPEST, PILOT_TREES)) for s, n in bins] or [(threshold, 1.0)]
-    total = sum(w for _, w in weights)
-    return next((d for d in range(DEEPEST, 0, -1) if sum(w * chance(s, d, TREES) for s, w in weights) >= target * total), 1)
+def prefix_length(threshold: float, target: float) -> int:
+    """The longest prefix at which a pair of just this similarity, and so every more similar one, meets with the target chance."""
+    depth = next((d for d in range(DEEPEST, 0, -1) if chance(threshold, d, TREES) >= target), None)
+    if depth is None:
+        raise ValueError(f"no prefix of {TREES} trees finds pairs at a similarity of {threshold} with a chance of {target}")
+    return depth
 
 
 def near_duplicates(rows: DataFrame, key: str, text: Column, *, n: int = 5, threshold: float = 0.8, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,10 +180,12 @@ def near_duplicates(rows: DataFrame, key: str, text: Column, *, n: int = 5, thre
     of_class = F.unhex(F.concat(F.lpad(F.hex(F.xxhash64("text")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("second"), "text")), 16, "0")))
     texts = rows.select(F.col(key).alias("key"), text.alias("text")).filter("key IS NOT NULL AND text IS NOT NULL").select("key", of_class.alias("class"), "text")
     leaders = texts.groupBy("class").agg(F.min(F.struct("key", "text")).alias("x")).select("x.key", "x.text", "class")
-    signed = leaders.mapInArrow(_signature_batches(n), "key string, class binary, n int, bytes binary, sketch array<long>")
-    reps = cut(signed.withColumn("id", F.monotonically_increasing_id()))
-    depth = _shortened(_sketched(reps, DEEPEST, PILOT_TREES, threshold), target, threshold)
-    links = cut(_verified(_sketched(reps, depth, TREES, threshold), texts, n, threshold))
+    depth = prefix_length(threshold, target)
+    signed = leaders.mapInArrow(_signature_batches(n, depth), "key string, class binary, n int, bytes binary, sketch array<long>")
+    reps = cut_freed(signed.withColumn("id", F.monotonically_increasing_id()))
+    blocks = [range(i, min(i + BLOCK_TREES, TREES)) for i in range(0, TREES, BLOCK_TREES)]
+    passed = reduce(DataFrame.unionByName, [cut_freed(_sketched(reps, depth, x, threshold)) for x in blocks])
+    links = cut_freed(_verified(passed.dropDuplicates(["a", "b"]), texts, n, threshold))
     return texts.select("key", "class").distinct(), reps.select("class", "id"), links
 
 

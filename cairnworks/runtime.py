@@ -41,3 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Run df once and cut its lineage in the reliable, shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_freed(df: DataFrame) -> DataFrame:
+    """cut, and remove the shuffle files of df as soon as its rows are in the checkpoint."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREED, "false")
+    conf.set(FREED, "true")
+    try:
+        return cut(df)
+    finally:
+        conf.set(FREED, before)

@@ -49,3 +49,25 @@ def test_min_hash_estimates_similarity():
 
 def test_shorter_prefixes_find_more():
     assert N.chance(0.5, 5, N.TREES) > N.chance(0.5, 6, N.TREES) and N.chance(0.6, 5, N.TREES) > 0.999
+
+
+def test_pairs_near_the_threshold_are_found_beside_a_hot_group(spark):
+    """Many near-equal texts must not shorten the search for the few pairs of barely enough similarity."""
+    rnd = random.Random(8)
+    fresh = (f"v{i}" for i in range(10**6))
+    base = [next(fresh) for _ in range(80)]
+    texts = {f"hot{i}": base + [next(fresh)] for i in range(200)}
+    want = set()
+    for i in range(40):
+        left, same = [next(fresh) for _ in range(80)], 54  # 52 common sequences of 3 words, 26 others on each side: a half
+        texts[f"x{i}"], texts[f"y{i}"] = left, left[:same] + [next(fresh) for _ in range(80 - same)]
+        want.add((f"x{i}", f"y{i}"))
+    rows = [(k, " ".join(t)) for k, t in texts.items()]
+    rnd.shuffle(rows)
+    pairs = {tuple(r) for r in N.near_duplicate_pairs(spark.createDataFrame(rows, "url string, t string"), "url", F.col("t"), n=3, threshold=0.5).collect()}
+    assert want <= pairs and len(pairs) == 40 + 200 * 199 // 2
+
+
+def test_every_pair_at_the_threshold_has_the_target_chance():
+    for threshold in (0.2, 0.5, 0.8, 0.95):
+        assert N.chance(threshold, N.prefix_length(threshold, N.TARGET_RECALL), N.TREES) >= N.TARGET_RECALL
