@@ -23,11 +23,12 @@ from cairnworks.llm.pages import LONGEST, Lexicon, Page, learned_lexicon, line_d
 
 _FIELD = r"[A-Za-zÀ-ÿ]\w*(?:[._-]\w+)+"  # a name of parts: nom_labo, offer.location
 _CAPS = r"[A-ZÀ-Ý]{2,}(?:[_. ][A-ZÀ-Ý]+)*"
+_TO_FILL = r"\s*(?i:[àa] (?:compléter|completer|préciser|preciser|renseigner|définir|remplir))\b"
 PLACEHOLDERS = re.compile(
     rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|\$\{{[^{{}}\n]{{1,60}}\}}|#\{{[^{{}}\n]{{1,60}}\}}|\{{%[^%\n]{{1,60}}%\}}|<%[^%\n]{{1,60}}%>|\[\[[^\[\]\n]{{1,60}}\]\]|##[^#\n]{{1,60}}##|@@[^@\n]{{1,60}}@@"
     rf"|\{{(?:{_FIELD}|{_CAPS}|[a-zà-ÿ]{{3,}})\}}|\[(?:{_FIELD}|[A-ZÀ-Ý]{{4,}}(?:[_ ][A-ZÀ-Ý]+)*|employeur|employer)\]|<(?:{_FIELD}|[A-ZÀ-Ý]{{4,}}(?:[_ ][A-ZÀ-Ý]+)*|employeur|employer)>"
     rf"|(?<![\w%])%(?:{_FIELD}|[A-ZÀ-Ý]{{3,}}(?:[_ ][A-ZÀ-Ý]+)*|[a-zà-ÿ]{{4,}})%|(?<!\w)__[A-Za-zÀ-ÿ][\w. À-ÿ]*?__(?!\w)|(?<![\w$])\$(?:{_FIELD}|[A-ZÀ-Ý]{{3,}}(?:[_ ][A-ZÀ-Ý]+)*|[a-z]{{4,}})\b"
-    r"|\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|#DIV/0!|(?<!\w)X{4,}(?!\w)|\.{5,}\s*\(|[(<\[{%$#_]\s*(?i:[àa] (?:compléter|completer|préciser|preciser|renseigner|définir|remplir))\b"
+    rf"|\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|#DIV/0!|(?<!\w)X{{4,}}(?!\w)|\.{{5,}}\s*\(|[(<\[{{%$#_]{_TO_FILL}"
     r"|\((?:compléter|completer|to be completed|to complete)\)|\[(?:insert|insérer|insérez)[^\]\n]{0,60}\]|<(?:insert|insérer|insérez)[^>\n]{0,60}>"
 )
 # a stand-in as the whole value of a fact, or in the place of a name
@@ -63,14 +64,21 @@ _MESSAGE_HINTS = (
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-_OPENERS = ("{", "[", "<", "%", "$", "#", "__", "@@", "XXXX", ".....", "(à ", "(a ", "(À ", "(compl", "(to ")
-_STANDIN_HINTS = ("undefined", "null", "NaN", "None", "TBD", "TBC", "TBA", "TODO", "N/C", "à renseigner", "à compléter", "à préciser", "à définir", "À ", "to be ", "???", "____", "....")
+# every match of PLACEHOLDERS holds one of these, but for a single ( or _ before _TO_FILL, which has its own pattern
+_OPENERS = ("{", "[", "<", "%", "$", "#", "__", "@@", "XXXX", ".....", "(compl", "(to ")
+_BARE_TO_FILL = re.compile(rf"[(_]{_TO_FILL}")
+# every match of _WHOLE_VALUE and _IN_PLACE holds one of these, the second ones in lower case; those end before a letter with a third case form (i, s)
+_STANDIN_HINTS = ("undefined", "null", "NaN", "None", "TBD", "TBC", "TBA", "TODO", "N/C", "to be ", "???", "____", "....")
+_LOW_STANDIN_HINTS = ("à ren", "à compl", "à préc", "à déf")
 
 
 def has_placeholder(text: str) -> bool:
     if any(x in text for x in _OPENERS) and PLACEHOLDERS.search(text):
         return True
-    return any(x in text for x in _STANDIN_HINTS) and bool(_WHOLE_VALUE.search(text) or _IN_PLACE.search(text))
+    if ("(" in text or "_" in text) and _BARE_TO_FILL.search(text):
+        return True
+    low = text.lower()
+    return (any(x in text for x in _STANDIN_HINTS) or any(x in low for x in _LOW_STANDIN_HINTS)) and bool(_WHOLE_VALUE.search(text) or _IN_PLACE.search(text))
 
 
 @lru_cache(maxsize=50_000)

@@ -99,3 +99,17 @@ def test_density_decides_on_lines_beside_link_text():
     assert prose in kept_lines(page + "\n© 2025 Portal. All rights reserved.\n" + prose, closing)
     between = kept_lines(page + "\nOffres similaires\nOther job one\nA job of unknown title\nOther job two\nCompétences\nGit", closing)
     assert between[-2:] == ["Compétences", "Git"] and not any("job" in x for x in between[1:])
+
+
+STANDINS = ["undefined", "null", "NaN", "None", "TBD", "TBC", "TBA", "TODO", "N/C", "to be defined", "to be completed", "???", "____", "....", "à renseigner", "à compléter", "à préciser", "à définir"]
+TO_FILL = [f"{a} {v}" for a in "àa" for v in ("compléter", "completer", "préciser", "preciser", "renseigner", "définir", "remplir")]
+FIELDS = ["{{x}}", "${x}", "#{x}", "{% x %}", "<% x %>", "[[x]]", "##x##", "@@x@@", "{a_b}", "{AB}", "{abc}", "[a.b]", "[ABCD]", "<a_b>", "<ABCD>", "%a_b%", "%ABC%", "%abcd%", "__a__", "$a_b", "$ABC", "$abcd",
+          "[object Object]", "#REF!", "#N/A", "#VALUE!", "#NAME?", "#DIV/0!", "XXXX", "..... (", "(compléter)", "(completer)", "(to be completed)", "(to complete)", "[insert x]", "[insérez x]", "<insert x>"]
+
+
+def test_hints_agree_with_the_patterns_on_every_alternative():
+    samples = [f"Poste {x} " for x in FIELDS] + [f"Lieu : {x}" for x in STANDINS] + [f"Poste {o}{b}{x}" for o in "(<[{%$#_" for b in ("", " ") for x in TO_FILL]
+    for sample in samples:
+        assert R.has_placeholder(sample), sample
+        for x in (sample.upper(), sample.title(), sample.lower(), sample.replace("i", "ı").replace("s", "ſ")):
+            assert R.has_placeholder(x) == any(p.search(x) is not None for p in (R.PLACEHOLDERS, R._WHOLE_VALUE, R._IN_PLACE)), x
