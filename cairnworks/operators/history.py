@@ -2,7 +2,9 @@
 
 `scd2_merge` compares the attribute digest of every observation with the version current at its time,
 closes a version where the digest changes and opens a new one. A whole log is the merge into an empty
-dimension; a later batch merges into the versions already kept, with the same result.
+dimension; a later batch merges into the versions already kept, with the same result. Kept versions do not
+tell when they were seen between their borders, so a key with a row at or before the last time it was seen is
+rebuilt from the log of earlier observations; without that log such a batch is refused.
 
 The work is spread so that no task holds the whole timeline of a key. Keys with more than HOT_ROWS
 observations, of which there can be at most rows/HOT_ROWS, are cut into time blocks; all others are one
@@ -37,15 +39,17 @@ def _versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Heads: the first row of each run of equal digests within a block. Summary: one row per block with what crosses its borders."""
     inside = Window.partitionBy("key", "block").orderBy("at_us", "tie", "digest")
     heads = (
-        rows.withColumn("before", F.lag("digest").over(inside))
+        rows.withColumn("seen_us", F.max("seen_us").over(Window.partitionBy("key", "block")))
+        .withColumn("before", F.lag("digest").over(inside))
         .filter("before IS NULL OR before <> digest")
         .withColumn("n", F.row_number().over(inside))
         .withColumn("next_us", F.lead("at_us").over(inside))
-        .select("key", "block", "at_us", "digest", "n", "next_us")
+        .select("key", "block", "at_us", "digest", "n", "next_us", "seen_us")
     )
     blocks = heads.groupBy("key", "block").agg(
         F.min_by("digest", "n").alias("first_digest"), F.max_by("digest", "n").alias("last_digest"), F.max("n").alias("heads"),
         F.min("at_us").alias("first_us"), F.min_by("next_us", "n").alias("second_us"),
+        F.max("seen_us").alias("seen_us"),
     )
     by_time = Window.partitionBy("key").orderBy("block")
     blocks = (
@@ -54,20 +58,33 @@ def _versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("kept", F.col("heads") - F.col("drop_first").cast("int"))
         .withColumn("offset", F.coalesce(F.sum("kept").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("after_us", F.first("opens_us", ignorenulls=True).over(by_time.rowsBetween(1, Window.unboundedFollowing)))
-        .select("key", "block", "drop_first", "offset", "heads", "after_us")
+        .withColumn("seen_us", F.max("seen_us").over(Window.partitionBy("key")))
+        .select("key", "block", "drop_first", "offset", "heads", "after_us", "seen_us")
     )
-    return heads, blocks
+    return heads.drop("seen_us"), blocks
 
 
-def scd2_merge(observations: DataFrame, *, key: str, attributes: Column, at_us: Column, tie: Column, entities: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
-    """Versions (key, version_no, valid_from_us, valid_to_us, digest); valid_to_us is OPEN for the open version.
+def scd2_merge(observations: DataFrame, *, key: str, attributes: Column, at_us: Column, tie: Column, entities: DataFrame | None = None, current: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
+    """Versions (key, version_no, valid_from_us, valid_to_us, digest, seen_us); valid_to_us is OPEN for the open version.
 
+    seen_us is the last observed time of the key.
     current: versions kept from earlier merges, same columns; its rows take part as observations at their start.
+    log: the observations of earlier merges, columns as in observations; read for keys with rows that arrive late only.
     entities: optional (key, opened_us, closed_us), unique by key: an earlier start of version 1 and the end of the last.
     """
-    rows = observations.select(F.col(key).alias("key"), at_us.alias("at_us"), tie.alias("tie"), F.xxhash64(attributes).alias("digest"))
+    def observed(df: DataFrame) -> DataFrame:
+        return df.select(F.col(key).alias("key"), at_us.alias("at_us"), tie.alias("tie"), F.xxhash64(attributes).alias("digest"), at_us.alias("seen_us"))
+
+    rows = observed(observations)
     if current is not None:
-        rows = rows.unionByName(current.select("key", F.col("valid_from_us").alias("at_us"), (F.col("version_no") - F.lit(1 << 40)).alias("tie"), "digest"))
+        seen = current.groupBy("key").agg(F.max("seen_us").alias("kept_us"))
+        late = rows.join(seen, "key").filter("at_us <= kept_us").select("key").distinct()
+        if log is not None:
+            rows = rows.unionByName(observed(log).join(late, "key", "left_semi"))
+            current = current.join(late, "key", "left_anti")
+        elif not late.isEmpty():
+            raise ValueError("rows at or before the last time their key was seen need the log of earlier observations")
+        rows = rows.unionByName(current.select("key", F.col("valid_from_us").alias("at_us"), (F.col("version_no") - F.lit(1 << 40)).alias("tie"), "digest", "seen_us"))
     heads, blocks = _versions(_blocked(rows.filter("key IS NOT NULL AND at_us IS NOT NULL")))
     if entities is None:
         blocks = blocks.withColumns({"opened_us": F.lit(None).cast("long"), "closed_us": F.lit(None).cast("long")})
@@ -81,7 +98,7 @@ def scd2_merge(observations: DataFrame, *, key: str, attributes: Column, at_us:
             "key", version_no.alias("version_no"),
             F.when(version_no == 1, F.least("at_us", "opened_us")).otherwise(F.col("at_us")).alias("valid_from_us"),
             F.coalesce("next_us", "after_us", "closed_us", F.lit(OPEN).cast("long")).alias("valid_to_us"),
-            "digest",
+            "digest", "seen_us",
         )
     )
 

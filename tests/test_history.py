@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairnworks.operators import history as H
@@ -59,3 +60,17 @@ def test_entities_move_the_first_start_and_the_last_end(spark):
 
 def test_empty_table(spark):
     assert versions(merged(spark, [(1, None, "a", 1)])) == []
+
+
+def test_late_rows_behind_kept_versions_rebuild_their_keys(spark):
+    early = [(1, "u", "a", 1), (2, "u", "a", 3), (3, "u", "a", 5), (4, "v", "a", 5)]
+    late = [(5, "u", "b", 2), (6, "v", "b", 9), (7, "w", "a", 1)]
+    log = spark.createDataFrame([(*r, "clash", "clash") for r in early], SCHEMA)
+    kept = merged(spark, early)
+    assert versions(merged(spark, late, current=kept, log=log)) == brute(early + late)
+    with pytest.raises(ValueError):
+        merged(spark, late, current=kept)
+    rows = random_rows(5)
+    one, two = rows[::2], rows[1::2]  # each over the whole time
+    kept = merged(spark, one)
+    assert versions(merged(spark, two, current=kept, log=spark.createDataFrame([(*r, "", "") for r in one], SCHEMA))) == brute(rows)
