@@ -4,9 +4,9 @@ Each delivery is reduced to one entry per key. Entries go to hash buckets of the
 delivery is an invertible Bloom lookup table (IBLT) of three sub-tables whose cells hold a count and the
 XOR of key digests, value digest and entry digest. Subtracting the tables of neighbouring deliveries
 cancels all unchanged entries, so only non-zero cells leave the JVM. Peeling recovers the differing
-entries with their sign; a bucket that does not peel to all-zero cells, or whose recovered entries do not
-reproduce the bucket digest, is built again with larger tables and another hash. Recovered keys that
-occur with both signs are `changed`, with + only `added`, with - only `removed`.
+entries with their sign; an entry counts only if its digest is that of its keys and value, and a bucket that does not peel to
+all-zero cells is built again with larger tables and another hash. So the result is right up to collisions of
+64-bit hashes; there is no further digest of a bucket. Recovered keys that occur with both signs are `changed`, with + only `added`, with - only `removed`.
 
 Defined cases: a null key or delivery is not an entry and is left out; a null value is a value of its own;
 equal order values are settled by the greater tie column, then the greater value digest; repeated rows
@@ -131,7 +131,7 @@ def _subtracted(entries: DataFrame, pairs: DataFrame, cells: int, seed: int, onl
 
 
 def _difference(entries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Differing entries (pair, kd, kd2, vd, sign) of all neighbouring deliveries; every bucket is verified."""
+    """Differing entries (pair, kd, kd2, vd, sign) of all neighbouring deliveries; every bucket is peeled to all-zero cells."""
     cells, seed, only, done = FIRST_CELLS, 0, None, None
     for _ in range(MAX_ROUNDS):
         got = cut(_subtracted(entries, pairs, cells, seed, only).mapInArrow(_peel_batches(cells, seed), RECOVERED))
