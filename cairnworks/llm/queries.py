@@ -26,7 +26,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(_described(spark, sf_dir), "url", F.concat_ws(" ", "title", "description")).withColumnRenamed("key", "url")
+    """The relation of p4_found with one row per offer: its class of equal texts, the group its links lead to, and their number."""
+    return near_duplicate_classes(_described(spark, sf_dir), "url", F.concat_ws(" ", "title", "description"), n=3, threshold=0.5).withColumnRenamed("key", "url")
 
 
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:

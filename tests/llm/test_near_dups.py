@@ -43,12 +43,51 @@ def test_min_hash_estimates_similarity():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 2**63, 200, dtype=np.uint64)
     y = np.concatenate([x[:140], rnd.integers(0, 2**63, 60, dtype=np.uint64)])
-    same = np.mean(N.min_hashes(x) == N.min_hashes(y))
+    same = np.mean(N.min_hashes(x, 1000) == N.min_hashes(y, 1000))
     assert abs(same - 140 / 260) < 0.08
 
 
-def test_shorter_prefixes_find_more():
-    assert N.chance(0.5, 5, N.TREES) > N.chance(0.5, 6, N.TREES) and N.chance(0.6, 5, N.TREES) > 0.999
+def test_every_level_has_the_target_chance_at_the_threshold():
+    for threshold in (0.2, 0.5, 0.8, 0.95):
+        steps = N.levels(threshold, N.TARGET_RECALL)
+        assert all(N.chance(threshold, d, t) >= N.TARGET_RECALL for d, t in steps) and [d for d, _ in steps] == sorted({d for d, _ in steps})
+
+
+def test_members_of_one_trie_node_stand_in_a_row():
+    rnd = np.random.default_rng(2)
+    hashes = rnd.integers(0, 1 << 32, (50, 6), dtype=np.uint32)
+    hashes[10:20, [0, 2]] = hashes[0, [0, 2]]  # depth 3, two trees: the first two min-hashes of tree 0
+    order = np.argsort(N.node_numbers(hashes, 3, 2)[:, 0])
+    places = sorted(np.flatnonzero(np.isin(order, [0, *range(10, 20)])))
+    assert places[-1] - places[0] == 10
+
+
+def test_crowded_nodes_give_the_same_pairs(spark):
+    """With small nodes most texts go on to longer prefixes, and the nodes of the last level are cut into blocks."""
+    texts, want = made_up(6, 260)
+    df = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)] + [(f"z{i}", f"{texts[0]} z{i}") for i in range(40)], "url string, t string")
+    few = {tuple(r) for r in N.near_duplicate_pairs(df, "url", F.col("t"), n=3, threshold=0.5, crowd=4).collect()}
+    all_ = {tuple(r) for r in N.near_duplicate_pairs(df, "url", F.col("t"), n=3, threshold=0.5).collect()}
+    assert few == all_ and want <= few and len(few) > 40 * 39 // 2
+
+
+def test_nodes_that_go_on_over_batches():
+    rnd = np.random.default_rng(3)
+    nodes = np.sort(rnd.integers(0, 12, 300))
+    ids, sketch = rnd.permutation(300), np.zeros((300, N.NEAR // 32), np.int64)
+    batch = lambda a, b: N.pa.RecordBatch.from_arrays([N.pa.array(x[a:b]) for x in (nodes, ids, *sketch.T)], names=[str(i) for i in range(2 + sketch.shape[1])])
+    crowd = 27
+    out = [r for b in N._node_batches(0.5, crowd)(iter([batch(i, i + 7) for i in range(0, 300, 7)])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    groups = [ids[nodes == v].tolist() for v in range(12)]
+    assert {r for r in out if r[1] is not None} == {(min(x, y), max(x, y)) for g in groups if len(g) <= crowd for x in g for y in g if x != y}
+    assert {r[0] for r in out if r[1] is None} == {x for g in groups if len(g) > crowd for x in g}
+
+
+def test_groups_of_linked_texts(spark):
+    chain = [[f"w{j}" for j in range(i * 6, i * 6 + 60)] for i in range(12)]  # neighbours share most words, the ends none
+    df = spark.createDataFrame([(f"c{i:02}", " ".join(t)) for i, t in enumerate(chain)] + [("alone", "one two three four five six")], "url string, t string")
+    got = {r["key"]: r["group_id"] for r in N.near_duplicate_classes(df, "url", F.col("t"), n=3, threshold=0.6).collect()}
+    assert len({g for k, g in got.items() if k != "alone"}) == 1 and got["alone"] != got["c00"]
 
 
 def test_pairs_near_the_threshold_are_found_beside_a_hot_group(spark):
@@ -66,8 +105,3 @@ def test_pairs_near_the_threshold_are_found_beside_a_hot_group(spark):
     rnd.shuffle(rows)
     pairs = {tuple(r) for r in N.near_duplicate_pairs(spark.createDataFrame(rows, "url string, t string"), "url", F.col("t"), n=3, threshold=0.5).collect()}
     assert want <= pairs and len(pairs) == 40 + 200 * 199 // 2
-
-
-def test_every_pair_at_the_threshold_has_the_target_chance():
-    for threshold in (0.2, 0.5, 0.8, 0.95):
-        assert N.chance(threshold, N.prefix_length(threshold, N.TARGET_RECALL), N.TREES) >= N.TARGET_RECALL
