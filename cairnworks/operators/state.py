@@ -1,14 +1,22 @@
-"""Keyed state in plain tables: merge by key, append, disappearance, caches, versions.
+"""Keyed state in plain tables: merge by key, append, disappearance, caches, versions, the run log.
 
-Parquet tables know no MERGE: a merge is a full outer join written as the next version of the table, and a
-pointer file names the current version, so no reader sees a half-written table.
+Parquet tables know no MERGE: a merge is a full outer join written as the next version of the table. A version
+exists once its commit file does, which is created after its data and never changed, so no reader sees a
+half-written table and a crash leaves the version before.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairnworks.runtime import cut
+
 
 def merge_by_key(current: DataFrame, incoming: DataFrame, key: str, *, keep: list[str], touch: dict[str, Column] | None = None) -> DataFrame:
     """Incoming rows replace current ones of their key in all columns but those in `keep`; other rows stay.
@@ -46,19 +54,24 @@ def with_defaults(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: d for c, d in added.items() if c not in df.columns})
 
 
+def _content(df: DataFrame) -> Column:
+    """Settles rows of equal position by what they hold; works for maps too."""
+    return F.xxhash64(F.to_json(F.struct(*df.columns)))
+
+
 def last_wins(df: DataFrame, key: Column, position: str) -> DataFrame:
     """The last row of each key at the place of its first: no window over a hot key, one aggregation."""
-    row = F.struct(F.col(position).alias("__at"), *df.columns)
-    return df.groupBy(key.alias("__key")).agg(F.max(row).alias("__row"), F.min(position).alias("first_position")).select("__row.*", "first_position").drop("__at")
+    row, order = F.struct(*df.columns), F.struct(F.col(position), _content(df))
+    return df.groupBy(key.alias("__key")).agg(F.max_by(row, order).alias("__row"), F.min(position).alias("first_position")).select("__row.*", "first_position")
 
 
 def first_wins(df: DataFrame, key: Column, position: str) -> DataFrame:
-    row = F.struct(F.col(position).alias("__at"), *df.columns)
-    return df.groupBy(key.alias("__key")).agg(F.min(row).alias("__row")).select("__row.*").drop("__at")
+    row, order = F.struct(*df.columns), F.struct(F.col(position), _content(df))
+    return df.groupBy(key.alias("__key")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
 
 
 def latest_by(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    return df.groupBy(*group).agg(F.max(F.struct(*order, *[c for c in df.columns if c not in order])).alias("__row")).select("__row.*")
+    return df.groupBy(*group).agg(F.max_by(F.struct(*df.columns), F.struct(*order, _content(df))).alias("__row")).select("__row.*")
 
 
 def changed_versions(snapshots: DataFrame, offers: DataFrame) -> DataFrame:
@@ -76,8 +89,18 @@ def cache_lookup(rows: DataFrame, cache: DataFrame, version: str) -> tuple[DataF
     return rows.join(held, "content_hash"), rows.join(held, "content_hash", "left_anti")
 
 
+def cache_put(cache: DataFrame, answers: DataFrame, valid: Column, now: Column) -> DataFrame:
+    """The cache with the valid answers (content_hash, classifier_version, response_json); an invalid one is never kept.
+
+    Of several answers of a key the first in order of their text counts; a key that is held already gets the new answer.
+    """
+    key = ["content_hash", "classifier_version"]
+    fresh = answers.filter(F.coalesce(valid, F.lit(False))).groupBy(*key).agg(F.min("response_json").alias("response_json")).withColumn("created_at", now)
+    return cache.join(fresh.select(*key), key, "left_anti").unionByName(fresh.select(*cache.columns))
+
+
 class VersionedTable:
-    """A table of whole versions under one folder; `CURRENT` names the one to read."""
+    """A table of versions under one folder. The commit file of a version lists the data folders it consists of."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -88,36 +111,115 @@ class VersionedTable:
         return jvm, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
+        """The greatest committed version; 0 where there is none."""
         jvm, fs = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(self.path + "/CURRENT")
-        if not fs.exists(pointer):
-            return 0
-        return int(self.spark.read.text(self.path + "/CURRENT").first()[0])
+        commits = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits")
+        names = [x.getPath().getName() for x in fs.listStatus(commits)] if fs.exists(commits) else []
+        return max((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), default=0)
+
+    def commit(self, version: int | None = None) -> dict:
+        """What the commit file of a version says: `folders`, and `batches`, the last batch of each stream."""
+        v = self.version() if version is None else version
+        if not v:
+            return {"folders": [], "batches": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/_commits/{v}.json", wholetext=True).first()[0])
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/v={v}") if v else None
+        folders = self.commit()["folders"]
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{x}" for x in folders]) if folders else None
 
-    def write(self, df: DataFrame) -> int:
+    def _commit(self, df: DataFrame, before: list[str], batches: dict[str, int]) -> int:
         v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={v}")
+        df.write.mode("overwrite").parquet(f"{self.path}/v={v}")  # a folder left by a crash has no commit file
         jvm, fs = self._fs()
-        fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT.{v}"), jvm.org.apache.hadoop.fs.Path(self.path + "/CURRENT")
-        out = fs.create(fresh, True)
-        out.write(bytearray(str(v).encode()))
+        made = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits/.{v}.new")
+        out = fs.create(made, True)
+        out.write(bytearray(json.dumps({"folders": [*before, f"v={v}"], "batches": batches}).encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
+        if not fs.rename(made, jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits/{v}.json")):
+            raise RuntimeError(f"version {v} of {self.path} was committed by another writer")
         return v
 
-    def append(self, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.path}/v={max(self.version(), 1)}")
+    def write(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """df as the next version. batch: the stream and the number of the batch it comes from."""
+        return self._commit(df, [], self.commit()["batches"] | dict([batch] if batch else []))
+
+    def append(self, df: DataFrame) -> int:
+        """The next version: the folders of the one before, and df beside them; nothing is written again."""
+        held = self.commit()
+        return self._commit(df, held["folders"], held["batches"])
+
+
+RUN = "id long, started_at timestamp, finished_at timestamp, profile string, source string, source_kind string, pages_fetched long, offers_discovered long, offers_fetched long, errors_count long, status_message string"
 
 
 def next_run_id(runs: DataFrame) -> int:
     return (runs.agg(F.max("id")).first()[0] or 0) + 1
 
 
+@dataclass
+class RunCounters:
+    """What a run has done so far."""
+
+    pages_fetched: int = 0
+    offers_discovered: int = 0
+    offers_fetched: int = 0
+    errors_count: int = 0
+
+
+class RunLog:
+    """A run is appended once as open and once as closed; `rows` gives the last state of each."""
+
+    def __init__(self, log: VersionedTable):
+        self.log = log
+
+    def rows(self) -> DataFrame:
+        held = self.log.read()
+        if held is None:
+            return self.log.spark.createDataFrame([], RUN)
+        return held.groupBy("id").agg(F.max_by(F.struct(*held.columns), F.struct(F.col("finished_at").isNotNull(), "finished_at")).alias("x")).select("x.*")
+
+    def start(self, profile: str, source: str, source_kind: str, now: datetime) -> int:
+        run = next_run_id(self.rows())
+        self._append((run, now, None, profile, source, source_kind, 0, 0, 0, 0, None))
+        return run
+
+    def finish(self, run: int, counters: RunCounters, status: str, now: datetime) -> None:
+        opened = self.rows().filter(F.col("id") == run).first()
+        if opened is None:
+            raise ValueError(f"run {run} was never started")
+        c = counters
+        self._append((run, opened["started_at"], now, opened["profile"], opened["source"], opened["source_kind"], c.pages_fetched, c.offers_discovered, c.offers_fetched, c.errors_count, status))
+
+    def _append(self, row: tuple) -> None:
+        self.log.append(self.log.spark.createDataFrame([row], RUN).coalesce(1))
+
+
+def run_quality(counters: RunCounters, max_error_rate: float) -> str:
+    """`empty` when nothing was discovered, `failed` when too large a share of the fetches erred, else `ok`."""
+    tried = counters.offers_fetched + counters.errors_count
+    if not counters.offers_discovered or not tried:
+        return "empty"
+    return "failed" if counters.errors_count / tried > max_error_rate else "ok"
+
+
+def isolated_union(parts: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """The rows of all parts that can be made, with their name as `part`, and the errors of the others.
+
+    Each part is run once and kept in the shared checkpoint folder, so a part that fails late takes no other along.
+    """
+    done, errors = [], {}
+    for name, make in parts.items():
+        try:
+            done.append(cut(make().withColumn("part", F.lit(name))))
+        except Exception as e:  # noqa: BLE001
+            errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    out = None
+    for df in done:
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out, errors
+
+
 def frontier(seed: list[str], links, limit: int) -> tuple[list[str], bool]:
     """Breadth-first crawl order of list pages: (pages in order, whether the cap was reached)."""
     order, seen, queue = [], set(seed), list(seed)

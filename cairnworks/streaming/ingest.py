@@ -15,13 +15,16 @@ def stream_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def merge_stream(rows: DataFrame, state: VersionedTable, key: str, *, keep: list[str], order: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """Each micro-batch becomes the next version of the state; the last row of a key in a batch counts."""
+    """Each micro-batch becomes the next version of the state; the last row of a key in a batch counts.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
+    The version names the batch it comes from, so a batch that is delivered again after a crash is merged once.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if number <= state.commit()["batches"].get(checkpoint, -1) or batch.isEmpty():
             return
         incoming = last_wins(prepare(batch), F.col(key), order).drop("first_position")
         held = state.read()
-        state.write(incoming if held is None else merge_by_key(held, incoming, key, keep=keep))
+        state.write(incoming if held is None else merge_by_key(held, incoming, key, keep=keep), (checkpoint, number))
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import shutil
 from datetime import datetime as dt
 
 from pyspark.sql import functions as F
@@ -53,6 +54,54 @@ def test_versioned_table(spark, tmp_path):
     assert sorted(r[0] for r in t.read().collect()) == [1, 2, 10]
 
 
+def test_appending_before_the_first_write_keeps_the_rows(spark, tmp_path):
+    t = S.VersionedTable(spark, str(tmp_path / "log"))
+    assert t.append(spark.range(2)) == 1 and t.append(spark.range(2, 3)) == 2
+    assert sorted(r[0] for r in t.read().collect()) == [0, 1, 2]
+    assert t.write(spark.range(9, 10)) == 3 and [r[0] for r in t.read().collect()] == [9]
+
+
+def test_a_crash_before_the_commit_leaves_the_version_before(spark, tmp_path):
+    t = S.VersionedTable(spark, str(tmp_path / "offers"))
+    t.write(spark.range(1))
+    spark.range(50, 60).write.parquet(f"{t.path}/v=2")  # written, never committed
+    assert t.version() == 1 and [r[0] for r in t.read().collect()] == [0]
+    assert t.append(spark.range(7, 8)) == 2 and sorted(r[0] for r in t.read().collect()) == [0, 7]
+
+
+def test_wins_with_maps_and_ties(spark):
+    df = spark.createDataFrame([("k", 1, {"a": "x"}), ("k", 1, {"a": "y"}), ("j", 2, None)], "key string, position int, v map<string,string>")
+    first = {r["key"]: r["v"] for r in S.last_wins(df, F.col("key"), "position").collect()}
+    assert first == {r["key"]: r["v"] for r in S.last_wins(df.orderBy(F.desc("v.a")), F.col("key"), "position").collect()} and first["j"] is None
+    assert S.latest_by(df, ["key"], ["position"]).count() == 2 == S.first_wins(df, F.col("key"), "position").count()
+
+
+def test_run_log_and_quality(spark, tmp_path):
+    log = S.RunLog(S.VersionedTable(spark, str(tmp_path / "runs")))
+    assert log.start("all", "one", "list", T1) == 1 and log.start("all", "two", "list", T2) == 2
+    log.finish(1, S.RunCounters(3, 10, 9, 1), "ok", T3)
+    rows = {r["id"]: r for r in log.rows().collect()}
+    assert rows[1]["status_message"] == "ok" and rows[1]["started_at"] == T1 and rows[1]["offers_fetched"] == 9 and rows[2]["finished_at"] is None
+    assert S.run_quality(S.RunCounters(1, 10, 9, 1), 0.1) == "ok" and S.run_quality(S.RunCounters(1, 10, 8, 2), 0.1) == "failed" and S.run_quality(S.RunCounters(1, 0, 0, 0), 0.1) == "empty"
+
+
+def test_union_of_sources_survives_a_failing_one(spark):
+    def broken():
+        return spark.range(1).select(F.raise_error(F.lit("gone")).alias("id"))
+
+    rows, errors = S.isolated_union({"a": lambda: spark.range(2), "b": broken, "c": lambda: spark.range(1)})
+    assert sorted((r["part"], r["id"]) for r in rows.collect()) == [("a", 0), ("a", 1), ("c", 0)] and list(errors) == ["b"]
+    assert S.isolated_union({"b": broken})[0] is None
+
+
+def test_cache_put_keeps_valid_answers_only(spark):
+    ddl = "content_hash string, classifier_version string, response_json string, created_at timestamp"
+    cache = spark.createDataFrame([("h1", "v", "old", T1), ("h2", "v", "kept", T1)], ddl)
+    answers = spark.createDataFrame([("h1", "v", "new"), ("h3", "v", "bad"), ("h4", "v", "b"), ("h4", "v", "a"), ("h5", "v", None)], "content_hash string, classifier_version string, response_json string")
+    got = S.cache_put(cache, answers, F.col("response_json") != "bad", F.lit(T2))
+    assert sorted((r["content_hash"], r["response_json"]) for r in got.collect()) == [("h1", "new"), ("h2", "kept"), ("h4", "a")]
+
+
 def test_frontier_is_breadth_first_and_capped():
     graph = {"a": ["b", "c"], "b": ["d", "a"], "c": ["e"], "d": [], "e": []}
     assert S.frontier(["a"], graph.get, 50) == (["a", "b", "c", "d", "e"], False)
@@ -91,3 +140,7 @@ def test_stream_merges_into_versions(spark, tmp_path):
     (folder / "2.json").write_text('{"url":"a","n":3,"first_seen_at":"t3"}\n{"url":"b","n":1,"first_seen_at":"t3"}\n')
     go()
     assert sorted(tuple(r) for r in state.read().select("url", "n", "first_seen_at").collect()) == [("a", 3, "t2"), ("b", 1, "t3")]
+    shutil.rmtree(tmp_path / "cp" / "commits")  # a crash after the merge and before the stream notes it: the batches come again
+    before = state.version()
+    go()
+    assert state.version() == before
