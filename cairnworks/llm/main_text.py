@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnworks.llm.pages import Lexicon, body_lines, learned_lexicon, read_page
-from cairnworks.llm.residue import holds_no_record
+from cairnworks.llm.pages import Lexicon, body_lines, read_page
+from cairnworks.llm.residue import holds_no_record, page_lexicon
 
 
 def _body_batches(lexicon: Lexicon):
@@ -37,6 +37,6 @@ def _body_batches(lexicon: Lexicon):
 
 def main_lines(pages: DataFrame, key: str, title: str, raw: str, source: str) -> DataFrame:
     """(key, line_no, line) of the lines that belong to the record of the page."""
-    lexicon = learned_lexicon(pages, title, raw, source)
+    lexicon = page_lexicon(pages, title, raw, source)
     texts = pages.select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(raw).alias("raw")).filter("key IS NOT NULL AND raw IS NOT NULL")
     return texts.mapInArrow(_body_batches(lexicon), "key string, line_no int, line string")

@@ -2,20 +2,22 @@
 
 A page is text with one element per line. Two passes read every page whole:
 
-1. `line_statistics` masks numbers, addresses and dates in every line and counts, by the digest of the masked
-   line, the pages and sources that hold it, how often it stands before the heading of its page, and how
-   often on a page without any fact or section line (a bare page).
-2. Lines that recur before headings are furniture, lines that recur on bare pages only are messages, and
-   furniture that almost no line of a record follows closes its page. What is kept of these for the second pass are digests that at least MIN_SHARE of all pages hold, hence at most
-   lines-per-page / MIN_SHARE of them, whatever the size of the corpus.
-
-`page_tree` builds the element tree of a page: the part before the heading, and below it the record, each
-list of other records up to its last item (another list or a sentence ends it), and the foot from a closing line to the end or the next part of
-the record. Each holds known link text (furniture, list, trail and item lines) and lines that no rule or
-count knows. The composite text density of a node is link-adjusted characters per element; of the two
-subtrees the one with the greater sum of child densities is the body of the page, and of its children those
-are kept whose density reaches the least density on the path to the root, without their link text. So
-phrase rules and corpus counts say what is link text, and the density decides on the unknown lines beside it.
+1. `learned_lexicon` masks numbers, addresses and dates in every line and counts, by the digest of the masked
+   line, the pages and sources that hold it and where it stands: before the heading of its page, among the
+   facts, in sections of text, in sections of lists, on a page without facts and sections (a bare page). It
+   counts the pairs of neighbouring words of all titles as well.
+2. A recurring line that stands before headings, on bare pages beside others, or in several places of a record
+   is link text: navigation, notices, banners, feet, heads of lists. One that keeps to one place is plain text of
+   records. One that recurs on bare pages only is a message. A line that does not recur is link text as far as
+   its words are pairs that recur in titles, as lists of other records consist of such. No wording is fixed.
+
+`page_tree` builds the element tree of a page from this: the part before the heading and the record, each with
+its runs of lines of one kind. The composite text density of a node is link-adjusted characters per element.
+Of the two subtrees the one with the greater sum of child densities is the body; of its nodes those are kept whose
+density reaches the least on the path to the root, or that of a line as short as the shortest label of a record.
+
+What is kept of the first pass for the second is digests that at least MIN_SHARE of all pages hold, hence at most
+lines-per-page / MIN_SHARE of them, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -35,42 +38,36 @@ from cairnworks.llm.textforms import canonical
 
 MIN_SHARE = 1e-4  # of all pages that a recurring line must be on, and at least MIN_PAGES
 MIN_PAGES = 3
-HEAD_SHARE = 0.1
-BARE_SHARE = 0.8
-CLOSING_SHARE = 0.95
+MIN_PHRASED = 2  # pages of a line or title with a phrase of messages
+PAIR_SHARE = 2e-4  # of all titles that a recurring pair of words must be in
+HEAD_SHARE = 0.1  # of its pages on which link text stands before the heading
+SPREAD_SHARE = 0.1  # of its places in records that are not of the usual kind
+BESIDE_SHARE = 0.02  # of its pages that are bare, for link text
+BARE_SHARE = 0.8  # the same for a message, BARE_PHRASE if it has a phrase of messages
+BARE_PHRASE = 0.2
+PLAIN_SHARE = 0.9  # of its places that are within records, for plain text
 BARE_TITLES, BARE_TITLE_SHARE = 5, 0.6
-STATISTICS = "title boolean, digest long, head int, bare int, foot int, inside int, source string"
+LINE, TITLE, PAIR = 0, 1, 2
+STATISTICS = "kind int, digest long, head int, facts int, text int, list int, bare int, phrase int, source string"
 
 _EMAIL, _URL, _HEX = re.compile(r"\S+@\S+"), re.compile(r"\b(?:https?://|www\.)\S+"), re.compile(r"\b[0-9a-f]{8,}\b", re.I)
 _MONTH = re.compile(r"\b(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|january|february|march|april|may|june|july|august|september|october|november|december)\b", re.I)
 _NUMBER, _DIGIT = re.compile(r"\d+(?:[.,:/ -]\d+)*"), re.compile(r"\d")
-# Labels of fact lines and headings of sections, French and English.
+# The format of a record: labels of its fact lines, headings of its sections of text and of lists, French and English.
 LABELS = ("Lieu", "Unité", "Durée", "Niveau", "Type de contrat", "Contrat", "Salaire", "Référence", "Unit", "Length", "Degree", "Contract", "Place", "Salary", "Reference", "Location", "Duration")
-SECTIONS = {
-    "présentation", "missions", "sujet de thèse", "description du sujet", "description", "compétences", "contact", "profil", "profil recherché", "activités", "contexte",
-    "about the position", "topic", "skills", "profile", "duties", "context", "requirements", "contacts", "contexte de travail", "informations complémentaires",
+TEXT_SECTIONS = {
+    "présentation", "missions", "sujet de thèse", "description du sujet", "description", "contact", "activités", "contexte",
+    "about the position", "topic", "duties", "context", "contacts", "contexte de travail", "informations complémentaires",
 }
-LISTS = re.compile(
-    r"^(?:offres similaires|vous aimerez aussi|similar vacancies|dernières annonces|les plus consultées|(?:autres|nos) (?:offres|annonces)\b.*|related (?:jobs|vacancies|offers)|"
-    r"latest (?:vacancies|offers|jobs)|most viewed|you may also like|à lire aussi|voir aussi|annonces (?:similaires|récentes)|offres récentes|other vacancies)\s*:?$",
-    re.I,
-)
-# Wordings of page furniture in lower case: anywhere in a line, at its start, the whole line.
-FURNITURE_PARTS = (
-    "cookie", "traceur", "témoins de connexion", "partenaires stockons", "tout accepter", "vie privée compte", "©", "droits réservés", "rights reserved", "mentions légales", "legal notice",
-    "données personnelles |", "accessibility statement", "retour en haut", "back to top", "suivez-nous", "follow us", "lettre d'information", "newsletter", "page générée", "page generated",
-    "données mises à jour", "data updated", "portail est édité", "skip to", "fonctions de cette page", "best experience please enable", "navigateur est ancien", "download as pdf", "apply later",
-    "signaler un problème", "report a problem", "envoyer à un ami", "personnes consultent", "people are viewing", "partager cette", "share this", "ajouter aux favoris", "add to favourites",
-)
-FURNITURE_STARTS = ("aller au", "aller à", "télécharger au", "postuler plus tard", "imprimer |", "print |")
-FURNITURE_LINES = {"plan du site", "site map", "imprimer", "print"}
-_COUNTER = re.compile(r"^(?:offre|vacancy) \d+ (?:sur|of) \d+")
+LIST_SECTIONS = {"compétences", "profil", "profil recherché", "skills", "profile", "requirements"}
+_CONTACTS = {"contact", "contacts"}
+SPARSEST = min(map(len, LABELS))
 _FACT = re.compile(rf"^(?:{'|'.join(LABELS)}) ?: ?\S")
-_TRAIL = re.compile(r"^[^.!?]{1,60}(?: > [^>]{1,200})+$")
-_PLACE = re.compile(r"^[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)* - \d+ \S+$")
-_NAME_TITLE = re.compile(r"^[A-ZÀ-Ý]{4,} ?: \S")
 _BARS = re.compile(r"\s*[|/·•>]\s*|\s{2,}")
-_NO_PROSE = re.compile(r"[.!?…]$")
+_SENTENCE = re.compile(r"[.!?…]$")
+_WORD = re.compile(r"\w+|[^\w\s]")
+_CAPITALS = re.compile(r"[^\W\d_a-zà-ÿ]{4,}$")
+SHORT = 240  # characters up to which what is known of a line is kept in memory; longer ones are read anew, with the same result
 
 
 def masked_line(line: str) -> str:
@@ -84,120 +81,123 @@ def masked_line(line: str) -> str:
     return " ".join(line.split()).casefold()
 
 
-LONGEST = 240  # characters of a line that can be furniture or a message; longer ones are prose
+def _signed(d: int) -> int:
+    return d - (1 << 64) if d >> 63 else d
+
+
+def _digest(line: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(masked_line(line)))
+
+
+_short_digest = lru_cache(maxsize=100_000)(_digest)
 
 
-@lru_cache(maxsize=100_000)
 def line_digest(line: str) -> int:
-    d = xxhash.xxh64_intdigest(masked_line(line))
-    return d - (1 << 64) if d >> 63 else d
+    return _short_digest(line) if len(line) <= SHORT else _digest(line)
 
 
-def title_opening(title: str) -> str:
-    """The first two words of a title, by which lists of other titles are known."""
-    return " ".join(canonical(title).split()[:2]).casefold()
+def word_pairs(line: str) -> list[tuple[int, int]]:
+    """(digest, characters of the second word) of neighbouring words; names in capitals are one word, the start is one too."""
+    out, before = [], "^"
+    for w in _WORD.findall(line):
+        x = "¤" if _CAPITALS.match(w) else w.casefold()
+        out.append((_signed(xxhash.xxh64_intdigest(f"{before} {x}")), len(w)))
+        before = x
+    return out
 
 
 @dataclass
 class Lexicon:
     """What the corpus statistics say; sizes are bounded by 1 / MIN_SHARE."""
 
-    furniture: set[int] = field(default_factory=set)
+    links: set[int] = field(default_factory=set)
+    plain: set[int] = field(default_factory=set)
     messages: set[int] = field(default_factory=set)
     titles: set[int] = field(default_factory=set)  # that recur on bare pages
-    openings: set[str] = field(default_factory=set)
-    closing: set[int] = field(default_factory=set)  # furniture that stands below the whole record
+    pairs: set[int] = field(default_factory=set)  # of neighbouring words, that recur in titles
 
 
 @dataclass
 class Page:
     lines: list[str]
-    kinds: list[str]  # blank, head, furniture, list, trail, heading, fact, section, text
+    kinds: list[str]  # blank, heading, fact, section, link, plain, open, sentence
     heading: int | None
     structured: bool
 
 
-FACT, SECTION, CONTACT, LIST, TRAIL, FURNITURE_PHRASE = 1, 2, 4, 8, 16, 32
+FACT, SECTION, CONTACT, LISTS, SENTENCE = 1, 2, 4, 8, 16
+SURE = ("heading", "fact", "section", "plain")
 
 
 def _traits(rough: str) -> tuple[str, int]:
-    """A line in canonical form, and what its wording alone says."""
+    """A line in canonical form, and what its own form says."""
     line = canonical(rough)
-    traits = FACT if _FACT.match(line) else 0
-    if line and len(line) <= LONGEST:
-        low = line.casefold()
-        if low in SECTIONS:
-            traits |= SECTION | (CONTACT if low in ("contact", "contacts") else 0)
-        if LISTS.match(line):
-            traits |= LIST
-        if _TRAIL.match(line):
-            traits |= TRAIL
-        low = line.lower()
-        if any(x in low for x in FURNITURE_PARTS) or low.startswith(FURNITURE_STARTS) or low in FURNITURE_LINES or _COUNTER.match(low):
-            traits |= FURNITURE_PHRASE
+    low = line.casefold()
+    traits = (FACT if _FACT.match(line) else 0) | (SENTENCE if _SENTENCE.search(line) else 0)
+    if low in TEXT_SECTIONS or low in LIST_SECTIONS:
+        traits |= SECTION | (CONTACT if low in _CONTACTS else 0) | (LISTS if low in LIST_SECTIONS else 0)
     return line, traits
 
 
 _short_traits = lru_cache(maxsize=200_000)(_traits)
 
 
+def line_traits(rough: str) -> tuple[str, int]:
+    return _short_traits(rough) if len(rough) <= SHORT else _traits(rough)
+
+
+def _is_link(line: str, raw: str, lexicon: Lexicon) -> bool:
+    """Known as link text as a whole, or a row of known ones."""
+    if line_digest(line) in lexicon.links:
+        return True
+    if not _BARS.search(raw):
+        return False
+    parts = [x for x in _BARS.split(raw.strip()) if x]
+    return len(parts) > 1 and sum(line_digest(canonical(x)) in lexicon.links for x in parts) >= 0.7 * len(parts)
+
+
+def _found_heading(lines: list[str], kinds: list[str], first: int) -> int:
+    """The heading of a record whose title is not among its lines, above its first fact or section.
+
+    It is what a line above repeats, as window titles and trails do; else the first line below link text or a trail, as
+    lists of other records stand further down; else the last line above the record that is no link text.
+    """
+    trail = [" > " in x for x in lines[:first]]
+    able = [i for i in range(first) if lines[i] and kinds[i] in ("open", "plain") and not trail[i]]
+    repeated = (i for i in able if any(len(lines[j]) > len(lines[i]) and lines[i] in lines[j] for j in range(i)))
+    below = (i for i in able if any(kinds[j] == "link" or trail[j] for j in range(i)))
+    return next(repeated, next(below, able[-1] if able else first))
+
+
 def read_page(title: str | None, raw: str, lexicon: Lexicon | None = None) -> Page:
+    """The lines of a page with their kinds. Without a lexicon only the format of records is known."""
     rough = raw.split("\n")
-    lines, traits = zip(*(_short_traits(x) if len(x) <= LONGEST else _traits(x) for x in rough))
+    lines, traits = zip(*map(line_traits, rough))
     own = canonical(title or "")
     heading = next((i for i, x in enumerate(lines) if x and x == own), None)
-    if heading is None:
-        first = next((i for i, t in enumerate(traits) if t & FACT or t & (SECTION | CONTACT) == SECTION), None)
-        if first is not None:
-            listed = next((i for i in range(first) if traits[i] & LIST), first)  # a list of other records stands below the heading
-            heading = next((i for i in range(listed - 1, -1, -1) if lines[i] and not traits[i] & TRAIL and not _is_furniture(lines[i], rough[i], traits[i], lexicon)), first)
     kinds = []
-    in_list = False
-    for i, (x, t) in enumerate(zip(lines, traits)):
+    for x, t, r in zip(lines, traits, rough):
         if not x:
             kinds.append("blank")
-        elif heading is not None and i < heading:
-            kinds.append("head")
-        elif i == heading:
-            kinds.append("heading")
-        elif t & LIST:
-            kinds.append("list")
-            in_list = True
         elif t & FACT:
             kinds.append("fact")
-            in_list = False
-        elif t & SECTION and (heading is not None or not t & CONTACT):
+        elif t & SECTION:
             kinds.append("section")
-            in_list = False
-        elif _is_furniture(x, rough[i], t, lexicon):
-            kinds.append("furniture")
-        elif t & TRAIL and (heading is None or len(x) < 40):
-            kinds.append("trail")
-        elif in_list and _is_item(x, lexicon):
-            kinds.append("list")
+        elif lexicon is not None and _is_link(x, r, lexicon):
+            kinds.append("link")
+        elif lexicon is not None and line_digest(x) in lexicon.plain:
+            kinds.append("plain")
         else:
-            kinds.append("text")
-            in_list = False
-    return Page(list(lines), kinds, heading, any(t & FACT for t in traits) or "section" in kinds)
-
-
-def _is_furniture(line: str, raw: str, traits: int, lexicon: Lexicon | None) -> bool:
-    if len(line) > LONGEST:
-        return False
-    if traits & FURNITURE_PHRASE:
-        return True
-    if lexicon is None:
-        return False
-    if line_digest(line) in lexicon.furniture:
-        return True
-    parts = [x for x in _BARS.split(raw.strip()) if x]
-    return len(parts) > 1 and sum(line_digest(canonical(x)) in lexicon.furniture for x in parts) >= 0.7 * len(parts)
-
-
-def _is_item(line: str, lexicon: Lexicon | None) -> bool:
-    if _PLACE.match(line) or _NAME_TITLE.match(line):
-        return True
-    return lexicon is not None and len(line) < 200 and title_opening(line) in lexicon.openings and not _NO_PROSE.search(line)
+            kinds.append("sentence" if t & SENTENCE else "open")
+    if heading is None:
+        first = next((i for i, t in enumerate(traits) if t & FACT or t & (SECTION | CONTACT) == SECTION), None)
+        heading = None if first is None else _found_heading(lines, kinds, first)
+    for i, t in enumerate(traits):
+        if kinds[i] == "section" and (heading is None and t & CONTACT or heading is not None and i < heading):
+            kinds[i] = "link"  # an entry of a menu
+    if heading is not None:
+        kinds[heading] = "heading"
+    return Page(list(lines), kinds, heading, any(k == "fact" or k == "section" and not t & CONTACT for k, t in zip(kinds, traits)))
 
 
 # --- composite text density -------------------------------------------------------------------------------
@@ -205,136 +205,133 @@ def _is_item(line: str, lexicon: Lexicon | None) -> bool:
 
 @dataclass
 class Node:
-    """An element with its own lines as leaves and other elements below it."""
-
-    chars: int
-    links: int
-    tags: int
-    leaves: list[int]
-    children: list["Node"]
-
-    @classmethod
-    def of(cls, lines: list[tuple[int, int, bool]], children: list["Node"] = ()) -> "Node":
-        children = list(children)
-        return cls(
-            sum(n for _, n, _ in lines) + sum(c.chars for c in children), sum(n for _, n, link in lines if link) + sum(c.links for c in children),
-            len(lines) + sum(c.tags for c in children), [i for i, _, _ in lines], children,
-        )
+    """An element: its characters, those of link text, the elements in it, its lines, and the elements below it."""
+
+    chars: int = 0
+    links: float = 0.0
+    tags: int = 0
+    lines: list[int] = field(default_factory=list)
+    kind: str = ""
+    children: list["Node"] = field(default_factory=list)
+
+    def add(self, child: "Node") -> None:
+        self.children.append(child)
+        self.chars, self.links, self.tags = self.chars + child.chars, self.links + child.links, self.tags + child.tags
 
 
 def density(node: Node, body: Node) -> float:
     """Composite text density: characters per element, lowered by the share of link text."""
-    if not node.tags or not node.chars:
+    if not node.tags or node.links >= node.chars:
         return 0.0
-    links, plain = max(node.links, 1), max(node.chars - node.links, 1)
-    base = math.log(node.chars / plain * node.links + max(body.links, 1) / max(body.chars, 1) * node.chars + math.e)
-    return node.chars / node.tags * max(0.0, math.log(node.chars / links) / math.log(max(base, 1.0001)) + (node.links == 0)) if node.chars > node.links else 0.0
-
-
-def page_tree(page: Page, lexicon: Lexicon | None = None) -> tuple[Node, Node, Node, set[int]]:
-    """The root, the part before the heading, the main part, and the lines that are link text."""
-    kinds = page.kinds
-    links = {i for i, k in enumerate(kinds) if k in ("head", "furniture", "list", "trail")}
-    head, record, others = [], [], []
-    at = record
-    for i, k in enumerate(kinds):
-        if k == "blank":
-            continue
-        if k == "head":
-            head.append(i)
-            continue
-        if k in ("heading", "fact", "section"):
-            at = record
-        elif k == "furniture" and lexicon is not None and line_digest(page.lines[i]) in lexicon.closing:
-            if at is record:
-                others.append(at := [])
-        elif at is record and k == "list" and i not in (others[-1] if others else ()):
-            end = i  # the last item of the list, with the short lines between its items
-            for j in range(i + 1, len(kinds)):
-                if kinds[j] not in ("blank", "list", "text") or LISTS.match(page.lines[j]) or kinds[j] == "text" and _NO_PROSE.search(page.lines[j]):
-                    break
-                if kinds[j] == "list" or kinds[j] == "text" and _is_item(page.lines[j], lexicon):
-                    links.add(j)
-                    end = j
-            others.append([j for j in range(i, end + 1) if kinds[j] != "blank"])
-            continue
-        if at is not record or not others or i not in others[-1]:
-            at.append(i)
-
-    def node(lines: list[int]) -> Node:
-        return Node.of([(i, len(page.lines[i]), i in links) for i in lines])
-
-    before, main = Node.of([], [node(head)]), Node.of([], [node(x) for x in (record, *others) if x])
-    return Node.of([], [before, main]), before, main, links
-
-
-def body_lines(page: Page, lexicon: Lexicon | None = None) -> list[int]:
+    plain = max(node.chars - node.links, 1)
+    base = node.chars / plain * node.links + max(body.links, 1) / max(body.chars, 1) * node.chars + math.e
+    return node.chars / node.tags * math.log(node.chars / max(node.links, 1)) / math.log(base) if node.chars > 1 else 1 / math.log(base)
+
+
+def link_chars(line: str, kind: str, lexicon: Lexicon) -> float:
+    """Characters of a line that are link text: all of known link text, of other lines those of words that recur in titles."""
+    if kind == "link":
+        return len(line)
+    if kind != "open":
+        return 0.0
+    words = word_pairs(line)
+    known = sum(n for d, n in words if d in lexicon.pairs)
+    return len(line) * known / max(sum(n for _, n in words), 1)
+
+
+def page_tree(page: Page, lexicon: Lexicon) -> tuple[Node, Node, Node]:
+    """The root, the part before the heading, and the record; below these the runs of lines of one kind, those of mostly link text by themselves."""
+    head, main = Node(), Node()
+    at = [(i, link_chars(page.lines[i], k, lexicon)) for i, k in enumerate(page.kinds) if k != "blank"]
+
+    def run_of(x: tuple[int, float]) -> tuple[bool, str, bool]:
+        i, links = x
+        return page.heading is not None and i < page.heading, "sure" if page.kinds[i] in SURE else page.kinds[i], links >= 0.5 * len(page.lines[i])
+
+    for (part, kind, _), run in groupby(at, run_of):
+        own = list(run)
+        (head if part else main).add(Node(sum(len(page.lines[i]) for i, _ in own), sum(x for _, x in own), len(own), [i for i, _ in own], kind))
+    root = Node()
+    root.add(head)
+    root.add(main)
+    return root, head, main
+
+
+def body_lines(page: Page, lexicon: Lexicon) -> list[int]:
     """Indices of the lines of the record itself."""
-    root, head, main, links = page_tree(page, lexicon)
+    root, head, main = page_tree(page, lexicon)
     best = max((main, head), key=lambda n: sum(density(c, root) for c in n.children))
-    least = min(density(best, root), density(root, root))
-    return sorted(i for c in best.children if density(c, root) >= least for i in c.leaves if i not in links)
+    least = min(density(best, root), density(root, root), density(Node(SPARSEST, 0.0, 1), root))
+    return sorted(i for c in best.children if c.kind == "sure" or c.kind != "link" and density(c, root) >= least for i in c.lines)
 
 
 # --- corpus statistics ------------------------------------------------------------------------------------
 
 
-def _record_end(page: Page) -> int | None:
-    """The last line of a structured page that is surely no furniture: a heading, fact, section, list or sentence."""
-    if not page.structured:
-        return None
-    sure = ("heading", "fact", "section", "list")
-    return next((i for i in range(len(page.kinds) - 1, -1, -1) if page.kinds[i] in sure or page.kinds[i] == "text" and _NO_PROSE.search(page.lines[i])), None)
-
-
-def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple[bool, int, int, int, int, int, str]] = []
-        for title, raw, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            page, own = read_page(title, raw), canonical(title or "")
-            bare = int(not page.structured)
-            seen: dict[int, int] = {}
-            last = _record_end(page)
-            foot: dict[int, bool] = {}
-            for i, x in enumerate(page.lines):
-                if x and len(x) <= LONGEST and page.kinds[i] not in ("fact", "section", "heading", "list"):
-                    d = line_digest(x)
-                    seen[d] = max(seen.get(d, 0), int(page.kinds[i] == "head" and x != own))
-                    if last is not None and page.kinds[i] == "furniture":
-                        foot[d] = foot.get(d, True) and i > last
-            rows += [(False, d, head, bare, int(foot.get(d, False)), int(not foot.get(d, True)), source) for d, head in seen.items()]
-            if title and title.strip():
-                rows.append((True, line_digest(title), 0, bare, 0, 0, source))
-        cols = list(zip(*rows)) if rows else [()] * 7
-        types = (pa.bool_(), pa.int64(), *[pa.int32()] * 4, pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["title", "digest", "head", "bare", "foot", "inside", "source"])
-
-
-def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str) -> Lexicon:
-    """Furniture, messages and title openings of the whole corpus."""
+def _places(page: Page, traits_of: list[int]) -> Iterator[tuple[int, str]]:
+    """(line, place) of all lines but facts, section headings and the heading."""
+    place = "bare" if not page.structured else "head" if page.heading is not None else ""
+    for i, kind in enumerate(page.kinds):
+        if kind == "heading":
+            place = "facts" if page.structured else place
+        elif kind == "section":
+            place = "list" if traits_of[i] & LISTS else "text"
+        elif kind not in ("blank", "fact"):
+            yield i, place
+
+
+def _statistics_batches(phrase):
+    names = ["head", "facts", "text", "list", "bare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for title, raw, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                page, own = read_page(title, raw), canonical(title or "")
+                known = own in page.lines if own else False
+                if not known and page.heading is not None:  # a guessed heading says nothing of the lines above it
+                    page.kinds = ["blank" if i < page.heading else k for i, k in enumerate(page.kinds)]
+                seen: dict[int, tuple[set[str], str]] = {}
+                for i, place in _places(page, [line_traits(x)[1] for x in page.lines]):
+                    seen.setdefault(line_digest(page.lines[i]), (set(), page.lines[i]))[0].add(place)
+                rows += [(LINE, d, *(int(n in p) for n in names), int("bare" in p and phrase(x)), source) for d, (p, x) in seen.items()]
+                if own:
+                    rows.append((TITLE, line_digest(own), 0, 0, 0, 0, int(not page.structured), int(phrase(own)), source))
+                    if page.structured and known:  # the title stands above its record
+                        rows += [(PAIR, d, 0, 0, 0, 0, 0, 0, source) for d in {d for d, _ in word_pairs(own)}]
+            cols = list(zip(*rows)) if rows else [()] * 9
+            types = (pa.int32(), pa.int64(), *[pa.int32()] * 6, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "digest", *names, "phrase", "source"])
+
+    return run
+
+
+def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str, phrase=lambda line: False) -> Lexicon:
+    """Link text, plain text, messages, titles of bare pages and word pairs of titles, of the whole corpus.
+
+    phrase: whether a line has a phrase of messages; it is asked for lines of bare pages and for titles, and decides on what recurs where the places alone do not.
+    """
     texts = pages.select(F.col(title).alias("title"), F.col(raw).alias("raw"), F.col(source).alias("source")).filter("raw IS NOT NULL")
     total = texts.count()
-    least = max(MIN_PAGES, math.ceil(MIN_SHARE * total))
-    lines = (
-        texts.mapInArrow(_statistics_batches, STATISTICS)
-        .groupBy("title", "digest")
-        .agg(F.count("*").alias("pages"), F.sum("head").alias("head"), F.sum("bare").alias("bare"), F.sum("foot").alias("foot"), F.sum("inside").alias("inside"), F.min("source").alias("s1"), F.max("source").alias("s2"))
-        .filter(F.col("pages") >= least)
-        .withColumns({
-            "furniture": ~F.col("title") & (F.col("head") >= HEAD_SHARE * F.col("pages")),
-            "message": ~F.col("title") & (F.col("bare") >= BARE_SHARE * F.col("pages")) & (F.col("s1") != F.col("s2")),
-            "closing": ~F.col("title") & (F.col("foot") >= least) & (F.col("foot") >= CLOSING_SHARE * (F.col("foot") + F.col("inside"))),
-            "bare_title": F.col("title") & (F.col("pages") >= BARE_TITLES) & (F.col("bare") >= BARE_TITLE_SHARE * F.col("pages")) & (F.col("s1") != F.col("s2")),
-        })
-        .select("digest", "furniture", "message", "closing", "bare_title")
-        .filter("furniture OR message OR closing OR bare_title")
+    share = math.ceil(MIN_SHARE * total)
+    n, bare, line, phrased = F.col("pages"), F.col("bare"), F.col("kind") == LINE, F.col("phrase") > 0
+    least = F.when(phrased & (F.col("kind") != PAIR), max(MIN_PHRASED, share)).when(F.col("kind") == PAIR, max(MIN_PAGES, math.ceil(PAIR_SHARE * total))).otherwise(max(MIN_PAGES, share))
+    inside = F.col("facts") + F.col("text") + F.col("list")
+    several = F.col("s1") != F.col("s2")
+    spread = (inside > 0) & (inside - F.greatest("facts", "text", "list") >= SPREAD_SHARE * inside)
+    rows = (
+        texts.mapInArrow(_statistics_batches(phrase), STATISTICS)
+        .groupBy("kind", "digest")
+        .agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("head", "facts", "text", "list", "bare")], F.max("phrase").alias("phrase"), F.min("source").alias("s1"), F.max("source").alias("s2"))
+        .filter(n >= least)
+        .withColumn("message", line & ((bare >= BARE_SHARE * n) & several | (bare >= BARE_PHRASE * n) & phrased))
+        .withColumn("link", line & ~F.col("message") & ((F.col("head") >= HEAD_SHARE * n) | (bare >= BESIDE_SHARE * n) & (bare < BARE_SHARE * n) | spread))
+        .select(
+            "digest", "message", "link", (line & ~F.col("message") & ~F.col("link") & (inside >= PLAIN_SHARE * n)).alias("plain"), (F.col("kind") == PAIR).alias("pair"),
+            ((F.col("kind") == TITLE) & ((n >= BARE_TITLES) & (bare >= BARE_TITLE_SHARE * n) & several | phrased)).alias("title"),
+        )
+        .filter("message OR link OR plain OR pair OR title")
         .collect()
     )
-    words_of = F.split(F.lower(F.trim("title")), r"\s+")
-    openings = (
-        texts.filter("title IS NOT NULL").select(F.concat_ws(" ", F.slice(words_of, 1, 2)).alias("opening"))
-        .groupBy("opening").count().filter(F.col("count") >= max(MIN_PAGES, math.ceil(1e-3 * total))).select("opening").collect()
-    )
-    furniture = {r["digest"] for r in lines if r["furniture"]}
-    messages = {r["digest"] for r in lines if r["message"]} - furniture
-    return Lexicon(furniture, messages, {r["digest"] for r in lines if r["bare_title"]}, {r["opening"] for r in openings}, {r["digest"] for r in lines if r["closing"]})
+    of = lambda name: {r["digest"] for r in rows if r[name]}
+    return Lexicon(of("link"), of("plain"), of("message"), of("title"), of("pair"))

@@ -1,9 +1,10 @@
 """Template residue, filler and error-page text in place of real content.
 
-Placeholder rules find unfilled template fields and stand-ins for values still to be entered. A page is a
-message or filler when, furniture aside, each of its lines is one: by phrase rules, by filler vocabulary, or
-because its masked form recurs, across sources, on pages without any record only. A title is one by the
-same phrase rules, or when its masked form recurs across sources and mostly on such pages.
+Placeholder rules find unfilled template fields and stand-ins for values still to be entered. For messages, every
+line and title is masked and grouped by its digest over all pages. A group is a message when it recurs widely, in
+several sources, on pages without any record; a group that recurs less clearly is one when a phrase of messages
+is in it. A phrase in a line that does not recur is no message. A page is a message or filler when, link text aside,
+each of its lines is one, or is made of filler words.
 
 Defined cases: null keys and fields are left out; empty fields are no case; repeated keys give one row; an
 empty table gives no rows; other columns are ignored; fields are read whole.
@@ -19,17 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnworks.llm.pages import LONGEST, Lexicon, Page, learned_lexicon, line_digest, read_page
+from cairnworks.llm.pages import Lexicon, Page, learned_lexicon, line_digest, read_page
+from cairnworks.llm.textforms import canonical
 
 _FIELD = r"[A-Za-zÀ-ÿ]\w*(?:[._-]\w+)+"  # a name of parts: nom_labo, offer.location
 _CAPS = r"[A-ZÀ-Ý]{2,}(?:[_. ][A-ZÀ-Ý]+)*"
 _TO_FILL = r"\s*(?i:[àa] (?:compléter|completer|préciser|preciser|renseigner|définir|remplir))\b"
 PLACEHOLDERS = re.compile(
-    rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|\$\{{[^{{}}\n]{{1,60}}\}}|#\{{[^{{}}\n]{{1,60}}\}}|\{{%[^%\n]{{1,60}}%\}}|<%[^%\n]{{1,60}}%>|\[\[[^\[\]\n]{{1,60}}\]\]|##[^#\n]{{1,60}}##|@@[^@\n]{{1,60}}@@"
+    rf"\{{\{{[^{{}}\n]+\}}\}}|\$\{{[^{{}}\n]+\}}|#\{{[^{{}}\n]+\}}|\{{%[^%\n]+%\}}|<%[^%\n]+%>|\[\[[^\[\]\n]+\]\]|##[^#\n]+##|@@[^@\n]+@@"
     rf"|\{{(?:{_FIELD}|{_CAPS}|[a-zà-ÿ]{{3,}})\}}|\[(?:{_FIELD}|[A-ZÀ-Ý]{{4,}}(?:[_ ][A-ZÀ-Ý]+)*|employeur|employer)\]|<(?:{_FIELD}|[A-ZÀ-Ý]{{4,}}(?:[_ ][A-ZÀ-Ý]+)*|employeur|employer)>"
     rf"|(?<![\w%])%(?:{_FIELD}|[A-ZÀ-Ý]{{3,}}(?:[_ ][A-ZÀ-Ý]+)*|[a-zà-ÿ]{{4,}})%|(?<!\w)__[A-Za-zÀ-ÿ][\w. À-ÿ]*?__(?!\w)|(?<![\w$])\$(?:{_FIELD}|[A-ZÀ-Ý]{{3,}}(?:[_ ][A-ZÀ-Ý]+)*|[a-z]{{4,}})\b"
     rf"|\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|#DIV/0!|(?<!\w)X{{4,}}(?!\w)|\.{{5,}}\s*\(|[(<\[{{%$#_]{_TO_FILL}"
-    r"|\((?:compléter|completer|to be completed|to complete)\)|\[(?:insert|insérer|insérez)[^\]\n]{0,60}\]|<(?:insert|insérer|insérez)[^>\n]{0,60}>"
+    r"|\((?:compléter|completer|to be completed|to complete)\)|\[(?:insert|insérer|insérez)[^\]\n]*\]|<(?:insert|insérer|insérez)[^>\n]*>"
 )
 # a stand-in as the whole value of a fact, or in the place of a name
 STANDINS = r"(?:undefined|null|NaN|None|TBD|TBC|TBA|TODO|N/C|(?i:à (?:renseigner|compléter|préciser|définir))|to be (?:defined|completed|announced|confirmed)|\?{3,}|_{4,}|\.{4,})"
@@ -83,26 +85,27 @@ def has_placeholder(text: str) -> bool:
 
 @lru_cache(maxsize=50_000)
 def is_filler(line: str) -> bool:
-    if len(line) <= LONGEST and FILLER_LINES.search(line):
-        return True
+    """Whether most words are of filler texts."""
     found = [w.casefold() for w in _WORDS.findall(line)]
     known = sum(w in FILLER_WORDS for w in found)
     return bool(found) and known >= 0.8 * len(found) and any(w in _LATIN for w in found)
 
 
-def is_message(line: str, lexicon: Lexicon | None = None) -> bool:
-    return len(line) <= LONGEST and (_message_phrase(line) or lexicon is not None and line_digest(line) in lexicon.messages)
-
-
 @lru_cache(maxsize=50_000)
-def _message_phrase(line: str) -> bool:
+def has_message_phrase(line: str) -> bool:
+    """Whether a line has a phrase of messages or of texts to be replaced; it is a message only if it recurs as one."""
     low = line.lower()
-    return any(x in low for x in _MESSAGE_HINTS) and bool(MESSAGES.search(line))
+    return any(x in low for x in _MESSAGE_HINTS) and bool(MESSAGES.search(line)) or bool(FILLER_LINES.search(line))
+
+
+def is_message(line: str, lexicon: Lexicon) -> bool:
+    d = line_digest(line)
+    return d in lexicon.messages or d in lexicon.titles
 
 
 def holds_no_record(page: Page, lexicon: Lexicon) -> bool:
     """Whether the page has a message or filler where the record should stand."""
-    own = [page.lines[i] for i, k in enumerate(page.kinds) if k == "text"]
+    own = [page.lines[i] for i, k in enumerate(page.kinds) if k in ("plain", "open", "sentence") and (page.heading is None or i > page.heading)]
     if not own:
         return not page.structured and page.heading is not None and (is_message(page.lines[page.heading], lexicon) or is_filler(page.lines[page.heading]))
     if page.structured:
@@ -111,9 +114,12 @@ def holds_no_record(page: Page, lexicon: Lexicon) -> bool:
     return wrong >= 0.5 * sum(map(len, own))
 
 
-def title_residue(title: str) -> bool:
-    text = title.strip()
-    return has_placeholder(text) or is_filler(text) or len(text) < 60 and _message_phrase(text)
+def title_residue(title: str, lexicon: Lexicon) -> bool:
+    return has_placeholder(title.strip()) or is_filler(title.strip()) or is_message(canonical(title), lexicon)
+
+
+def page_lexicon(pages: DataFrame, title: str, raw: str, source: str) -> Lexicon:
+    return learned_lexicon(pages, title, raw, source, has_message_phrase)
 
 
 def _residue_batches(lexicon: Lexicon):
@@ -121,7 +127,7 @@ def _residue_batches(lexicon: Lexicon):
         for batch in batches:
             rows = []
             for key, title, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if title and title.strip() and (title_residue(title) or line_digest(title) in lexicon.titles):
+                if title and title.strip() and title_residue(title, lexicon):
                     rows.append((key, "title"))
                 if raw and raw.strip() and (has_placeholder(raw) or holds_no_record(read_page(title, raw, lexicon), lexicon)):
                     rows.append((key, "raw_text"))
@@ -133,6 +139,6 @@ def _residue_batches(lexicon: Lexicon):
 
 def residue_fields(pages: DataFrame, key: str, title: str, raw: str, source: str) -> DataFrame:
     """(key, field_name) of the fields without real content."""
-    lexicon = learned_lexicon(pages, title, raw, source)
+    lexicon = page_lexicon(pages, title, raw, source)
     texts = pages.select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(raw).alias("raw")).filter("key IS NOT NULL")
     return texts.mapInArrow(_residue_batches(lexicon), "key string, field_name string").distinct()

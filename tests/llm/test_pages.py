@@ -1,54 +1,113 @@
+import random
+
 import pytest
 
 from cairnworks.llm import main_text, pages as P, residue as R
 
-PAGE = """My job | Portal
-Home
-Contact
-We use cookies to count visits.
-Home > Jobs > My job
-
-My job
-Lieu : 35000 RENNES
-Offres similaires
-Other job one
-Rennes - 12 mois
-Présentation
-Share this vacancy
-We look for someone who likes graphs, and who writes well.
-Compétences
-Git
-R
-Contact
-Call the office.
-Retour en haut de page"""
-ERROR = """Home | Jobs | Help
-404 - Page introuvable
-La page demandée n'existe pas ou a été déplacée."""
+# Link text in no language, so that no wording can be known beforehand.
+NOTICE = "Zorbl kanta vi " + "mirole tan dapo " * 20 + "Zu {} fi."
+FURNITURE = ["Kanta | Dapo | Ruvi", "Zorbl {} vi pol", "Ruvi tanel", "Pol dapo ({})", "Mirole kanta !", NOTICE]
+LIST_HEAD, TASKS = "Tanel ruvi", ("graph mining", "image analysis", "speech models", "data fusion")
+MESSAGE = "Vira sol. " + "Denu pako limi tarro " * 15 + "Code {}."
+LONG_TITLE = "Vira sol denu pako limi tarro vira sol denu pako limi tarro vira sol denu pako limi tarro"
+
+
+def name(rnd):
+    return "".join(rnd.choice("BDFGKLMNPRSTVZ") + rnd.choice("AEIOU") for _ in range(3))
+
+
+def page(rnd, title):
+    """(text, lines of the record): link text before the heading and at any place below it."""
+    furniture = lambda: rnd.choice(FURNITURE).format(rnd.randrange(10**6))
+    other = lambda: f"PhD position in {rnd.choice(TASKS)} - {name(rnd)}"
+    skills = rnd.sample(["Git", "Rust", "Julia", "Slurm", "curiosity"], 3)
+    record = [title, f"Place : {rnd.randrange(10**5)} Town", "Topic", f"We study {name(rnd)} and write it down, with care.", f"The {name(rnd)} group has people from many places.", "Skills", *skills, f"Rare {name(rnd)} and {name(rnd)}", "Contact", f"Call {rnd.randrange(10**8)}."]
+    lines = [(f"{title} - Portal", False), *((furniture(), False) for _ in range(3))]
+    for x in record:
+        lines.append((x, True))
+        if rnd.random() < 0.2:
+            lines.append((furniture(), False))
+        if rnd.random() < 0.15 and x != title:
+            lines += [(LIST_HEAD, False), (other(), False), ("", False), (other(), False)]
+    return "\n".join(x for x, _ in lines), [i + 1 for i, (_, own) in enumerate(lines) if own]
+
+
+def messages(rnd, i):
+    return "\n".join([FURNITURE[i % 5].format(i), "404", MESSAGE.format(rnd.randrange(10**6)), rnd.choice(FURNITURE).format(i)])
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rnd = random.Random(4)
+    out, want = [], {}
+    for i in range(150):
+        title = f"PhD position in {rnd.choice(TASKS)} - {name(rnd)}"
+        text, want[f"u{i}"] = page(rnd, title)
+        out.append((f"u{i}", title, text, "ab"[i % 2], "x"))
+    out += [(f"e{i}", LONG_TITLE, messages(rnd, i), "ab"[i % 2], "x") for i in range(12)]
+    return out, want
 
 
 @pytest.fixture
-def corpus(spark):
-    rows = [(f"u{i}", "My job" if i % 2 else "Other job one", PAGE if i % 2 else PAGE.replace("My job", "Other job one"), "ab"[i // 2 % 2], "x") for i in range(8)]
-    rows += [(f"e{i}", "404 - Page introuvable", ERROR, "ab"[i % 2], "x") for i in range(6)] + [("long", "My job", PAGE + "\nword" * 20000, "a", "x"), ("empty", "My job", "", "a", "x"), (None, "My job", PAGE, "a", "x"), ("null", None, None, "b", "x")]
-    return spark.createDataFrame(rows, "url string, title string, raw_text string, source string, key string")
+def corpus(spark, rows):
+    odd = [("empty", "My job", "", "a", "x"), (None, "My job", rows[0][0][2], "a", "x"), ("null", None, None, "b", "x"), ("once", "Just a moment", "Just a moment\nChecking your browser", "a", "x")]
+    return spark.createDataFrame(rows[0] + odd, "url string, title string, raw_text string, source string, key string")
 
 
-def test_main_lines(corpus):
+def found_lines(df):
     got = {}
-    for r in main_text.main_lines(corpus, "url", "title", "raw_text", "source").collect():
-        got.setdefault(r["key"], []).append((r["line_no"], r["line"]))
-    lines = [x for _, x in sorted(got["u1"])]
-    assert lines == ["My job", "Lieu : 35000 RENNES", "Présentation", "We look for someone who likes graphs, and who writes well.", "Compétences", "Git", "R", "Contact", "Call the office."]
-    assert not any(k in got for k in ("e0", "empty", "null")) and len(got["long"]) > 20000
+    for r in main_text.main_lines(df, "url", "title", "raw_text", "source").collect():
+        got.setdefault(r["key"], []).append(r["line_no"])
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def test_main_lines_with_no_known_wording(corpus, rows):
+    got = found_lines(corpus)
+    assert {k: v for k, v in got.items() if k[0] == "u"} == rows[1]
+    assert not any(k in got for k in ("e0", "empty", "null", None))
+
+
+def test_the_density_decides(rows):
+    """Without it the unknown lines of lists of other records come in, and the window title does."""
+    lexicon = P.Lexicon({P.line_digest(LIST_HEAD)}, pairs={d for r in rows[0][:150] for d, _ in P.word_pairs(r[1])})
+    r = next(r for r in rows[0] if LIST_HEAD in r[2])
+    read = P.read_page(r[1], r[2], lexicon)
+    kept = P.body_lines(read, lexicon)
+    others = [i for i, x in enumerate(read.lines) if x.startswith("PhD") and i != read.heading]
+    assert others and not set(others) & set(kept)
+    root, head, main = P.page_tree(read, lexicon)
+    assert all(P.density(c, root) < P.density(main, root) for c in main.children if set(others) & set(c.lines))
+    plain = P.Lexicon(lexicon.links)  # the same lines without link text: their density is that of prose
+    assert set(others) & set(P.body_lines(P.read_page(r[1], r[2], plain), plain))
+
+
+def test_a_very_long_page_is_read_whole(spark, rows):
+    text = rows[0][0][2]
+    df = spark.createDataFrame([*rows[0], ("long", rows[0][0][1], text + "\nword and more words here." * 20000, "a", "x")], "url string, title string, raw_text string, source string, key string")
+    got = found_lines(df)["long"]
+    assert len(got) == len(rows[1]["u0"]) + 20000
 
 
 def test_residue_fields(corpus):
+    """A widely recurring message of no known wording, of over 300 characters, is found, and a title of over 60; a phrase of messages that does not recur is none."""
     got = {tuple(r) for r in R.residue_fields(corpus, "url", "title", "raw_text", "source").collect()}
-    assert got == {(f"e{i}", f) for i in range(6) for f in ("title", "raw_text")}
+    assert got == {(f"e{i}", f) for i in range(12) for f in ("title", "raw_text")} and len(MESSAGE) > 300 and len(LONG_TITLE) > 60
     assert R.residue_fields(corpus.filter("false"), "url", "title", "raw_text", "source").count() == 0
 
 
+def test_without_what_was_learned_no_message_is_known(rows):
+    page_of = P.read_page(rows[0][-1][1], rows[0][-1][2], P.Lexicon())
+    assert not R.holds_no_record(page_of, P.Lexicon())
+    assert R.holds_no_record(page_of, P.Lexicon(messages={P.line_digest(MESSAGE.format(1)), P.line_digest("404"), *(P.line_digest(x) for x in page_of.lines)}))
+
+
+def test_phrases_decide_on_groups_that_recur_less_clearly(spark):
+    rows = [(f"e{i}", "503 Service Unavailable", "503 Service Unavailable\nRetry after 3 s.", "a") for i in range(2)] + [("x", "A job", "A job\nRetry and learn", "b")]
+    df = spark.createDataFrame(rows, "url string, title string, raw_text string, source string")
+    got = {tuple(r) for r in R.residue_fields(df, "url", "title", "raw_text", "source").collect()}
+    assert got == {(f"e{i}", f) for i in range(2) for f in ("title", "raw_text")}
+
+
 @pytest.mark.parametrize("text", ["{{nom_labo}}", "Offre ${x}", "<%= unit.name %>", "[[a]]", "Lieu : à renseigner", "Durée : NaN", "[À COMPLÉTER] x", "XXXX : y", "#REF!", "##DUREE##", "%LIEU_TRAVAIL%", "$date_debut : z", "__a.b__", "TBD : vision", "........ (compléter)"])
 def test_placeholders(text):
     assert R.has_placeholder(text)
@@ -61,7 +120,9 @@ def test_no_placeholders(text):
 
 def test_filler_and_messages():
     assert R.is_filler("Lorem ipsum dolor sit amet") and R.is_filler("test test test azerty") and not R.is_filler("La méthode d'apprentissage par lorem reste rare")
-    assert R.title_residue("Just a moment") and not R.title_residue("Thèse (H/F) fouille de graphes")
+    known = P.Lexicon(titles={P.line_digest("Just a moment")})
+    assert R.title_residue("Just a moment", known) and not R.title_residue("Just a moment", P.Lexicon()) and not R.title_residue("Thèse (H/F) fouille de graphes", known)
+    assert R.has_placeholder("{{" + "a very long name of a field " * 5 + "}}")
 
 
 def test_masked_line_digests_join_variants():
@@ -69,38 +130,6 @@ def test_masked_line_digests_join_variants():
     assert P.line_digest("a@b.fr écrit") == P.line_digest("x.y@c.org écrit")
 
 
-FOOT = "\n© 2025 Portal. All rights reserved.\n{}\nSite map\nBack to top"
-WORDS = ("Charte", "Partenaires", "Presse", "Dons", "Marchés", "Annuaire", "Boutique", "Médias")
-
-
-def kept_lines(page, lexicon):
-    read = P.read_page("My job", page, lexicon)
-    return [read.lines[i] for i in P.body_lines(read, lexicon)]
-
-
-def test_a_footer_of_unknown_wording_is_dropped(spark):
-    record = PAGE.rsplit("\n", 1)[0].replace("Git\n", "Git\nShare this vacancy\nDocker\n")
-    rows = [(f"u{i}", "My job", record + FOOT.format(w), "ab"[i % 2]) for i, w in enumerate(WORDS)]
-    df = spark.createDataFrame(rows, "url string, title string, raw_text string, source string")
-    got = {}
-    for r in main_text.main_lines(df, "url", "title", "raw_text", "source").collect():
-        got.setdefault(r["key"], []).append((r["line_no"], r["line"]))
-    assert len(got) == len(WORDS)
-    for lines in got.values():
-        lines = [x for _, x in sorted(lines)]
-        assert not set(WORDS) & set(lines) and lines[-5:] == ["Git", "Docker", "R", "Contact", "Call the office."]
-
-
-def test_density_decides_on_lines_beside_link_text():
-    closing = P.Lexicon(closing={P.line_digest("© 2025 Portal. All rights reserved.")}, openings={"other job"})
-    page = "My job\nLieu : 35000 RENNES\nPrésentation\n" + "A sentence on graphs and on people. " * 6
-    assert "Charte" not in kept_lines(page + FOOT.format("Charte"), closing)
-    prose = ("The laboratory pays the journeys of everyone who works there. " * 6).strip()
-    assert prose in kept_lines(page + "\n© 2025 Portal. All rights reserved.\n" + prose, closing)
-    between = kept_lines(page + "\nOffres similaires\nOther job one\nA job of unknown title\nOther job two\nCompétences\nGit", closing)
-    assert between[-2:] == ["Compétences", "Git"] and not any("job" in x for x in between[1:])
-
-
 STANDINS = ["undefined", "null", "NaN", "None", "TBD", "TBC", "TBA", "TODO", "N/C", "to be defined", "to be completed", "???", "____", "....", "à renseigner", "à compléter", "à préciser", "à définir"]
 TO_FILL = [f"{a} {v}" for a in "àa" for v in ("compléter", "completer", "préciser", "preciser", "renseigner", "définir", "remplir")]
 FIELDS = ["{{x}}", "${x}", "#{x}", "{% x %}", "<% x %>", "[[x]]", "##x##", "@@x@@", "{a_b}", "{AB}", "{abc}", "[a.b]", "[ABCD]", "<a_b>", "<ABCD>", "%a_b%", "%ABC%", "%abcd%", "__a__", "$a_b", "$ABC", "$abcd",
