@@ -1,13 +1,17 @@
 """Personal data in free text: bootstrapped contextual extraction.
 
-Entities of rigid shape (emails, also disguised ones; phones; identity numbers of persons; street addresses)
-are found by their shape and replaced by typed tokens. Person names have no shape of their own; name-like
-spans are found by their contexts. Spans after a courtesy title are the seeds. Each span gives the pattern of
-the two tokens on its left and that of the two on its right; Spark holds the graph of patterns and name
-tokens and scores both in turns: a pattern by the share of known tokens in its places, a token by the
-patterns it is met in. Patterns of high score and enough support then find names never seen before. A
-pattern must occur at least MIN_SHARE times as often as there are spans, which bounds what is sent to the
-executors by 1 / MIN_SHARE patterns, whatever the size of the corpus.
+Entities of rigid shape (emails, also disguised ones; phones; identity numbers of persons; street addresses) are the
+seeds of their kinds, spans after a courtesy title and the words of email addresses those of person names. Each seed,
+and each span of loose shape that is no seed (numbers of any form, written-out addresses, name-like spans), gives the
+pattern of the two tokens on its left and that of the two on its right. Spark holds the graph of patterns and
+instances (of a number its shape in digits and letters, of a name its words) and scores both in turns, for every kind:
+a pattern by the share of known instances in its places, an instance by the patterns it is met in. Words that the
+corpus writes in lower case too are known to be no names; names of which nothing is known say nothing of a pattern,
+so that patterns hold in small corpora as well. Patterns of high score and enough support then find identifiers of
+every kind never seen before: a span in such a place is a mention of the pattern's kind.
+
+A pattern or word must occur at least MIN_SHARE times as often as there are spans, which bounds what is sent to the
+executors by 1 / MIN_SHARE of each, whatever the size of the corpus.
 
 Shapes are matched on the canonical form of the text with every position tied to the original, so a mention
 comes out as it stands, full-width or with invisible characters inside.
@@ -22,31 +26,29 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnworks.llm.textforms import mapping
+from cairnworks.llm.textforms import folded, mapping
 from cairnworks.runtime import cut
 
 ROUNDS = 4
 HIGH = 0.7
 MIN_SUPPORT, MIN_SHARE = 3, 1e-5
+COMMON = 0.1  # of its places in which a word stands in lower case, from which it is no name
+DOUBTFUL = 0.2  # score of a word or shape up to which a span with it is no mention
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 
-_AT = r"(?:\s?@\s?|\s?[\[({](?:at|arobase|chez)[\])}]\s?|\s(?:AT|arobase|AROBASE)\s)"
-_DOT = r"(?:\.|\s?[\[({](?:dot|point)[\])}]\s?|\s(?:DOT|POINT)\s)"
+_AT = r"(?:\s?@\s?|\s?[\[({](?i:at|arobase|chez)[\])}]\s?|\s(?:AT|(?i:arobase))\s)"
+_DOT = r"(?:\.|\s?[\[({](?i:dot|point)[\])}]\s?|\s(?:DOT|POINT)\s)"
 EMAIL = re.compile(rf"(?<![\w.+@-])[A-Za-z0-9À-ÿ][\w.+-]*{_AT}[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z0-9][\w-]*)*{_DOT}[A-Za-z]{{2,}}(?![\w@])")
 IDENTITY = re.compile(
     r"(?:[1-478] ?\d{2} ?\d{2} ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}|\d{10}[A-Z]|\d{9}[A-Z]{2}|\d{2}[A-Z]{2}\d{5})(?![\w/])(?!\.\d)"
 )
-_ID_CONTEXT = re.compile(
-    r"(?:sécurité sociale|social security|\bNIR|\bNSS|passe?port|pièce d'identité|carte (?:nationale )?d'identité|\bCNI|identity card|id card|\bINE|étudiante?|student(?: (?:card|number|no))?|document)[^\n\d]{0,25}(?:n[°o]\.?|number|no\.?|:|numéro)?\s*"
-    r"(?<![\w./+-])((?=[A-Z0-9 ]*\d)[A-Z0-9]{6,18})(?![\w/])",
-    re.I,
-)
 PHONE = re.compile(
     r"(?:(?:\+|00)33[ .-]?(?:\(0\)[ .-]?)?[1-9](?:[ .-]?\d{2}){4}|0[1-9](?:[ .-]?\d{2}){4}|(?:\+|00)(?!33)[1-9]\d{0,2}(?:[ .-]?(?:\(\d+\)|\d{1,4})){2,5})(?![\w]|[.,-]\d| \d{2}\b)"
 )
@@ -55,11 +57,13 @@ _NUMBER = r"\d{1,4}(?: ?(?:bis|ter|quater|[A-D](?=[ ,])))?"
 _WAY_FR = r"(?:rue|avenue|av\.|boulevard|bd|bld|allée|impasse|chemin|cours|quai|place|passage|route|square|sentier|faubourg|esplanade|promenade|montée|ruelle|voie|traverse|venelle|cité|résidence|parvis|rond-point)"
 _WAY_EN = r"(?:Street|Road|Lane|Row|Avenue|Drive|Square|Court|Close|Way|Place|Crescent|Terrace|Gardens|Hill|Walk|Mews|Boulevard|Grove|Park|Yard|Quay|Wharf|Alley|St|Rd|Ave)"
 ADDRESS = re.compile(
-    rf"{_NUMBER},? {_WAY_FR}\b[^\n,;():]{{1,60}}?(?:,? (?:b[âa]t(?:\.|iment)?|esc\.|étage|porte|bureau) ?\w{{1,4}})?(?:,| -| –)? ?\d{{5}} {_TOWN}"
+    rf"{_NUMBER},? {_WAY_FR}\b[^\n,;():]+?(?:,? (?:b[âa]t(?:\.|iment)?|esc\.|étage|porte|bureau) ?\w{{1,4}})?(?:,| -| –)? ?\d{{5}} {_TOWN}"
     rf"|{_NUMBER},? (?:[A-ZÀ-Ý][\w'’-]* ){{1,3}}{_WAY_EN}\b(?:, (?:flat|apt|unit|floor) \w{{1,4}})?,? (?:\d{{5}} )?{_TOWN}"
 )
-_EMAIL_HINTS = ("@", "arobase", "AROBASE", "(at)", "[at]", "{at}", "(AT)", "[AT]", " AT ", "(chez)", "[chez]")
-_ID_HINTS = ("écurité soc", "ocial sec", "NIR", "NSS", "asseport", "assport", "d'identité", "CNI", "dentity", "card", "INE ", "INE:", "tudiant", "tudent", "document n", "against document")
+_EMAIL_HINT = re.compile(r"@| AT |arobase|[\[({](?:at|chez)[\])}]", re.I)
+# spans of loose shape: numbers of at least five digits, and a house number, words, a postal code and a town
+LOOSE_NUMBER = re.compile(r"\+?[A-Z\d](?:[ ./-]?[A-Z\d]){4,24}(?![\w/])(?!\.\d)")
+LOOSE_ADDRESS = re.compile(rf"{_NUMBER},? (?:(?!\d)[\w'’-]+,? ){{1,10}}?(?:- |– )?\d{{5}} {_TOWN}")
 _START = re.compile(r"\+?\d+")
 _NUMBERED = (("street_address", ADDRESS, re.compile(r"[\w.,/-]$")), ("identity_number", IDENTITY, re.compile(r"[\w./+-]$")), ("phone", PHONE, re.compile(r"[\w.,/+-]$|\d $")))
 
@@ -127,7 +131,7 @@ def shaped_entities(plain: str) -> list[tuple[int, int, str]]:
     def free(lo: int, hi: int) -> bool:
         return all(hi <= a or lo >= b for a, b, _ in taken)
 
-    if any(x in plain for x in _EMAIL_HINTS):
+    if _EMAIL_HINT.search(plain):
         taken = [(*m.span(), "email") for m in EMAIL.finditer(plain)]
     end = 0
     for start in _START.finditer(plain):
@@ -139,10 +143,6 @@ def shaped_entities(plain: str) -> list[tuple[int, int, str]]:
                 taken.append((*m.span(), kind))
                 end = m.end()
                 break
-    if any(x in plain for x in _ID_HINTS):
-        for m in _ID_CONTEXT.finditer(plain):
-            if sum(c.isdigit() for c in m.group(1)) >= 5 and free(*m.span(1)):
-                taken.append((*m.span(1), "identity_number"))
     return sorted(taken)
 
 
@@ -160,79 +160,177 @@ def typed_text(plain: str, found: list[tuple[int, int, str]]) -> tuple[str, list
     return "".join(out), at
 
 
-def name_spans(typed: str) -> Iterator[tuple[int, int, str, str, bool]]:
-    """(start, end, left pattern, right pattern, after a courtesy title) of all name-like spans; spans may overlap."""
+def context(typed: str, lo: int, hi: int) -> tuple[str, str]:
+    """The patterns of the two tokens on the left and on the right of a span, within its line; numbers as #."""
+    start, end = typed.rfind("\n", 0, lo) + 1, typed.find("\n", hi)
+    end = end if end >= 0 else len(typed)
+    width = 60
+    while len(left := _TOKEN.findall(typed[max(start, lo - width) : lo].casefold())) < 3 and lo - width > start:
+        width *= 4
+    width = 60
+    while len(right := _TOKEN.findall(typed[hi : min(end, hi + width)].casefold())) < 3 and hi + width < end:
+        width *= 4
+    mask = lambda tokens: " ".join("#" if t.isdigit() else t for t in tokens)
+    return "L " + mask(["^", *left][-2:]), "R " + mask([*right, "$"][:2])
+
+
+def name_spans(typed: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, after a courtesy title) of all name-like spans; spans may overlap."""
     for c in _CAPITAL.finditer(typed):
         lo = c.start()
         if lo and (typed[lo - 1].isalnum() or typed[lo - 1] in "_.'’-") or not (m := NAME.match(typed, lo)):
             continue
-        hi = m.end()
-        left_text = typed[typed.rfind("\n", 0, lo) + 1 : lo][-60:]
-        end = typed.find("\n", hi)
-        right_text = typed[hi : end if end >= 0 else len(typed)][:60]
-        if _NAMED_AFTER.search(left_text):
+        before = typed[typed.rfind("\n", 0, lo) + 1 : lo]
+        if not _NAMED_AFTER.search(before):
+            yield lo, m.end(), bool(_TITLED.search(before))
+
+
+def loose_spans(typed: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, instance) of numbers and written-out addresses that are no entities of rigid shape."""
+    end = 0
+    for c in _START.finditer(typed):
+        lo = c.start()
+        if lo < end:
+            continue
+        while lo and typed[lo - 1].isascii() and typed[lo - 1].isupper():
+            lo -= 1
+        if lo and (typed[lo - 1].isalnum() or typed[lo - 1] in "_.,/+-<"):
             continue
-        titled = bool(_TITLED.search(left_text))
-        left = ["^", *_TOKEN.findall(left_text.casefold())][-2:]
-        right = [*_TOKEN.findall(right_text.casefold()), "$"][:2]
-        mask = lambda tokens: " ".join("#" if t.isdigit() else t for t in tokens)
-        yield lo, hi, "L " + mask(left), "R " + mask(right), titled
+        if m := LOOSE_ADDRESS.match(typed, lo):
+            end = m.end()
+            yield lo, end, "a"
+        elif (m := LOOSE_NUMBER.match(typed, lo)) and sum(x.isdigit() for x in m.group()) >= 5:
+            end = m.end()
+            yield lo, end, "d " + shape_of(m.group())
+
+
+def shape_of(number: str) -> str:
+    return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", number))
+
+
+def name_words(span: str) -> list[str]:
+    """The words of a name, without accents and initials."""
+    return [w for w in re.split(r"[ -]", folded(span)) if w and not w.endswith(".")]
+
+
+def typed_spans(found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, tuple[int, int, str]]]:
+    """Where the typed token of each entity stands, with the entity."""
+    moved = 0
+    for lo, hi, kind in found:
+        yield lo + moved, lo + moved + len(kind) + 2, (lo, hi, kind)
+        moved += len(kind) + 2 - (hi - lo)
+
+
+_LOWER = re.compile(r"(?<![\w@.])[a-zà-ÿ]{3,}(?![\w@])")
 
 
 def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pattern, instance, seed, n): seed is the kind a rigid shape or a title gives, `other` for words in lower case, else null."""
     for batch in batches:
-        counts: dict[tuple[str, str, bool], int] = {}
+        counts: dict[tuple[str, str, str | None], int] = {}
+        common: dict[str, int] = {}
+
+        def add(pattern: str, instance: str, seed: str | None, n: int = 1) -> None:
+            counts[pattern, instance, seed] = counts.get((pattern, instance, seed), 0) + n
+
         for text in batch.column(0).to_pylist():
             plain, _ = aligned(text)
-            typed, _ = typed_text(plain, shaped_entities(plain))
-            for lo, hi, left, right, titled in name_spans(typed):
-                for token in typed[lo:hi].casefold().split(" "):
-                    if not token.endswith("."):
-                        for pattern in (left, right):
-                            counts[pattern, token, titled] = counts.get((pattern, token, titled), 0) + 1
+            found = shaped_entities(plain)
+            typed, _ = typed_text(plain, found)
+            for lo, hi, (a, b, kind) in typed_spans(found):
+                instance = "a" if kind == "street_address" else "@" if kind == "email" else "d " + shape_of(plain[a:b])
+                for pattern in context(typed, lo, hi):
+                    add(pattern, instance, kind)
+                if kind == "email":
+                    for w in re.findall(r"[^\W\d_]{3,}", folded(re.split(_AT, plain[a:b])[0])):
+                        add("@", "n " + w, "person_name")
+            for lo, hi, instance in loose_spans(typed):
+                for pattern in context(typed, lo, hi):
+                    add(pattern, instance, None)
+            for lo, hi, titled in name_spans(typed):
+                for pattern in context(typed, lo, hi):
+                    for w in name_words(typed[lo:hi]):
+                        add(pattern, "n " + w, "person_name" if titled else None)
+            for w in _LOWER.findall(typed):
+                common[w] = common.get(w, 0) + 1
+        for w, n in common.items():
+            add("lower", "n " + folded(w), "other", n)
         cols = list(zip(*counts)) if counts else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "token", "titled", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(counts.values()), pa.int64())], names=["pattern", "instance", "seed", "n"])
+
 
+@dataclass
+class Patterns:
+    """Trust in each kind by pattern, and instances that are met elsewhere: words that are no names, shapes of other numbers; bounded by 1 / MIN_SHARE."""
 
-def scored_patterns(texts: DataFrame) -> dict[str, float]:
+    trust: dict[str, dict[str, float]] = field(default_factory=dict)
+    doubtful: set[str] = field(default_factory=set)
+
+    def of(self, kind: str, left: str, right: str) -> tuple[float, float]:
+        a, b = (self.trust.get(p, {}).get(kind, 0.0) for p in (left, right))
+        return max(a, b), a + b
+
+
+def scored_patterns(texts: DataFrame) -> Patterns:
     """Patterns of high score. texts: one string column."""
-    edges = cut(texts.mapInArrow(_edge_batches, "pattern string, token string, titled boolean, n long").groupBy("pattern", "token").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("titled"), F.col("n")).otherwise(0)).alias("titled")))
+    counts = texts.mapInArrow(_edge_batches, "pattern string, instance string, seed string, n long").groupBy("pattern", "instance").agg(
+        F.sum("n").alias("n"), *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(f"s_{k}") for k in (*KINDS, "other")]
+    )
+    is_name, inner = F.col("instance").startswith("n "), ~F.col("pattern").isin("lower", "@")
+    spans = F.sum(F.when(inner, F.col("n")).otherwise(0))
+    edges = cut(counts)
+    names = edges.filter(is_name).groupBy("instance").agg(spans.alias("m"), F.sum("s_person_name").alias("seeds"), F.sum("s_other").alias("low")).filter("m > 0")
+    common = F.col("low") >= COMMON * (F.col("low") + F.col("m"))
+    # a number is as good as the share of its seeds, a name is known or common or says nothing
+    start = names.select("instance", *[F.lit(0.0).alias(k) for k in KINDS if k != "person_name"], F.when((F.col("seeds") > 0) & ~common, 1.0).otherwise(0.0).alias("person_name"), ((F.col("seeds") > 0) | common).alias("known"), common.alias("fixed")).unionByName(
+        edges.filter(~is_name).groupBy("instance").agg(*[(F.sum(f"s_{k}") / F.sum("n")).alias(k) for k in KINDS]).select("*", F.lit(True).alias("known"), F.lit(False).alias("fixed"))
+    )
+    edges = cut(edges.filter(inner).join(start.select("instance"), "instance", "left_semi").select("pattern", "instance", "n"))
     total = edges.agg(F.sum("n")).first()[0] or 0
     least = max(MIN_SUPPORT, MIN_SHARE * total)
-    tokens = edges.groupBy("token").agg((F.sum("titled") > 0).cast("double").alias("seed"), F.sum("n").alias("m"))
-    known = tokens.select("token", F.col("seed").alias("score"), "seed")
+    known = cut(start)
+
+    def scored() -> DataFrame:
+        weight = F.when(F.col("known"), F.col("n")).otherwise(0)
+        return edges.join(known, "instance").groupBy("pattern").agg(F.sum(weight).alias("support"), *[(F.sum(weight * F.col(k)) / F.greatest(F.sum(weight), F.lit(1))).alias(k) for k in KINDS])
+
     for _ in range(ROUNDS):
-        patterns = edges.join(known, "token").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("trust"), F.sum("n").alias("support"))
-        # weak patterns tell nothing; a token is as good as the trusted places it is met in
-        sure = F.when((F.col("trust") >= 0.5) & (F.col("support") >= least), F.col("trust")).otherwise(0.0)
-        known = cut(
-            edges.join(patterns.select("pattern", sure.alias("trust")), "pattern").groupBy("token").agg((F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("met"))
-            .join(known.select("token", "seed"), "token").select("token", F.greatest("seed", "met").alias("score"), "seed")
-        )
-    last = edges.join(known, "token").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("trust"), F.sum("n").alias("support"))
-    return {r["pattern"]: r["trust"] for r in last.filter((F.col("trust") >= HIGH) & (F.col("support") >= least)).select("pattern", "trust").collect()}
-
-
-def mentions(text: str, patterns: dict[str, float]) -> list[tuple[int, int, str]]:
+        # weak patterns tell nothing; an instance is as good as the trusted places it is met in
+        sure = scored().select("pattern", *[F.when((F.col(k) >= 0.5) & (F.col("support") >= least), F.col(k)).otherwise(0.0).alias(f"t_{k}") for k in KINDS])
+        met = edges.join(sure, "pattern").groupBy("instance").agg(*[(F.sum(F.col("n") * F.col(f"t_{k}")) / F.sum("n")).alias(f"m_{k}") for k in KINDS])
+        score = lambda k: F.when(F.col("fixed"), F.col(k)).otherwise(F.greatest(k, F.coalesce(f"m_{k}", F.lit(0.0)))).alias(k)
+        known = cut(known.join(met, "instance", "left").select("instance", *[score(k) for k in KINDS], (F.col("known") | (F.col("m_person_name") >= 0.5)).alias("known"), "fixed"))
+    high = F.greatest(*KINDS) >= HIGH
+    trust = {r["pattern"]: {k: r[k] for k in KINDS if r[k] >= HIGH} for r in scored().filter(high & (F.col("support") >= least)).collect()}
+    doubtful = edges.groupBy("instance").agg(F.sum("n").alias("m")).filter(F.col("m") >= least).join(known.filter(F.greatest(*KINDS) <= DOUBTFUL), "instance").select("instance").collect()
+    return Patterns(trust, {r["instance"] for r in doubtful})
+
+
+def mentions(text: str, patterns: Patterns) -> list[tuple[int, int, str]]:
     """(start, end, kind) in the original text, in order, without overlaps."""
     plain, at = aligned(text)
     found = shaped_entities(plain)
     typed, back = typed_text(plain, found)
     spans = []
-    for lo, hi, left, right, titled in name_spans(typed):
-        trust = max(1.0 if titled else 0.0, patterns.get(left, 0.0), patterns.get(right, 0.0))
-        both = patterns.get(left, 0.0) + patterns.get(right, 0.0) + 2 * titled
-        if trust >= HIGH:
-            spans.append((-both, lo, hi))
-    names: list[tuple[int, int]] = []
-    for _, lo, hi in sorted(spans):
-        if all(hi <= a or lo >= b for a, b in names):
-            names.append((lo, hi))
-    whole = sorted([*found, *((back[lo], back[hi], "person_name") for lo, hi in names)])
+    for lo, hi, titled in name_spans(typed):
+        best, both = patterns.of("person_name", *context(typed, lo, hi))
+        if titled or best >= HIGH and not any("n " + w in patterns.doubtful for w in name_words(typed[lo:hi])):
+            spans.append((-both - 2 * titled, lo, hi, "person_name"))
+    for lo, hi, instance in loose_spans(typed):
+        kinds = ("street_address",) if instance == "a" else ("phone", "identity_number")
+        left, _ = context(typed, lo, hi)  # what follows a number says little of its kind
+        trust, kind = max((patterns.trust.get(left, {}).get(k, 0.0), k) for k in kinds)
+        if trust >= HIGH and instance not in patterns.doubtful:
+            spans.append((-trust, lo, hi, kind))
+    taken: list[tuple[int, int, str]] = []
+    for _, lo, hi, kind in sorted(spans):
+        if all(hi <= a or lo >= b for a, b, _ in taken):
+            taken.append((lo, hi, kind))
+    whole = sorted([*found, *((back[lo], back[hi], kind) for lo, hi, kind in taken)])
     return whole if at is None else [(at[0][lo], at[1][hi - 1], kind) for lo, hi, kind in whole]
 
 
-def masked(text: str | None, patterns: dict[str, float]) -> str | None:
+def masked(text: str | None, patterns: Patterns) -> str | None:
     """The text with a typed placeholder in the place of each mention."""
     if not text:
         return text

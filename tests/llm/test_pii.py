@@ -10,7 +10,7 @@ SHAPES = [
 
 
 def found(text, patterns=None):
-    return [(k, text[a:b]) for a, b, k in P.mentions(text, patterns or {})]
+    return [(k, text[a:b]) for a, b, k in P.mentions(text, patterns or P.Patterns())]
 
 
 def test_shapes():
@@ -26,9 +26,9 @@ def test_numbers_that_are_no_mentions():
 def test_mentions_come_out_as_they_stand():
     text = "écrire à ａnna@ｌab.example​ ici"
     assert found(text) == [("email", "ａnna@ｌab.example")]
-    assert P.masked(text, {}) == "écrire à [EMAIL]​ ici"
+    assert P.masked(text, P.Patterns()) == "écrire à [EMAIL]​ ici"
     assert found("Mme Ine\u0300s LE\u0301ROT recevra") == [("person_name", "Ine\u0300s LE\u0301ROT")]
-    assert P.masked(None, {}) is None and P.masked("", {}) == ""
+    assert P.masked(None, P.Patterns()) is None and P.masked("", P.Patterns()) == ""
 
 
 def test_bootstrapping_finds_untitled_names(spark):
@@ -43,3 +43,28 @@ def test_bootstrapping_finds_untitled_names(spark):
     assert P.personal_mentions(df.filter("false"), "url", ["description"]).count() == 0
     masked = {r["key"]: r["text"] for r in P.masked_fields(df, "url", ["description"]).collect()}
     assert masked["new"] == "Contact scientifique : [PERSON_NAME] ([EMAIL])."
+
+
+def test_patterns_of_seeds_find_identifiers_of_unknown_shape(spark):
+    """Numbers and addresses that no shape knows, and upper-case contexts, in the places of seeds of their kind."""
+    rows = [(f"i{i}", f"Badge établi, document n° {i % 90 + 10}AB{10000 + i}. Tél. du bureau : 05 36 49 {i % 80 + 10} 65. Déposer au {i + 1} rue du Four, 35000 Rennes, merci.") for i in range(12)]
+    rows += [(f"d{i}", f"Le jeu de données compte {i}50 578 entrées, doi 10.5555/378.2025.84{i:02}.") for i in range(12)]
+    rows += [("new", "Badge établi, document n° 77 4410 22 918. Tél. du bureau : 536 49 77. Déposer au 4 villa des Lilas, 35000 Rennes, merci."), ("upper", "BADGE ÉTABLI, DOCUMENT N° 5512345678901.")]
+    df = spark.createDataFrame(rows, "url string, description string")
+    got = {(r["key"], r["pii_kind"], r["mention"]) for r in P.personal_mentions(df, "url", ["description"]).collect()}
+    assert {("new", "identity_number", "77 4410 22 918"), ("new", "phone", "536 49 77"), ("new", "street_address", "4 villa des Lilas, 35000 Rennes"), ("upper", "identity_number", "5512345678901")} <= got
+    assert not any(k.startswith("d") for k, _, _ in got) and len([k for k, _, _ in got if k.startswith("i")]) == 36
+
+
+def test_names_in_few_texts(spark):
+    """A dozen texts, of which two have courtesy titles: the words of email addresses are seeds as well."""
+    people = ["Anna Morel", "Bruno Petit", "Carla Roux", "Denis Simon", "Emma Leroy", "Farid Nadal"]
+    rows = [(f"c{i}", f"Contact scientifique : {n} ({n.lower().replace(' ', '.')}@b.example).") for i, n in enumerate(people)] + [("t", "Mme Anna Morel recevra."), ("z", "Contact scientifique : Zoé LEFORT (rh@b.example).")]
+    df = spark.createDataFrame(rows, "url string, description string")
+    got = {r["mention"] for r in P.personal_mentions(df, "url", ["description"]).collect() if r["pii_kind"] == "person_name"}
+    assert got == {*people, "Zoé LEFORT"}
+
+
+def test_contexts_reach_over_very_long_tokens():
+    far = "x" * 5000
+    assert P.context(f"a b {far} N", len(far) + 5, len(far) + 6)[0] == f"L b {far}" and P.context(f"N {far} c", 0, 1)[1] == f"R {far} c"
