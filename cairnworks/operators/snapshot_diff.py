@@ -1,12 +1,18 @@
 """What changed between consecutive full deliveries, by subtracting invertible Bloom lookup tables.
 
-Each delivery is reduced to one entry per key. Entries go to hash buckets of the key; every bucket of a
-delivery is an invertible Bloom lookup table (IBLT) of three sub-tables whose cells hold a count and the
-XOR of key digests, value digest and entry digest. Subtracting the tables of neighbouring deliveries
-cancels all unchanged entries, so only non-zero cells leave the JVM. Peeling recovers the differing
-entries with their sign; an entry counts only if its digest is that of its keys and value, and a bucket that does not peel to
-all-zero cells is built again with larger tables and another hash. So the result is right up to collisions of
-64-bit hashes; there is no further digest of a bucket. Recovered keys that occur with both signs are `changed`, with + only `added`, with - only `removed`.
+Each delivery is reduced to one entry per key. Entries go to hash buckets of the key, one exchange brings the entries
+of a bucket in all deliveries together, and everything else happens there, bucket by bucket, in arrays:
+
+1. An odd sketch of 64 parities per pair of neighbouring deliveries estimates how many entries differ; unchanged
+   ones cancel in it. The tables of the pair get cells for that many differences, not for all entries.
+2. Every bucket of a delivery is an invertible Bloom lookup table (IBLT) of three sub-tables whose cells hold a
+   count and the XOR of key digests, value digest and entry digest. The tables of both deliveries are subtracted, so
+   unchanged entries cancel, and peeled: a cell of one entry whose digest is that of its keys and value gives it up.
+3. A bucket whose cells are not all zero after peeling, or whose recovered entries do not have the digest and the
+   number in which its two deliveries differ, is built again with four times the cells and another hash.
+
+Recovered keys that occur with both signs are `changed`, with + only `added`, with - only `removed`. The result
+is right up to collisions of 64-bit hashes.
 
 Defined cases: a null key or delivery is not an entry and is left out; a null value is a value of its own;
 equal order values are settled by the greater tie column, then the greater value digest; repeated rows
@@ -20,17 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnworks.runtime import cut
-
 SUBTABLES = 3
-FIRST_CELLS = 16  # of one sub-table; a power of two
+LEAST_CELLS = 8  # of one sub-table; a power of two
 BUCKET_ROWS = 64  # entries of one delivery aimed at in a bucket
-MAX_ROUNDS = 12
-RECOVERED = "bucket long, pair long, kd long, kd2 long, vd long, sign int, failed boolean"
+AT_ONCE = 100_000  # entries of whole buckets that are searched together
+RECOVERED = "pair long, kd long, kd2 long, sign int"
+_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def normalised_hash(c: Column) -> Column:
@@ -38,138 +42,148 @@ def normalised_hash(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), "^sha256:", "")
 
 
-def _entry_digest(kd: int, kd2: int, vd: int, seed: int) -> int:
-    """The chained 64-bit hash that the JVM's xxhash64(kd, kd2, vd, seed) computes."""
-    h = 42
-    for v in (kd, kd2, vd, seed):
-        h = xxhash.xxh64_intdigest(int(v & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), h)
-    return h
-
-
-def _positions(digest: int, cells: int) -> list[int]:
-    return [i * cells + ((digest >> (20 * i)) & (cells - 1)) for i in range(SUBTABLES)]
-
-
-def peel(table: dict[int, list[int]], cells: int, seed: int) -> tuple[list[tuple[int, int, int, int]], bool]:
-    """Entries (kd, kd2, vd, sign) of a subtracted table, and whether it peeled completely.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def entry_digests(kd: np.ndarray, kd2: np.ndarray, vd: np.ndarray, seed: int) -> np.ndarray:
+    start = np.uint64((seed + 1) * int(_STEPS[0]) & 0xFFFFFFFFFFFFFFFF)
+    return _mixed(_mixed(_mixed(kd + start) ^ kd2) ^ vd)
+
+
+def _places(digests: np.ndarray, cells: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
+    """The cell of each digest in every sub-table of its table. cells: of a sub-table, a power of two; base: its first cell."""
+    shift = np.uint64(64) - np.log2(cells).astype(np.uint64)
+    return [base + i * cells + ((digests * step) >> shift).astype(np.int64) for i, step in enumerate(_STEPS)]
+
+
+def estimated_differences(table: np.ndarray, digests: np.ndarray, tables: int) -> np.ndarray:
+    """By odd sketch: each table has 64 parities, in which entries of both sides cancel."""
+    sketch = np.zeros(tables, np.uint64)
+    np.bitwise_xor.at(sketch, table, np.uint64(1) << (digests >> np.uint64(58)))
+    odd = np.minimum(np.bitwise_count(sketch), 31)  # half of the parities says no more than that there are many
+    return np.ceil(-32 * np.log(1 - odd / 32)).astype(np.int64)
+
+
+def recovered(table: np.ndarray, sign: np.ndarray, kd: np.ndarray, kd2: np.ndarray, vd: np.ndarray, tables: int, seed: int = 0, cells: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(table, sign, kd, kd2, vd) of the entries in which the two sides of each table differ. sign: 1 or -1, the side of an entry."""
+    digests = entry_digests(kd, kd2, vd, seed)
+    if cells is None:
+        wanted = estimated_differences(table, digests, tables)
+        cells = np.maximum(LEAST_CELLS, 1 << np.ceil(np.log2(np.maximum(wanted, 1))).astype(np.int64))
+    base = np.append(0, np.cumsum(SUBTABLES * cells))
+    count = np.zeros(base[-1], np.int64)
+    sums = [np.zeros(base[-1], np.uint64) for _ in range(4)]
+
+    def put(t: np.ndarray, s: np.ndarray, parts: tuple[np.ndarray, ...]) -> None:
+        for at in _places(parts[3], cells[t], base[t]):
+            np.add.at(count, at, s)
+            for total, x in zip(sums, parts):
+                np.bitwise_xor.at(total, at, x)
+
+    put(table, sign, (kd, kd2, vd, digests))
+    of_cell = np.repeat(np.arange(tables), SUBTABLES * cells)
+    found = []
+    todo = np.flatnonzero(np.abs(count) == 1)
+    while len(todo):
+        k, k2, v, e = (x[todo] for x in sums)
+        t = of_cell[todo]
+        pure = (np.abs(count[todo]) == 1) & (entry_digests(k, k2, v, seed) == e) & np.any([p == todo for p in _places(e, cells[t], base[t])], 0)
+        _, first = np.unique(np.stack([t[pure].astype(np.uint64), e[pure]], 1), axis=0, return_index=True)
+        t, s, parts = t[pure][first], count[todo][pure][first], tuple(x[pure][first] for x in (k, k2, v, e))
+        if not len(t):
+            break
+        found.append((t, s, *parts))
+        put(t, -s, parts)
+        todo = np.unique(np.concatenate(_places(parts[3], cells[t], base[t])))
+        todo = todo[np.abs(count[todo]) == 1]
+    out = tuple(np.concatenate(x) for x in zip(*found)) if found else (table[:0], sign[:0], kd[:0], kd2[:0], vd[:0], digests[:0])
+    # the digest and number in which the sides differ must be those of what was recovered
+    left, number = np.zeros(tables, np.uint64), np.zeros(tables, np.int64)
+    for t, s, e in ((table, sign, digests), (out[0], -out[1], out[5])):
+        np.bitwise_xor.at(left, t, e)
+        np.add.at(number, t, s)
+    whole = (left == 0) & (number == 0)
+    rest = (count != 0) | np.any([x != 0 for x in sums], 0)
+    whole[of_cell[rest]] = False
+    if whole.all():
+        return out[:5]
+    again = ~whole[table]
+    more = recovered(table[again], sign[again], kd[again], kd2[again], vd[again], tables, seed + 1, np.where(whole, LEAST_CELLS, cells * 4))
+    good = whole[out[0]]
+    return tuple(np.concatenate([x[good], y]) for x, y in zip(out[:5], more))
+
+
+def _bucket_batches(log: list[tuple[int, int]]):
+    """Rows (bucket, delivery, kd, kd2, vd) sorted by bucket: the entries in which a delivery differs from the one before. log: (delivery, before)."""
+    after: dict[int, list[int]] = {}
+    for delivery, before in log:
+        after.setdefault(before, []).append(delivery)
+    number = {delivery: i for i, (delivery, _) in enumerate(log)}
+    names = np.array([d for d, _ in log] or [0], np.int64)
+
+    def searched(rows: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, delivery, *parts = rows
+        known, which = np.unique(delivery, return_inverse=True)
+        sides = [(1, np.array([number.get(int(d), -1) for d in known], np.int64))]
+        most = max([0, *(len(after.get(int(d), ())) for d in known)])
+        sides += [(-1, np.array([(number[after[int(d)][i]] if i < len(after.get(int(d), ())) else -1) for d in known], np.int64)) for i in range(most)]
+        place, take, sign = [], [], []
+        _, b = np.unique(bucket, return_inverse=True)
+        for s, pair_of in sides:
+            p = pair_of[which]
+            held = np.flatnonzero(p >= 0)
+            place.append(b[held] * len(names) + p[held])
+            take.append(held)
+            sign.append(np.full(len(held), s, np.int64))
+        place, take = np.concatenate(place), np.concatenate(take)
+        used, table = np.unique(place, return_inverse=True)
+        t, s, kd, kd2, _ = recovered(table, np.concatenate(sign), *(x[take].view(np.uint64) for x in parts), len(used))
+        return pa.RecordBatch.from_arrays([pa.array(names[used[t] % len(names)] if len(t) else names[:0]), pa.array(kd.view(np.int64)), pa.array(kd2.view(np.int64)), pa.array(s.astype(np.int32))], names=["pair", "kd", "kd2", "sign"])
 
-    table maps a cell to [count, xor kd, xor kd2, xor vd, xor entry digest], all unsigned; it is consumed.
-    """
-    out: list[tuple[int, int, int, int]] = []
-    todo = list(table)
-    while todo:
-        cell = todo.pop()
-        x = table.get(cell)
-        if x is None or x[0] not in (1, -1):
-            continue
-        count, kd, kd2, vd, digest = x
-        if digest != _entry_digest(kd, kd2, vd, seed) or cell not in (at := _positions(digest, cells)):
-            continue
-        out.append((kd, kd2, vd, count))
-        for p in at:
-            y = table.get(p) or [0, 0, 0, 0, 0]
-            y = [y[0] - count, y[1] ^ kd, y[2] ^ kd2, y[3] ^ vd, y[4] ^ digest]
-            if any(y):
-                table[p] = y
-                todo.append(p)
-            else:
-                table.pop(p, None)
-    return out, not table
-
-
-def _peel_batches(cells: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = 0xFFFFFFFFFFFFFFFF
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            names = ("cell", "cnt", "kd", "kd2", "vd", "ed")
-            lists = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-            flat = {n: x.flatten().to_numpy(zero_copy_only=False) for n, x in lists.items()}
-            ends = np.cumsum(lists["cell"].value_lengths().to_numpy(zero_copy_only=False))
-            rows: list[tuple] = []
-            start = 0
-            for bucket, pair, end in zip(batch.column("bucket").to_pylist(), batch.column("pair").to_pylist(), ends):
-                t = {
-                    int(c): [int(n), int(a) & mask, int(b) & mask, int(v) & mask, int(e) & mask]
-                    for c, n, a, b, v, e in zip(*(flat[n][start:end] for n in names))
-                }
-                start = end
-                found, whole = peel(t, cells, seed)
-                if whole:
-                    rows += [(bucket, pair, *(x - (1 << 64) if x >> 63 else x for x in f[:3]), f[3], False) for f in found]
-                else:
-                    rows.append((bucket, pair, None, None, None, None, True))
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            types = [pa.int64()] * 5 + [pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(cols, types)], names=["bucket", "pair", "kd", "kd2", "vd", "sign", "failed"]
-            )
+            rows = [c.to_numpy() for c in batch.columns]
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            if len(held[0]) < AT_ONCE:
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+            if last:
+                yield searched([x[:last] for x in held])
+                held = [x[last:] for x in held]
+        if held is not None and len(held[0]):
+            yield searched(held)
 
     return run
 
 
-def _subtracted(entries: DataFrame, pairs: DataFrame, cells: int, seed: int, only: DataFrame | None) -> DataFrame:
-    """The non-zero cells of every (bucket, pair), or of those in `only`. entries are partitioned by bucket."""
-    both = entries.join(pairs, "delivery")
-    if only is not None:
-        both = both.join(only, ["bucket", "pair"], "left_semi")
-    spots = F.array(*[
-        F.lit(i * cells).cast("long") + F.shiftrightunsigned(F.col("ed"), 20 * i).bitwiseAND(F.lit(cells - 1).cast("long"))
-        for i in range(SUBTABLES)
-    ])
-    return (
-        both.withColumn("ed", F.xxhash64("kd", "kd2", "vd", F.lit(seed).cast("long")))
-        .select("bucket", "pair", "sign", "kd", "kd2", "vd", "ed", F.explode(spots).alias("cell"))
-        .groupBy("bucket", "pair", "cell")
-        .agg(
-            F.sum("sign").alias("cnt"), F.bit_xor("kd").alias("kd"), F.bit_xor("kd2").alias("kd2"),
-            F.bit_xor("vd").alias("vd"), F.bit_xor("ed").alias("ed"),
-        )
-        .filter("cnt <> 0 OR ed <> 0 OR kd <> 0 OR kd2 <> 0 OR vd <> 0")
-        .groupBy("bucket", "pair")
-        .agg(*[F.collect_list(c).alias(c) for c in ("cell", "cnt", "kd", "kd2", "vd", "ed")])
-    )
-
-
-def _difference(entries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Differing entries (pair, kd, kd2, vd, sign) of all neighbouring deliveries; every bucket is peeled to all-zero cells."""
-    cells, seed, only, done = FIRST_CELLS, 0, None, None
-    for _ in range(MAX_ROUNDS):
-        got = cut(_subtracted(entries, pairs, cells, seed, only).mapInArrow(_peel_batches(cells, seed), RECOVERED))
-        good = got.filter(~F.col("failed")).select("pair", "kd", "kd2", "vd", "sign")
-        done = good if done is None else done.unionByName(good)
-        only = got.filter("failed").select("bucket", "pair")
-        if only.isEmpty():
-            return done
-        cells, seed = cells * 4, seed + 1
-    raise RuntimeError("an IBLT bucket did not peel after all enlargements")
-
-
 def snapshot_changes(rows: DataFrame, deliveries: DataFrame, *, key: str, value: Column, delivery: str, at: str, tie: str) -> DataFrame:
     """(pair, key, change_type) of each delivery against the one just before it in its series.
 
     rows: one row per observation; of the rows of a key in a delivery the one with the greatest (at, tie) counts.
-    deliveries: (series, delivery, position), the complete deliveries only; its size is that of the delivery log.
+    deliveries: (series, delivery, position), the complete deliveries only, by whole numbers. It is read to the driver: a row per run of a source.
     """
     order = Window.partitionBy("series").orderBy("position", "delivery")
-    log = deliveries.select("delivery", F.lag("delivery").over(order).alias("before")).filter("before IS NOT NULL")
-    pairs = log.select("delivery", F.col("delivery").alias("pair"), F.lit(1).alias("sign")).unionByName(
-        log.select(F.col("before").alias("delivery"), F.col("delivery").alias("pair"), F.lit(-1).alias("sign"))
-    )
+    log = [tuple(r) for r in deliveries.select("delivery", F.lag("delivery").over(order).alias("before")).filter("before IS NOT NULL").collect()]
+    used = deliveries.sparkSession.createDataFrame([(d,) for d in sorted({x for pair in log for x in pair})], deliveries.select("delivery").schema)
     seen = rows.select(
         F.col(key).alias("key"), value.alias("value"), F.col(delivery).alias("delivery"), F.col(at).alias("at"), F.col(tie).alias("tie")
     ).filter("key IS NOT NULL AND delivery IS NOT NULL")
     most = seen.groupBy("delivery").count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-most // BUCKET_ROWS))
     entries = (
-        seen.join(pairs.select("delivery").distinct(), "delivery", "left_semi")
-        .select("delivery", "at", "tie", F.xxhash64("key").alias("kd"), F.xxhash64(F.lit("second"), "key").alias("kd2"), F.xxhash64("value").alias("vd"))
+        seen.join(used, "delivery", "left_semi")
+        .select(F.col("delivery").cast("long").alias("delivery"), "at", "tie", F.xxhash64("key").alias("kd"), F.xxhash64(F.lit("second"), "key").alias("kd2"), F.xxhash64("value").alias("vd"))
         .groupBy("delivery", "kd", "kd2")  # map-side combining first: a hot key shrinks to one row per task
         .agg(F.max(F.struct("at", "tie", "vd")).alias("last"))
-        .select("delivery", "kd", "kd2", F.col("last.vd").alias("vd"), F.pmod("kd", F.lit(buckets).cast("long")).alias("bucket"))
-        .repartition("bucket")
+        .select(F.pmod("kd", F.lit(buckets).cast("long")).alias("bucket"), "delivery", "kd", "kd2", F.col("last.vd").alias("vd"))
+        .repartition("bucket").sortWithinPartitions("bucket")
     )
     changed = (
-        _difference(cut(entries), pairs)
+        entries.mapInArrow(_bucket_batches(log), RECOVERED)
         .groupBy("pair", "kd", "kd2")
         .agg(F.max("sign").alias("newest"), F.min("sign").alias("oldest"))
         .select("pair", "kd", "kd2", F.when(F.col("newest") == -1, "removed").when(F.col("oldest") == 1, "added").otherwise("changed").alias("change_type"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,35 +9,51 @@ from pyspark.sql import functions as F
 from cairnworks.operators import snapshot_diff as D
 
 
-def table_of(entries, cells, seed):
-    """A subtracted table of (kd, kd2, vd, sign)."""
-    t = {}
-    for kd, kd2, vd, sign in entries:
-        e = D._entry_digest(kd, kd2, vd, seed)
-        for p in D._positions(e, cells):
-            x = t.get(p, [0, 0, 0, 0, 0])
-            t[p] = [x[0] + sign, x[1] ^ kd, x[2] ^ kd2, x[3] ^ vd, x[4] ^ e]
-    return {p: x for p, x in t.items() if any(x)}
+def sides(rnd, tables, same, differing):
+    """Entries of both sides of each table, and the differing ones."""
+    rows, want = [], []
+    for t in range(tables):
+        for _ in range(same):
+            e = [rnd.getrandbits(64) for _ in range(3)]
+            rows += [(t, 1, *e), (t, -1, *e)]
+        for _ in range(differing):
+            x = (t, rnd.choice([1, -1]), *(rnd.getrandbits(64) for _ in range(3)))
+            rows.append(x)
+            want.append(x)
+    rnd.shuffle(rows)
+    cols = list(zip(*rows)) or [()] * 5
+    return [np.array(c, k) for c, k in zip(cols, (np.int64, np.int64, np.uint64, np.uint64, np.uint64))], sorted(want)
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.integers(0, 25), st.integers(0, 10**6))
-def test_peeling_recovers_every_entry(n, seed):
-    rnd = random.Random(seed)
-    entries = [(*(rnd.getrandbits(64) for _ in range(3)), rnd.choice([1, -1])) for _ in range(n)]
-    found, whole = D.peel(table_of(entries, 64, 3), 64, 3)
-    assert whole and sorted(found) == sorted(entries)
+@given(st.integers(0, 40), st.integers(0, 30), st.integers(1, 5), st.integers(0, 10**6))
+def test_every_difference_is_recovered(same, differing, tables, seed):
+    arrays, want = sides(random.Random(seed), tables, same, differing)
+    got = D.recovered(*arrays, tables)
+    assert sorted(zip(*(x.tolist() for x in got))) == want
 
 
-def test_overfull_table_reports_failure():
-    rnd = random.Random(1)
-    entries = [(*(rnd.getrandbits(64) for _ in range(3)), 1) for _ in range(200)]
-    assert not D.peel(table_of(entries, 16, 0), 16, 0)[1]
+def test_tables_that_do_not_peel_are_enlarged():
+    arrays, want = sides(random.Random(1), 3, 10, 300)
+    assert sorted(zip(*(x.tolist() for x in D.recovered(*arrays, 3, 0, np.full(3, D.LEAST_CELLS))))) == want
 
 
-def test_entry_digest_is_that_of_the_engine(spark):
-    row = spark.range(1).select(F.xxhash64(F.lit(-5).cast("long"), F.lit(7).cast("long"), F.lit(2**62).cast("long"), F.lit(3).cast("long")).alias("h")).first()
-    assert row["h"] % 2**64 == D._entry_digest(-5 % 2**64, 7, 2**62, 3)
+def test_the_estimate_follows_the_difference_not_the_size():
+    for differing in (0, 2, 10, 20):
+        (table, sign, kd, kd2, vd), _ = sides(random.Random(differing), 50, 500, differing)
+        got = D.estimated_differences(table, D.entry_digests(kd, kd2, vd, 0), 50)
+        assert abs(got.mean() - differing) <= 0.15 * differing + 1.2  # rounded up
+
+
+def test_buckets_that_go_on_over_batches(monkeypatch):
+    monkeypatch.setattr(D, "AT_ONCE", 7)
+    rnd = random.Random(2)
+    rows = sorted((rnd.randrange(6), d, rnd.getrandbits(40), 0, rnd.getrandbits(40)) for d in (1, 2, 3) for _ in range(30))
+    cols = [np.array(c, np.int64) for c in zip(*rows)]
+    batch = lambda i: D.pa.RecordBatch.from_arrays([D.pa.array(c[i : i + 5]) for c in cols], names=["bucket", "delivery", "kd", "kd2", "vd"])
+    got = [tuple(r) for b in D._bucket_batches([(2, 1), (3, 2)])(batch(i) for i in range(0, 90, 5)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = [(p, k, 0, s) for p, new, old in ((2, 2, 1), (3, 3, 2)) for _, d, k, _, _ in rows for s in [1 if d == new else -1] if d in (new, old)]
+    assert sorted(got) == sorted(want)
 
 
 RUNS = "id long, started_at timestamp, finished_at timestamp, source string, status_message string"
@@ -72,7 +89,7 @@ def test_equal_times_are_settled_by_the_greater_id(spark):
 
 
 def test_many_differences_need_enlarged_buckets(spark, monkeypatch):
-    monkeypatch.setattr(D, "FIRST_CELLS", 4)
+    monkeypatch.setattr(D, "BUCKET_ROWS", 300)
     runs = [(1, 1, 2, "a", "ok"), (2, 3, 4, "a", "ok")]
     snaps = [(i, f"u{i}", "h", 1, 1) for i in range(400)] + [(1000 + i, f"u{i}", "k" if i % 2 else "h", 3, 2) for i in range(50, 450)]
     want = sorted([(2, f"u{i}", "removed") for i in range(50)] + [(2, f"u{i}", "added") for i in range(400, 450)] + [(2, f"u{i}", "changed") for i in range(50, 400) if i % 2])
