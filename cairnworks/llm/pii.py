@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -60,10 +61,11 @@ ADDRESS = re.compile(
     rf"{_NUMBER},? {_WAY_FR}\b[^\n,;():]+?(?:,? (?:b[âa]t(?:\.|iment)?|esc\.|étage|porte|bureau) ?\w{{1,4}})?(?:,| -| –)? ?\d{{5}} {_TOWN}"
     rf"|{_NUMBER},? (?:[A-ZÀ-Ý][\w'’-]* ){{1,3}}{_WAY_EN}\b(?:, (?:flat|apt|unit|floor) \w{{1,4}})?,? (?:\d{{5}} )?{_TOWN}"
 )
-_EMAIL_HINT = re.compile(r"@| AT |arobase|[\[({](?:at|chez)[\])}]", re.I)
+_EMAIL_HINTS = ("@", "arobase", "(at)", "[at]", "{at}", "(chez", "[chez", "{chez")  # one of them, or " AT ", is in every match of EMAIL, in lower case
 # spans of loose shape: numbers of at least five digits, and a house number, words, a postal code and a town
 LOOSE_NUMBER = re.compile(r"\+?[A-Z\d](?:[ ./-]?[A-Z\d]){4,24}(?![\w/])(?!\.\d)")
 LOOSE_ADDRESS = re.compile(rf"{_NUMBER},? (?:(?!\d)[\w'’-]+,? ){{1,10}}?(?:- |– )?\d{{5}} {_TOWN}")
+_LOOSE_DIGIT = re.compile(r"\d(?:(?=[A-Z\d ./-]{4})|(?=\d{0,3}[ ,][^\n]*\d{5} ))")  # where a loose number or address can begin
 _START = re.compile(r"\+?\d+")
 _NUMBERED = (("street_address", ADDRESS, re.compile(r"[\w.,/-]$")), ("identity_number", IDENTITY, re.compile(r"[\w./+-]$")), ("phone", PHONE, re.compile(r"[\w.,/+-]$|\d $")))
 
@@ -73,7 +75,8 @@ _GIVEN = rf"{_NOT}[A-ZÀ-Ý][a-zà-ÿ]+(?:-[A-ZÀ-Ý][a-zà-ÿ]+)*"
 _CAPS = r"[A-ZÀ-Ý]{2,}(?:-[A-ZÀ-Ý]{2,})*"
 _INITIAL = r"[A-ZÀ-Ý]\.(?:-?[A-ZÀ-Ý]\.)?"
 NAME = re.compile(rf"(?:{_INITIAL} (?:{_CAPS}|{_GIVEN})|{_GIVEN} (?:{_CAPS}|{_GIVEN})|{_CAPS} {_GIVEN})(?![\w'’-])")
-_CAPITAL = re.compile(r"[A-ZÀ-Ý]")
+_CAPITAL = re.compile(r"(?<![\w.'’-])[A-ZÀ-Ý](?=[\w.'’-]* [A-ZÀ-Ý])")  # where NAME can begin
+REACH = 40  # characters before a span that _NAMED_AFTER and _TITLED can cover at most
 _TITLED = re.compile(rf"(?<!\w){TITLES} $")
 _NAMED_AFTER = re.compile(
     r"(?:\b(?:rue|avenue|boulevard|place|cours|quai|laboratoire|labo|centre|center|institut|institute|école|school|lycée|université|university|fondation|foundation|prix|prize|award|salle|room|amphi(?:théâtre)?|bâtiment|building|"
@@ -131,7 +134,8 @@ def shaped_entities(plain: str) -> list[tuple[int, int, str]]:
     def free(lo: int, hi: int) -> bool:
         return all(hi <= a or lo >= b for a, b, _ in taken)
 
-    if _EMAIL_HINT.search(plain):
+    low = plain.lower()
+    if " AT " in plain or any(x in low for x in _EMAIL_HINTS):
         taken = [(*m.span(), "email") for m in EMAIL.finditer(plain)]
     end = 0
     for start in _START.finditer(plain):
@@ -177,10 +181,9 @@ def context(typed: str, lo: int, hi: int) -> tuple[str, str]:
 def name_spans(typed: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, after a courtesy title) of all name-like spans; spans may overlap."""
     for c in _CAPITAL.finditer(typed):
-        lo = c.start()
-        if lo and (typed[lo - 1].isalnum() or typed[lo - 1] in "_.'’-") or not (m := NAME.match(typed, lo)):
+        if not (m := NAME.match(typed, lo := c.start())):
             continue
-        before = typed[typed.rfind("\n", 0, lo) + 1 : lo]
+        before = typed[max(typed.rfind("\n", 0, lo) + 1, lo - REACH) : lo]
         if not _NAMED_AFTER.search(before):
             yield lo, m.end(), bool(_TITLED.search(before))
 
@@ -188,13 +191,15 @@ def name_spans(typed: str) -> Iterator[tuple[int, int, bool]]:
 def loose_spans(typed: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, instance) of numbers and written-out addresses that are no entities of rigid shape."""
     end = 0
-    for c in _START.finditer(typed):
+    for c in _LOOSE_DIGIT.finditer(typed):
         lo = c.start()
         if lo < end:
             continue
-        while lo and typed[lo - 1].isascii() and typed[lo - 1].isupper():
+        while lo and "A" <= typed[lo - 1] <= "Z":
+            lo -= 1
+        if lo and typed[lo - 1] == "+":
             lo -= 1
-        if lo and (typed[lo - 1].isalnum() or typed[lo - 1] in "_.,/+-<"):
+        if lo and (typed[lo - 1].isalnum() or typed[lo - 1] in "_.,/+<-"):
             continue
         if m := LOOSE_ADDRESS.match(typed, lo):
             end = m.end()
@@ -228,7 +233,7 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(pattern, instance, seed, n): seed is the kind a rigid shape or a title gives, `other` for words in lower case, else null."""
     for batch in batches:
         counts: dict[tuple[str, str, str | None], int] = {}
-        common: dict[str, int] = {}
+        common: Counter[str] = Counter()
 
         def add(pattern: str, instance: str, seed: str | None, n: int = 1) -> None:
             counts[pattern, instance, seed] = counts.get((pattern, instance, seed), 0) + n
@@ -251,8 +256,7 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for pattern in context(typed, lo, hi):
                     for w in name_words(typed[lo:hi]):
                         add(pattern, "n " + w, "person_name" if titled else None)
-            for w in _LOWER.findall(typed):
-                common[w] = common.get(w, 0) + 1
+            common.update(_LOWER.findall(typed))
         for w, n in common.items():
             add("lower", "n " + folded(w), "other", n)
         cols = list(zip(*counts)) if counts else [(), (), ()]
