@@ -5,7 +5,8 @@ pieces; a text within the budget holds at least one piece unchanged. Piece diges
 looked up in rolling digests of the corpus text; around each hit Myers' bit-parallel distance over words
 gives the fewest edits of the passage. The corpus is read once per block of test items and nothing is shuffled.
 
-The test items are split into blocks of at most BLOCK_WORDS words, so what is sent to the executors is bounded.
+The test items are split into blocks of about BLOCK_WORDS words, so the index of pieces, built once per block and sent to
+the executors, is bounded; the corpus is read once per block.
 
 Defined cases: null keys and null or empty texts are left out; items of fewer than `span` words never leak;
 repeated documents or items give one row each; an empty table gives no rows; other columns are ignored;
@@ -19,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,9 +132,9 @@ class PassageIndex:
         return tuple(rows[lead].T)
 
 
-def _leak_batches(items: list[tuple[int, list[str]]], span: int, budget: int):
+def _leak_batches(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = PassageIndex(items, span, budget)
+        index = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -153,5 +155,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, span: int = SPAN, bu
     parts = []
     for b in range(blocks):
         held = [(r["item_id"], words(r["text"])) for r in sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()]
-        parts.append(docs.mapInArrow(_leak_batches(held, span, budget), "doc_id long, item_id long, edits long"))
+        shared = documents.sparkSession.sparkContext.broadcast(PassageIndex(held, span, budget))  # of at most about BLOCK_WORDS words
+        parts.append(docs.mapInArrow(_leak_batches(shared), "doc_id long, item_id long, edits long"))
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))

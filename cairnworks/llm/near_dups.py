@@ -423,15 +423,15 @@ def connected(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 def near_duplicate_classes(rows: DataFrame, key: str, text: Column, **settings) -> DataFrame:
     """One row per record: (key, class_id, group_id, copies, links).
 
-    class_id: the records of one text; group_id: the classes that links lead to from each other, by the least class_id
-    of them; copies: records of the class; links: those of its class to other classes.
+    class_id: the least key of the records of one text; group_id: that of the classes that links lead to from each
+    other; copies: records of the class; links: those of its class to other classes.
     """
     members, reps, links = near_duplicates(rows, key, text, **settings)
     both = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("class").agg(F.count("*").alias("copies"))
-    grouped = reps.join(connected(links), "id", "left").select("class", "id", F.coalesce("root", "id").alias("root"))
-    names = grouped.groupBy("root").agg(F.min(F.hex("class")).alias("group_id"))
+    sizes = members.groupBy("class").agg(F.count("*").alias("copies"), F.min("key").alias("class_id"))
+    grouped = reps.join(sizes, "class").join(connected(links), "id", "left").select("class", "id", "copies", "class_id", F.coalesce("root", "id").alias("root"))
+    names = grouped.groupBy("root").agg(F.min("class_id").alias("group_id"))
     return (
-        members.join(sizes, "class").join(grouped.join(names, "root"), "class").join(both, "id", "left")
-        .select("key", F.hex("class").alias("class_id"), "group_id", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+        members.join(grouped.join(names, "root"), "class").join(both, "id", "left")
+        .select("key", "class_id", "group_id", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     )

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnworks.llm.leaks import leaked_items
-from cairnworks.llm.lookalikes import same_looking_pairs
+from cairnworks.llm.lookalikes import same_looking_classes, same_looking_pairs
 from cairnworks.llm.main_text import main_lines
 from cairnworks.llm.mixing import reached_shares, training_order
 from cairnworks.llm.near_dups import near_duplicate_classes, near_duplicate_pairs
+from cairnworks.llm.oracles import SQL
 from cairnworks.llm.pii import masked_fields, personal_mentions
 from cairnworks.llm.reading import reading_levels
 from cairnworks.llm.residue import residue_fields
 from cairnworks.runtime import table
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_fields(table(spark, sf_dir, "offers"), "url", "title", "raw_text", "source").withColumnRenamed("key", "url")
@@ -44,6 +47,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relation of p6_found with one row per offer and field, and no pairs."""
+    return same_looking_classes(table(spark, sf_dir, "offers"), "url", ["title", "description"]).withColumnRenamed("key", "url")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_mentions(table(spark, sf_dir, "offers"), "url", ["description", "raw_text"]).withColumnRenamed("key", "url")
 
@@ -74,6 +82,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_classes, p5_found, p6_found, p7_found, p7_masked, p8_found, p8_leaks, p9_mix, p9_shares, p10_found)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_classes, p5_found, p6_found, p6_classes, p7_found, p7_masked, p8_found, p8_leaks, p9_mix, p9_shares, p10_found)}
