@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Contact patterns and the placeholders that stand for masked contacts.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(?:\+33|0)[ .-]?[1-9](?:[ .-]?[0-9]{2}){4}"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+PHONE = r"(?:(?:\+|00)33[\s.-]?(?:\(0\)[\s.-]?)?|0)[1-9](?:[\s.-]?\d{2}){4}"
+CONTACT = f"{EMAIL}|{PHONE}"
 EMAIL_PLACEHOLDER = "contact@example.invalid"
-PHONE_PLACEHOLDER = "+00 0 00 00 00 00"
+PHONE_PLACEHOLDER = "00 00 00 00 00"  # no phone itself: it has no digit from 1 to 9 after the first
 
 
 def blank_to_null(c: Column) -> Column:
@@ -32,7 +33,8 @@ def text_or_null(c: Column) -> Column:
 
 
 def safe_int(c: Column) -> Column:
-    return F.expr("try_cast(trim(value) AS INT)") if isinstance(c, str) else c.try_cast("int")
+    """A whole number, white space around it allowed; null for anything else."""
+    return F.trim(c).try_cast("int")
 
 
 def yes_no(c: Column) -> Column:
@@ -40,7 +42,7 @@ def yes_no(c: Column) -> Column:
 
 
 def has_contact(c: Column) -> Column:
-    return F.coalesce(c.rlike(EMAIL) | c.rlike(PHONE), F.lit(False))
+    return F.coalesce(c.rlike(CONTACT), F.lit(False))
 
 
 def leaks_contact(c: Column) -> Column:
@@ -53,6 +55,15 @@ def anonymised(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, EMAIL, EMAIL_PLACEHOLDER), PHONE, PHONE_PLACEHOLDER)
 
 
+def anonymised_map(c: Column) -> Column:
+    """A map of strings with contacts masked in every value."""
+    return F.transform_values(c, lambda _, v: anonymised(v))
+
+
+def anonymised_list(c: Column) -> Column:
+    return F.transform(c, anonymised)
+
+
 def absolute_url(c: Column, base: str) -> Column:
     """http(s) links stay; a path is put after the host, anything else after the host and a slash."""
     return F.when(c.rlike("^https?://"), c).when(c.startswith("/"), F.concat(F.lit(base), c)).otherwise(F.concat(F.lit(base + "/"), c))
@@ -70,6 +81,15 @@ def reference_of_url(c: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(c, "/+$", ""), "/"), -1)
 
 
+def reference_in_url(url: str) -> str | None:
+    return url.rstrip("/").split("/")[-1] or None
+
+
+def with_language(c: Column, language: str = "FR") -> Column:
+    """A detail url with the language asked for, unless it has a query of its own."""
+    return F.when(F.contains(c, F.lit("?")), c).otherwise(F.concat(c, F.lit(f"?lang={language}")))
+
+
 def slug(text: str | None) -> str | None:
     if text is None:
         return None

@@ -6,16 +6,18 @@ records come out with their state instead of raising, so that they can be set as
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnworks.functions.html import Element, clean, parse
-from cairnworks.functions.text import text_or_null, with_scheme
+from cairnworks.functions.html import Element, clean, fragment_text, parse
+from cairnworks.functions.rules import cascade
+from cairnworks.functions.text import CONTACT, reference_in_url, text_or_null, with_scheme
 
 CARD = "url string, position int, title string, lab string, location string, labels array<string>, updated string"
 DETAIL = (
@@ -23,23 +25,30 @@ DETAIL = (
     "fields map<string,string>, state string"
 )
 _LINK = re.compile(r"offre|offer|detail", re.I)
-# Phrases of the page states, in order of precedence.
+# Phrases of the page states, in order of precedence, in lower case.
 PAGE_STATES = (
-    ("logged_out", ("veuillez vous connecter", "session expirée")),
-    ("server_error", ("erreur interne", "internal server error", "service unavailable", "bad gateway", "une erreur est survenue", "erreur 500")),
-    ("unavailable", ("n'est plus disponible", "n’est plus disponible", "offre introuvable", "page introuvable", "has expired", "no longer available", "a été pourvue", "offre expirée")),
+    ("logged_out", ("merci de votre visite", "une authentification est nécessaire", "veuillez vous connecter", "session expirée", "session a expiré")),
+    ("server_error", ("erreur serveur", "erreur interne", "erreur inattendue", "internal server error", "server error", "http 500", "500 internal", "service unavailable", "bad gateway", "sqlstate")),
+    ("unavailable", ("offre indisponible", "offre expirée", "offre expiree", "offre introuvable", "page introuvable", "n'est plus disponible", "n’est plus disponible", "nest plus disponible", "n'est plus en ligne", "has expired", "no longer available", "no longer open", "a été pourvue")),
 )
+LOGOUT_URLS = ("/logout", "/deconnexion")
 
 
-def page_state(html: str | None) -> str:
+def page_state(html: str | None, final_url: str | None = "") -> str:
+    """empty, logged_out, server_error, unavailable or record, by the url a fetch ended at and the phrases of the page."""
+    if any(x in (final_url or "").lower() for x in LOGOUT_URLS):
+        return "logged_out"
     if not html or not html.strip():
         return "empty"
     low = html.lower()
-    for state, phrases in PAGE_STATES:
-        if any(p in low for p in phrases):
-            if state != "logged_out" or "déconnexion" not in low:
-                return state
-    return "record"
+    return next((state for state, phrases in PAGE_STATES if any(p in low for p in phrases)), "record")
+
+
+def page_states(html: Column, final_url: Column | None = None) -> Column:
+    """page_state as an expression."""
+    holds = lambda text, parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(text, p))
+    rules = [(F.coalesce(F.trim(html) == "", F.lit(True)), "empty"), *((holds(F.lower(html), phrases), state) for state, phrases in PAGE_STATES)]
+    return cascade(([(holds(F.lower(final_url), LOGOUT_URLS), "logged_out")] if final_url is not None else []) + rules, "record")
 
 
 def _text(e: Element | None) -> str | None:
@@ -181,6 +190,141 @@ def text_rows(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     return pages.select(url, html).mapInArrow(_rows_of(lambda h, u: [{"text": parse(h).text() or None if h else None}], schema), "page_url string, text string")
 
 
+# --- member pages ------------------------------------------------------------------------------------------
+
+_NO_RESULT = ("aucune offre", "aucun résultat", "aucun resultat")
+_COUNTS = [re.compile(x) for x in (r"(\d+)\s+offres?\s+(?:trouvées?|disponibles?|publiées?|cifre)", r"(\d+)\s+résultats?", r"(\d+)\s+resultats?")]
+
+
+def result_count(html: str | None) -> int | None:
+    """The number of results a list page states; 0 where it says there is none, null where it says nothing."""
+    text = parse(html).text().lower()
+    if any(x in text for x in _NO_RESULT):
+        return 0
+    return next((int(m.group(1)) for c in _COUNTS if (m := c.search(text))), None)
+
+
+def picked(values: dict[str, str | None], labels: tuple[str, ...]) -> str | None:
+    """The value of the first label, without regard to case, that has one."""
+    low = {k.lower(): v for k, v in values.items()}
+    return next((v for x in labels if (v := low.get(x.lower()))), None)
+
+
+def picked_from(values: Column, labels: tuple[str, ...]) -> Column:
+    """picked as an expression on a map column."""
+    entries = F.map_entries(values)
+    return F.coalesce(*[F.get(F.filter(entries, lambda e: (F.lower(e["key"]) == x.lower()) & (e["value"] != "")), -1 + F.size(F.filter(entries, lambda e: (F.lower(e["key"]) == x.lower()) & (e["value"] != ""))))["value"] for x in labels])
+
+
+def keyword_section(root: Element, words: tuple[str, ...]) -> str | None:
+    """For the first word that leads to one: the element of that data-section, else the text below the first h2 to h4 that holds it."""
+    heads = ("h2", "h3", "h4")
+    for word in map(str.lower, words):
+        own = root.first(f"[data-section={word}]")
+        if own is not None and own.text():
+            return own.text()
+        heading = next((h for h in root.select(",".join(heads)) if word in h.text().lower()), None)
+        if heading is not None:
+            parts = []
+            for e in heading.siblings_after():
+                if e.tag in heads:
+                    break
+                parts.append(e.text())
+            if body := clean(" ".join(parts)):
+                return body
+    return None
+
+
+def json_row(payload: str | None) -> dict | None:
+    """The row a JSON payload holds: its `row`, or itself where it has a title or a subject; null for other payloads."""
+    if not payload or not payload.lstrip().startswith("{"):
+        return None
+    try:
+        data = json.loads(payload)
+    except ValueError:
+        return None
+    if isinstance(data.get("row"), dict):
+        return data["row"]
+    return data if "titre" in data or "these" in data else None
+
+
+# The labels of member pages by field, in order; the keys of extra fields in JSON rows.
+MEMBER_LABELS = {
+    "company_name": ("Entreprise", "Société", "Structure", "Organisation"), "laboratory_name": ("Laboratoire", "Unité", "Equipe", "Équipe"), "sector": ("Secteur", "Domaine"),
+    "discipline": ("Discipline", "Domaine scientifique"), "application_deadline": ("Date limite", "Clôture", "Deadline"), "doctoral_school": ("École doctorale", "Ecole doctorale", "Doctoral school"),
+    "partner_expected": ("Partenaire recherché", "Partenaire recherche", "Partenaire attendu", "Partner expected"), "remote_or_hybrid": ("Télétravail", "Teletravail", "Remote", "Hybride", "Hybrid"),
+    "funding_status": ("Financement", "Funding", "Statut financement"), "cifre_status": ("Statut CIFRE", "Convention CIFRE"), "location": ("Lieu", "Localisation", "Ville"),
+    "published_at_text": ("Date de publication", "Publication", "Publié", "Publiée"), "reference": ("Référence", "Reference", "Identifiant", "ID"), "duration": ("Durée", "Duree"), "education_level": ("Niveau", "Diplôme", "Diplome"),
+}
+MEMBER_SECTIONS = {"description": ("Description", "Sujet", "Projet", "Contexte"), "skills": ("Profil", "Compétences", "Competences", "Candidat")}
+MEMBER_DEFAULTS = {"contract_type": "CIFRE", "duration": "36 mois", "education_level": "BAC+5 / Master"}
+ROW_EXTRAS = {"anrt_id": "id", "crypt": "crypt", "open": "ouverte", "status": "statut", "postal_code": "cp", "recruitment_date": "dtrecrutement", "recruitment_date_text": "recrutement", "created_at_text": "creation", "updated_at_text": "modification", "document": "doc"}
+COMMON = ("location", "published_at_text", "reference", "duration", "education_level")
+MEMBER = "url string, state string, reference string, title string, contract_type string, duration string, education_level string, location string, lab string, published_at_text string, description string, skills string, raw_text string, source_specific map<string,string>"
+
+
+def _owned(company: str | None, laboratory: str | None, kind: str) -> str | None:
+    return company if kind == "entreprise" and company else laboratory or company
+
+
+def member_detail(payload: str | None, url: str, kind: str) -> dict:
+    """A member page or a JSON row as one record; pages that are no record come out with their state."""
+    if (row := json_row(payload)) is not None:
+        return _member_row(row, url, kind)
+    state = page_state(payload)
+    if state != "record":
+        return {"url": url, "state": state}
+    root = parse(payload)
+    title = next((t for x in ("[data-field=title]", ".offer-title", ".offre-title", "h1", "h2") if (t := _text(root.first(x)))), None)
+    raw = "\n".join(t for x in root.strings() if (t := clean(x)))
+    found = {name: near_label(root, labels) for name, labels in MEMBER_LABELS.items()}
+    extra = {"anrt_kind": kind, **{k: v for k, v in found.items() if v and k not in COMMON}, "contact_visible": str(bool(re.search(CONTACT, raw))).lower()}
+    return {
+        "url": url, "state": "record" if title else "no_title", "title": title, "lab": _owned(found["company_name"], found["laboratory_name"], kind), "raw_text": raw, "source_specific": extra, "reference": found["reference"] or reference_in_url(url),
+        **{k: keyword_section(root, words) for k, words in MEMBER_SECTIONS.items()}, "location": found["location"], "published_at_text": found["published_at_text"], **{k: found.get(k) or v for k, v in MEMBER_DEFAULTS.items()},
+    }
+
+
+def _member_row(row: dict, url: str, kind: str) -> dict:
+    value = lambda k: clean(str(row[k])) or None if row.get(k) is not None else None
+    owner, other, description = value("rs"), value("entite"), fragment_text(value("these"))
+    place = ", ".join(x for x in (value("ville"), value("pays")) if x) or None
+    names = {"company_name": owner, "laboratory_name": other, "sector": value("secteur")} if kind == "entreprise" else {"laboratory_name": owner, "laboratory_sigle": value("sigle")}
+    extra = {"anrt_kind": kind, "contact_visible": str(bool(re.search(CONTACT, description or ""))).lower(), "discipline": value("discipline"), **names, **{k: value(c) for k, c in ROW_EXTRAS.items()}}
+    parts = [value("titre"), owner, other, value("discipline"), value("secteur"), place, description]
+    return {
+        "url": url, "state": "record" if parts[0] else "no_title", "title": parts[0], "lab": owner, "location": place, "published_at_text": value("creation"), "description": description, "skills": None,
+        "reference": value("id") or reference_in_url(url), "raw_text": "\n".join(x for x in parts if x), "source_specific": {k: v for k, v in extra.items() if v is not None}, **MEMBER_DEFAULTS,
+    }
+
+
+def member_rows(payloads: DataFrame, url: str = "url", payload: str = "payload", kind: str = "kind", default_kind: str = "entreprise") -> DataFrame:
+    """One record per (url, payload, kind), in Arrow batches; an unknown kind is the default one."""
+    names = [x.split()[0] for x in MEMBER.split(", ")]
+    schema = pa.schema([(n, _M if n == "source_specific" else _S) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_mapped(member_detail(p, u, k or default_kind)) for u, p, k in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=schema)
+
+    return payloads.select(url, payload, kind).filter(F.col(url).isNotNull()).mapInArrow(run, MEMBER)
+
+
+def list_facts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(page_url, state, total, pages, results, next_links) of list pages: headline, navigation, stated results and links to further pages."""
+    schema = _arrow([("state", _S), ("total", pa.int32()), ("pages", pa.int32()), ("results", pa.int32()), ("next_links", _L)])
+
+    def facts(h: str | None, u: str | None) -> list[dict]:
+        state = page_state(h, u)
+        if state != "record":
+            return [{"state": state, "next_links": []}]
+        total, last = list_counts(h)
+        return [{"state": state, "total": total, "pages": last, "results": result_count(h), "next_links": page_links(h, u or "")}]
+
+    return pages.select(url, html).mapInArrow(_rows_of(facts, schema), "page_url string, state string, total int, pages int, results int, next_links array<string>")
+
+
 # --- XML and JSON, native ----------------------------------------------------------------------------------
 
 

@@ -220,6 +220,20 @@ def isolated_union(parts: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame
     return out, errors
 
 
+def positioned(df: DataFrame, *order: Column | str, into: str = "position") -> DataFrame:
+    """df in a total order with the place of each row, counted from 1: a range sort, whose partitions are counted, not a window over all rows."""
+    placed = cut(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__id", 33)  # above the number within the partition
+    ahead = placed.groupBy(part.alias("__part")).count().withColumn("__ahead", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = placed.withColumn("__part", part).join(ahead.select("__part", "__ahead"), "__part")
+    return rows.withColumn(into, F.col("__ahead") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__id", "__part", "__ahead").orderBy(into)
+
+
+def top(df: DataFrame, count: int, *order: Column | str, into: str = "position") -> DataFrame:
+    """The first rows of a total order with their place; only these are numbered."""
+    return df.orderBy(*order).limit(count).withColumn(into, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def frontier(seed: list[str], links, limit: int) -> tuple[list[str], bool]:
     """Breadth-first crawl order of list pages: (pages in order, whether the cap was reached)."""
     order, seen, queue = [], set(seed), list(seed)

@@ -86,6 +86,42 @@ def discovery_audit(spark, d):
     return links.groupBy("source").agg(F.countDistinct("page_url").alias("pages"), F.count("*").alias("links"), F.countDistinct("link").alias("distinct_links"))
 
 
-@query()
+@query(f"""SELECT url, {_clean("concat_ws(' ', title, lab, location, contract_type, duration, title, 'Lieu', location, 'Ref', reference, 'Skills', skills, 'Empty')")} AS text FROM offers""")
 def page_texts(spark, d):
     return X.text_rows(_pages(spark, d)).withColumnRenamed("page_url", "url")
+
+
+def _member_html() -> Column:
+    field = lambda name, c: joined(f"<div data-field='{name}'>", F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "n/a").otherwise(escaped(c)), "</div>")
+    return joined("<div data-field='title'>", escaped("title"), "</div>", field("entreprise", "lab"), field("lieu", "location"), field("durée", "duration"), "<div data-section='description'>", escaped("skills"), "</div>")
+
+
+_STATED = " OR ".join("contains(lower(title), '{}')".format(p.replace("'", "''")) for _, phrases in X.PAGE_STATES for p in phrases)
+
+
+@query(f"""SELECT url, {_clean('title')} AS title, coalesce({_clean('lab')}, 'n/a') AS lab, coalesce({_clean('location')}, 'n/a') AS location, coalesce({_clean('duration')}, 'n/a') AS duration, 'CIFRE' AS contract, {_clean('skills')} AS description,
+list_last(string_split(regexp_replace(url, '/+$', ''), '/')) AS last_part FROM offers WHERE {_clean('skills')} IS NOT NULL AND NOT ({_STATED})""")
+def member_details(spark, d):
+    """Records of members' pages: fields by name, defaults, section by keyword."""
+    pages = table(spark, d, "offers").filter(F.trim(F.coalesce("skills", F.lit(""))) != "").select("url", _member_html().alias("payload"), F.lit("entreprise").alias("kind"))
+    rows = X.member_rows(pages).filter("state = 'record'")  # a page whose title is a message is none
+    return rows.select("url", "title", "lab", "location", "duration", F.col("contract_type").alias("contract"), "description", F.element_at(F.split(F.regexp_replace("url", "/+$", ""), "/"), -1).alias("last_part"))
+
+
+@query(f"""SELECT url, {_clean('title')} AS title, {_clean('lab')} AS lab, {_clean('location')} AS location, coalesce({_clean('reference')}, list_last(string_split(regexp_replace(url, '/+$', ''), '/'))) AS reference,
+array_to_string(list_filter([{_clean('title')}, {_clean('lab')}, {_clean('location')}], lambda v: v IS NOT NULL), chr(10)) AS raw_text, CASE WHEN source = 'cnrs' THEN 'laboratoire' ELSE 'entreprise' END AS kind FROM offers""")
+def member_json_rows(spark, d):
+    """Records of JSON rows, dispatched by what the payload holds; company and laboratory by kind."""
+    row = F.struct(F.col("title").alias("titre"), F.col("lab").alias("rs"), F.col("location").alias("ville"), F.col("reference").alias("id"))
+    pages = table(spark, d, "offers").select("url", F.to_json(F.struct(row.alias("row"))).alias("payload"), F.when(F.col("source") == "cnrs", "laboratoire").otherwise("entreprise").alias("kind"))
+    return X.member_rows(pages).select("url", "title", "lab", "location", "reference", "raw_text", F.col("source_specific")["anrt_kind"].alias("kind"))
+
+
+@query("""SELECT url, 'record' AS state, length(url) AS total, 2 + length(title) % 7 AS pages, CASE WHEN length(title) % 3 = 0 THEN 0 ELSE length(title) END AS results, 1 AS next_links FROM offers""")
+def list_page_facts(spark, d):
+    """Headline, navigation, stated results and links to further pages of one list page per offer."""
+    n = F.length("title")
+    stated = F.when(n % 3 == 0, "Aucune offre ne correspond").otherwise(joined(n.cast("string"), " offres trouvées"))
+    html = joined("<section><p class='big'>", F.length("url").cast("string"), " posts</p></section><p>", stated, "</p><nav aria-label='Pagination'><a href='?page=2'>", (2 + n % 7).cast("string"), "</a></nav>")
+    facts = X.list_facts(table(spark, d, "offers").select("url", html.alias("html")))
+    return facts.select(F.col("page_url").alias("url"), "state", F.col("total").cast("long").alias("total"), F.col("pages").cast("long").alias("pages"), F.col("results").cast("long").alias("results"), F.size("next_links").alias("next_links"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnworks.functions import text as T
 from cairnworks.functions.rules import Dictionary, assembled_text, capped_score, cascade
-from cairnworks.operators.state import cache_lookup, changed_versions, first_wins, last_wins, latest_by, mark_missing, merge_by_key
+from cairnworks.operators import extract as X
+from cairnworks.operators.classify import overlay
+from cairnworks.operators.state import cache_lookup, changed_versions, first_wins, last_wins, latest_by, mark_missing, merge_by_key, positioned, top
+from cairnworks.sources import sinks as K
 from cairnworks.runtime import table
 
 QUERIES: dict = {}
@@ -24,6 +29,9 @@ def query(sql: str | None = None):
     return register
 
 
+_E, _P = T.EMAIL, T.PHONE
+
+
 def offers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "offers")
 
@@ -43,24 +51,29 @@ def shortlist(df: DataFrame, min_score: float, since: Column | None = None, sour
 
 def excluded(df: DataFrame, limit: int = 20) -> DataFrame:
     order = [F.coalesce("ai_relevance_score", F.lit(0.0)).desc(), F.col("title"), F.col("url")]
-    return df.filter(LIVE).filter("NOT is_target").orderBy(*order).limit(limit)
+    return top(df.filter(LIVE).filter("NOT is_target"), limit, *order)
 
 
 def ranked(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.expr(RANK), F.col("ai_relevance_score").desc_nulls_last(), "title", "url")
+    return positioned(df, F.expr(RANK), F.col("ai_relevance_score").desc_nulls_last(), "title", "url")
 
 
+_RANKED = f"row_number() OVER (ORDER BY {RANK}, ai_relevance_score DESC NULLS LAST, title, url) AS position"
 _SHORT = f"""SELECT url, title, source, target_bucket, ai_relevance_score FROM offers
 WHERE {LIVE} AND is_target AND coalesce(ai_category, '') <> 'not_relevant' AND coalesce(ai_relevance_score, 0) >= 0.35"""
-_COLS = ["url", "title", "source", "target_bucket", "ai_relevance_score"]
+_COLS = ["url", "title", "source", "target_bucket", "ai_relevance_score", "position"]
 
 
-@query(_SHORT)
+def _with_place(sql: str) -> str:
+    return f"SELECT *, {_RANKED} FROM ({sql})"
+
+
+@query(_with_place(_SHORT))
 def shortlist_ranked(spark, d):
     return ranked(shortlist(offers(spark, d), 0.35)).select(*_COLS)
 
 
-@query(_SHORT + " AND first_seen_at >= (SELECT max(started_at) - INTERVAL 240 DAY FROM runs)")
+@query(_with_place(_SHORT + " AND first_seen_at >= (SELECT max(started_at) - INTERVAL 240 DAY FROM runs)"))
 def shortlist_since(spark, d):
     """New in the 240 days before the latest run."""
     last = table(spark, d, "runs").agg((F.max("started_at") - F.expr("INTERVAL 240 DAYS")).alias("since"))
@@ -68,33 +81,33 @@ def shortlist_since(spark, d):
     return ranked(df).select(*_COLS)
 
 
-@query(_SHORT + " AND source = 'anrt'")
+@query(_with_place(_SHORT + " AND source = 'anrt'"))
 def shortlist_by_source(spark, d):
     return ranked(shortlist(offers(spark, d), 0.35, source="anrt")).select(*_COLS)
 
 
-_EXCLUDED = f"SELECT url, title, coalesce(ai_relevance_score, 0.0) AS score FROM offers WHERE {LIVE} AND NOT is_target ORDER BY score DESC, title, url LIMIT 20"
+_EXCLUDED = f"SELECT url, title, coalesce(ai_relevance_score, 0.0) AS score, row_number() OVER (ORDER BY coalesce(ai_relevance_score, 0.0) DESC, title, url) AS position FROM offers WHERE {LIVE} AND NOT is_target ORDER BY score DESC, title, url LIMIT 20"
 
 
 @query(_EXCLUDED)
 def excluded_topk(spark, d):
-    return excluded(offers(spark, d)).select("url", "title", F.coalesce("ai_relevance_score", F.lit(0.0)).alias("score"))
+    return excluded(offers(spark, d)).select("url", "title", F.coalesce("ai_relevance_score", F.lit(0.0)).alias("score"), "position")
 
 
-@query("SELECT url, title, ai_relevance_score FROM offers WHERE ai_relevance_score IS NOT NULL ORDER BY ai_relevance_score DESC, title, url LIMIT 5")
+@query("SELECT url, title, ai_relevance_score, row_number() OVER (ORDER BY ai_relevance_score DESC, title, url) AS position FROM offers WHERE ai_relevance_score IS NOT NULL ORDER BY position LIMIT 5")
 def top_scores(spark, d):
-    return offers(spark, d).filter("ai_relevance_score IS NOT NULL").orderBy(F.desc("ai_relevance_score"), "title", "url").limit(5).select("url", "title", "ai_relevance_score")
+    return top(offers(spark, d).filter("ai_relevance_score IS NOT NULL"), 5, F.desc("ai_relevance_score"), "title", "url").select("url", "title", "ai_relevance_score", "position")
 
 
-@query(f"SELECT 0 AS part, url FROM ({_SHORT}) UNION ALL SELECT 1 AS part, url FROM ({_EXCLUDED})")
+@query(f"SELECT 0 AS part, url, position FROM ({_with_place(_SHORT)}) UNION ALL SELECT 1 AS part, url, position FROM ({_EXCLUDED})")
 def union_with_excluded(spark, d):
     df = offers(spark, d)
-    return shortlist(df, 0.35).select(F.lit(0).alias("part"), "url").unionByName(excluded(df).select(F.lit(1).alias("part"), "url"))
+    return ranked(shortlist(df, 0.35)).select(F.lit(0).alias("part"), "url", "position").unionByName(excluded(df).select(F.lit(1).alias("part"), "url", "position"))
 
 
-@query("SELECT url, epoch_us(last_seen_at) AS last_seen_us FROM offers")
+@query("SELECT url, epoch_us(last_seen_at) AS last_seen_us, row_number() OVER (ORDER BY last_seen_at DESC, url) AS position FROM offers")
 def offers_by_last_seen(spark, d):
-    return offers(spark, d).orderBy(F.desc("last_seen_at"), "url").select("url", F.unix_micros("last_seen_at").alias("last_seen_us"))
+    return positioned(offers(spark, d).select("url", "last_seen_at"), F.desc("last_seen_at"), "url").select("url", F.unix_micros("last_seen_at").alias("last_seen_us"), "position")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE unavailable) AS unavailable, count(*) FILTER (WHERE last_seen_status = 'missing') AS missing FROM offers")
@@ -102,19 +115,25 @@ def audit_totals(spark, d):
     return offers(spark, d).agg(F.count("*").alias("total"), F.count_if("unavailable").alias("unavailable"), F.count_if(F.col("last_seen_status") == "missing").alias("missing"))
 
 
-@query("SELECT target_bucket, count(*) AS n FROM offers GROUP BY 1")
+def _by_count(groups, key: str) -> DataFrame:
+    """Groups, of which there are few, by falling count, then key."""
+    counted = groups.agg(F.count("*").alias("n"))
+    return counted.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), key)).cast("long")).orderBy("position")
+
+
+@query("SELECT target_bucket, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, target_bucket) AS position FROM offers GROUP BY 1")
 def count_by_bucket(spark, d):
-    return offers(spark, d).groupBy("target_bucket").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target_bucket")
+    return _by_count(offers(spark, d).groupBy("target_bucket"), "target_bucket")
 
 
-@query("SELECT source, count(*) AS n FROM offers GROUP BY 1")
+@query("SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS position FROM offers GROUP BY 1")
 def count_by_source(spark, d):
-    return offers(spark, d).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
+    return _by_count(offers(spark, d).groupBy("source"), "source")
 
 
-@query("SELECT coalesce(exclusion_reason, 'none') AS reason, count(*) AS n FROM offers WHERE NOT is_target GROUP BY 1")
+@query("SELECT coalesce(exclusion_reason, 'none') AS reason, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(exclusion_reason, 'none')) AS position FROM offers WHERE NOT is_target GROUP BY 1")
 def count_by_exclusion(spark, d):
-    return offers(spark, d).filter("NOT is_target").groupBy(F.coalesce("exclusion_reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+    return _by_count(offers(spark, d).filter("NOT is_target").groupBy(F.coalesce("exclusion_reason", F.lit("none")).alias("reason")), "reason")
 
 
 @query("SELECT json_extract_string(source_specific, '$.anrt_kind') AS kind, count(*) AS n FROM offers WHERE json_valid(source_specific) AND json_extract_string(source_specific, '$.anrt_kind') IS NOT NULL GROUP BY 1")
@@ -131,12 +150,12 @@ def changed_offers(spark, d):
     return df.select("url", "title", "source", "versions", F.unix_micros("first_snapshot").alias("first_us"), F.unix_micros("last_snapshot").alias("last_us"))
 
 
-@query("""SELECT o.url, v.versions, epoch_us(v.last_snapshot) AS last_us FROM (
+@query("""SELECT o.url, v.versions, epoch_us(v.last_snapshot) AS last_us, row_number() OVER (ORDER BY v.last_snapshot DESC, o.title, o.url) AS position FROM (
 SELECT offer_url, count(DISTINCT content_hash) AS versions, max(fetched_at) AS last_snapshot
 FROM offer_snapshots GROUP BY 1 HAVING count(DISTINCT content_hash) > 1) v JOIN offers o ON o.url = v.offer_url
 ORDER BY v.last_snapshot DESC, o.title, o.url LIMIT 20""")
 def changed_topk(spark, d):
-    return changed_offers(spark, d).orderBy(F.desc("last_us"), "title", "url").limit(20).select("url", "versions", "last_us")
+    return top(changed_offers(spark, d), 20, F.desc("last_us"), "title", "url").select("url", "versions", "last_us", "position")
 
 
 @query("SELECT id, source, epoch_us(started_at) AS started_us, status_message FROM runs ORDER BY started_at DESC, id DESC LIMIT 1")
@@ -158,12 +177,13 @@ def run_totals(spark, d):
     )
 
 
-@query("""WITH k AS (SELECT *, coalesce(nullif(reference, ''), url) AS dedupe_key FROM offers)
-SELECT dedupe_key, max(url) AS url, min(url) AS first_position FROM k GROUP BY 1""")
+@query("""WITH k AS (SELECT *, coalesce(nullif(reference, ''), offer_url) AS dedupe_key FROM offer_snapshots)
+SELECT dedupe_key, max_by(offer_url, id) AS offer_url, max_by(content_hash, id) AS content_hash, max(id) AS id, min(id) AS first_position FROM k GROUP BY 1""")
 def dedupe_last_wins(spark, d):
     """Key is the reference, or the url where there is none; the last row counts, the first place is kept."""
-    df = offers(spark, d).select("url", F.coalesce(T.blank_to_null(F.col("reference")), F.col("url")).alias("dedupe_key"))
-    return last_wins(df, F.col("dedupe_key"), "url")
+    key = F.coalesce(T.blank_to_null(F.col("reference")), F.col("offer_url"))
+    df = table(spark, d, "offer_snapshots").select("offer_url", "content_hash", "id", key.alias("dedupe_key"))
+    return last_wins(df, F.col("dedupe_key"), "id")
 
 
 @query("SELECT reference, min(id) AS id FROM offer_snapshots WHERE reference IS NOT NULL GROUP BY 1")
@@ -213,24 +233,24 @@ def cache_hits(spark, d):
     return hit.agg(F.count("*").alias("hits")).crossJoin(miss.agg(F.count("*").alias("misses")))  # two single rows
 
 
-RESPONSE = "is_target boolean, target_bucket string, relevance_score double, risk_flags array<string>"
+CACHED = ("is_target", "target_bucket", "relevance_score", "risk_flags")  # what the cached answers hold
 
 
-@query("""WITH c AS (SELECT content_hash, any_value(response_json) AS r FROM llm_cache WHERE classifier_version = 'hybrid-v1' GROUP BY 1),
-x AS (SELECT o.url, o.target_bucket AS before, o.ai_relevance_score AS old_score, c.r, CASE WHEN json_valid(c.r) THEN json_extract_string(c.r, '$.target_bucket') END AS b,
- CASE WHEN json_valid(c.r) THEN TRY_CAST(json_extract_string(c.r, '$.relevance_score') AS DOUBLE) END AS s, CASE WHEN json_valid(c.r) THEN json_extract_string(c.r, '$.is_target') END AS t
- FROM offers o LEFT JOIN c ON c.content_hash = o.content_hash),
-v AS (SELECT *, coalesce(b IN ('primary_target', 'secondary_target', 'adjacent_review', 'exclude') AND s BETWEEN 0 AND 1 AND t IN ('true', 'false'), false) AS valid FROM x)
-SELECT url, CASE WHEN r IS NULL THEN 'none' WHEN valid THEN 'valid' ELSE 'invalid' END AS response, CASE WHEN valid THEN b ELSE before END AS target_bucket, CASE WHEN valid THEN s ELSE old_score END AS score FROM v""")
+@query("""WITH c AS (SELECT content_hash, min(response_json) AS r FROM llm_cache WHERE classifier_version = 'hybrid-v1' GROUP BY 1),
+x AS (SELECT o.*, c.r, CASE WHEN json_valid(c.r) THEN CAST(c.r AS JSON) END AS j FROM offers o LEFT JOIN c ON c.content_hash = o.content_hash),
+v AS (SELECT *, coalesce(list_sort(json_keys(j)) = ['is_target', 'relevance_score', 'risk_flags', 'target_bucket'] AND json_type(j, '$.is_target') = 'BOOLEAN' AND json_extract_string(j, '$.target_bucket') IN ('primary_target', 'secondary_target', 'adjacent_review', 'exclude')
+ AND json_type(j, '$.relevance_score') IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND CAST(json_extract_string(j, '$.relevance_score') AS DOUBLE) BETWEEN 0 AND 1 AND json_type(j, '$.risk_flags') = 'ARRAY', false) AS valid FROM x)
+SELECT url, CASE WHEN r IS NULL THEN 'none' WHEN valid THEN 'valid' ELSE 'invalid' END AS answered,
+CASE WHEN valid THEN json_extract_string(j, '$.target_bucket') WHEN r IS NOT NULL AND is_target THEN 'adjacent_review' ELSE target_bucket END AS target_bucket,
+CASE WHEN valid THEN json_extract_string(j, '$.is_target') = 'true' ELSE is_target END AS is_target, accessibility, ai_category,
+CASE WHEN valid THEN CAST(json_extract_string(j, '$.relevance_score') AS DOUBLE) ELSE ai_relevance_score END AS score,
+array_to_string(CASE WHEN valid THEN CAST(json_extract(j, '$.risk_flags') AS VARCHAR[]) WHEN r IS NOT NULL THEN list_sort(list_distinct(list_concat(coalesce(risk_flags, []), ['llm_invalid_response']))) ELSE risk_flags END, ',') AS flags,
+CASE WHEN valid THEN 'hybrid-v1' ELSE classifier_version END AS version FROM v""")
 def response_overlay(spark, d):
     """Cached answers laid over the stored values after strict validation; from_json alone is permissive."""
-    held = table(spark, d, "llm_cache").filter("classifier_version = 'hybrid-v1'").groupBy("content_hash").agg(F.min("response_json").alias("r"))
-    df = offers(spark, d).select("url", "content_hash", "target_bucket", "ai_relevance_score").join(held, "content_hash", "left").withColumn("x", F.from_json("r", RESPONSE))
-    valid = F.coalesce(F.col("x.target_bucket").isin("primary_target", "secondary_target", "adjacent_review", "exclude") & F.col("x.relevance_score").between(0, 1) & F.col("x.is_target").isNotNull(), F.lit(False))
-    return df.select(
-        "url", F.when(F.col("r").isNull(), "none").when(valid, "valid").otherwise("invalid").alias("response"),
-        F.when(valid, F.col("x.target_bucket")).otherwise(F.col("target_bucket")).alias("target_bucket"), F.when(valid, F.col("x.relevance_score")).otherwise(F.col("ai_relevance_score")).alias("score"),
-    )
+    held = table(spark, d, "llm_cache").filter("classifier_version = 'hybrid-v1'").groupBy("content_hash").agg(F.min("response_json").alias("response_json"))
+    rows = overlay(offers(spark, d).join(held, "content_hash", "left"), "response_json", "hybrid-v1", CACHED)
+    return rows.select("url", "answered", "target_bucket", "is_target", "accessibility", "ai_category", F.col("ai_relevance_score").alias("score"), F.array_join("risk_flags", ",").alias("flags"), F.col("classifier_version").alias("version"))
 
 
 # --- rule packs ------------------------------------------------------------------------------------------
@@ -252,7 +272,7 @@ def _offer_text() -> Column:
 SELECT url, label, count(*) AS hits FROM x JOIN terms ON contains(x.t, terms.term) GROUP BY 1, 2""")
 def term_hits(spark, d):
     """Every (offer, term) that matches, by label; a literal array and a filter instead of a join."""
-    df = offers(spark, d).select("url", F.explode(STRONG.labels(_offer_text())).alias("label"))
+    df = offers(spark, d).select("url", _offer_text().alias("t")).select("url", F.explode(STRONG.labels(F.col("t"))).alias("label"))
     return df.groupBy("url", "label").agg(F.count("*").alias("hits"))
 
 
@@ -331,9 +351,6 @@ def profile_learning(spark, d):
 
 # --- text ------------------------------------------------------------------------------------------------
 
-_E, _P = T.EMAIL, T.PHONE
-
-
 @query(f"SELECT url, regexp_matches(raw_text, '{_E}') OR regexp_matches(raw_text, '{_P}') AS has_contact FROM offers")
 def contact_flag(spark, d):
     return offers(spark, d).select("url", T.has_contact(F.col("raw_text")).alias("has_contact"))
@@ -370,7 +387,16 @@ def reference_from_url(spark, d):
     return offers(spark, d).select("url", T.reference_of_url(F.col("url")).alias("reference"))
 
 
-@query()
+def _slug_sql(column: str) -> str:
+    """Characters whose compatibility decomposition has one ASCII character become that one; ligatures two; others go."""
+    plain = {c: x for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(x := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) == 1 and x != "'"}
+    out = f"translate({column}, '{''.join(plain)}', '{''.join(plain.values())}')"
+    for c in "ﬀﬁﬂﬃﬄﬅﬆ…½":
+        out = f"replace({out}, '{c}', '{unicodedata.normalize('NFKD', c).encode('ascii', 'ignore').decode()}')"
+    return f"coalesce(nullif(lower(trim(regexp_replace(regexp_replace({out}, '[^\\x00-\\x7f]+', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '-')), ''), 'snapshot')"
+
+
+@query(f"SELECT url, {_slug_sql('title')} AS slug FROM offers")
 def title_slugs(spark, d):
     return T.with_slug(offers(spark, d).select("url", "title"), "title").select("url", "slug")
 
@@ -385,25 +411,14 @@ def label_split(spark, d):
     return df.select("url", F.get("labels", 0).alias("contract"), first("mois").alias("duration"), first("bac").alias("education"))
 
 
-STATES = {
-    "logged_out": ["session a expiré", "identifier à nouveau"],
-    "server_error": ["erreur inattendue", "service unavailable", "bad gateway", "sqlstate"],
-    "unavailable": ["n''est plus en ligne", "a expiré le", "no longer open", "page demandée n''existe pas"],
-}
+def _phrase(p: str) -> str:
+    return "contains(lower(raw_text), '" + p.replace("'", "''") + "')"
 
 
-@query("SELECT url, CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(raw_text), '{p}')''' for p in ps)} THEN '{k}'" for k, ps in STATES.items()) + " ELSE 'offer' END AS page_state FROM offers")
+@query("SELECT url, CASE WHEN trim(raw_text) = '' THEN 'empty' " + " ".join(f"WHEN {' OR '.join(map(_phrase, ps))} THEN '{k}'" for k, ps in X.PAGE_STATES) + " ELSE 'record' END AS page_state FROM offers")
 def page_state(spark, d):
     """The first state whose phrases a page holds; states are a column, so that bad pages can be set aside."""
-    low = F.lower("raw_text")
-
-    def any_of(phrases: list[str]) -> Column:
-        out = F.lit(False)
-        for p in phrases:
-            out = out | F.contains(low, F.lit(p.replace("''", "'")))
-        return out
-
-    return offers(spark, d).select("url", cascade([(any_of(ps), k) for k, ps in STATES.items()], "offer").alias("page_state"))
+    return offers(spark, d).select("url", X.page_states(F.col("raw_text")).alias("page_state"))
 
 
 @query(r"SELECT url, TRY_CAST(nullif(regexp_extract(raw_text, '([0-9]+) personnes consultent', 1), '') AS INTEGER) AS viewers FROM offers WHERE regexp_matches(raw_text, '[0-9]+ personnes consultent')")
@@ -414,42 +429,90 @@ def page_counters(spark, d):
 # --- output rows -----------------------------------------------------------------------------------------
 
 
-@query("""SELECT url, CASE WHEN source = 'cnrs' THEN 'Public research' WHEN json_extract_string(source_specific, '$.anrt_kind') = 'entreprise' THEN 'Company' WHEN json_extract_string(source_specific, '$.anrt_kind') = 'laboratoire' THEN 'Laboratory' ELSE 'Other' END AS origin,
-coalesce(nullif(reference, ''), '') AS reference, coalesce(contract_type, '') AS contract, coalesce(education_level, '') AS level, array_to_string(coalesce(risk_flags, []), ',') AS flags FROM offers""")
+NAMES, KINDS = {"cnrs": "CNRS", "anrt": "ANRT"}, {"entreprise": "ANRT entreprise", "laboratoire": "ANRT laboratoire"}
+_JSON = "json_extract_string(source_specific, '$.{}')"
+_KIND = _JSON.format("anrt_kind")
+_ORIGIN = "CASE " + " ".join(f"WHEN source = 'anrt' AND {_KIND} = '{k}' THEN '{v}'" for k, v in KINDS.items()) + " ".join(f" WHEN source = '{k}' THEN '{v}'" for k, v in NAMES.items()) + " ELSE source END"
+_CSV = {**{c: f"CAST({c} AS VARCHAR)" for c in ("reference", "source", "title", "contract_type", "duration", "education_level", "location", "lab", "published_at_text", "why_interesting", "url")}, **{k: _JSON.format(v) for k, v in K.SPECIFIC.items()}}
+_CSV |= {"origin": _ORIGIN, "bucket": "target_bucket", "score": "CAST(ai_relevance_score AS VARCHAR)", "contract": "contract_type", "level": "education_level", "category": "ai_category", "summary": "short_summary", "reason": "ai_reason", "flags": "array_to_string(risk_flags, ',')"}
+
+
+@query("SELECT " + ", ".join(f"coalesce({_CSV[c]}, '') AS {c}" for c in K.CSV_COLUMNS) + " FROM offers")
 def csv_rows(spark, d):
-    kind = F.get_json_object("source_specific", "$.anrt_kind")
-    origin = F.when(F.col("source") == "cnrs", "Public research").when(kind == "entreprise", "Company").when(kind == "laboratoire", "Laboratory").otherwise("Other")
-    none = lambda c: F.coalesce(c, F.lit(""))
-    return offers(spark, d).select("url", origin.alias("origin"), none(F.col("reference")).alias("reference"), none(F.col("contract_type")).alias("contract"), none(F.col("education_level")).alias("level"), none(F.array_join("risk_flags", ",")).alias("flags"))
+    """The 31 columns of the export."""
+    return K.csv_columns(offers(spark, d), K.display_origin(NAMES, KINDS))
+
+
+def _line(label: str, column: str) -> str:
+    return f"'- {label} : ' || coalesce(nullif({column}, ''), 'n/a')"
 
 
-@query(f"""SELECT url, '### ' || title || chr(10) || '- Source : ' || source || chr(10) || '- Lieu : ' || coalesce(nullif(location, ''), 'n/a') || chr(10) || '- Score : ' || coalesce(printf('%.2f', ai_relevance_score), 'n/a') AS block FROM offers WHERE {LIVE} AND is_target""")
+_DETAILS = ", ".join("'- {} : ' || {}".format(label, f"CASE {_JSON.format(k)} WHEN 'true' THEN 'oui' WHEN 'false' THEN 'non' END" if k == "contact_visible" else f"nullif({_JSON.format(k)}, '')") for k, label in K.DETAIL_LABELS.items())
+_BLOCK = (
+    f"'### ' || title || chr(10) || chr(10) || '- Source : ' || {_ORIGIN} || chr(10) || array_to_string(list_filter([{', '.join(_line(k, c) for k, c in K.BLOCK_LABELS.items())}] || CASE WHEN source = 'anrt' THEN [{_DETAILS}] ELSE [] END || "
+    f"['- Score : ' || coalesce(printf('%.2f', ai_relevance_score), 'n/a'), {', '.join(_line(k, c) for k, c in K.BLOCK_TEXTS.items())}, '- Flags : ' || coalesce(nullif(array_to_string(risk_flags, ', '), ''), 'aucun'), '- Lien : ' || url], lambda v: v IS NOT NULL), chr(10))"
+)
+
+
+@query(f"SELECT url, {_BLOCK} AS block FROM offers WHERE {LIVE} AND is_target")
 def markdown_blocks(spark, d):
-    lines = F.concat_ws(
-        "\n", F.concat(F.lit("### "), "title"), F.concat(F.lit("- Source : "), "source"), F.concat(F.lit("- Lieu : "), F.coalesce(T.blank_to_null(F.col("location")), F.lit("n/a"))),
-        F.concat(F.lit("- Score : "), F.coalesce(F.when(F.col("ai_relevance_score").isNotNull(), F.format_string("%.2f", "ai_relevance_score")), F.lit("n/a"))),
-    )
-    return offers(spark, d).filter(LIVE).filter("is_target").select("url", lines.alias("block"))
+    """Every line of a digest entry, detail lines of the members' portal included."""
+    return offers(spark, d).filter(LIVE).filter("is_target").select("url", K.offer_block(K.display_origin(NAMES, KINDS)).alias("block"))
 
 
-@query(f"""SELECT url, {RANK} AS bucket_rank, to_json({{'title': title, 'source': source}}) AS case_json FROM offers WHERE source = 'anrt' AND {LIVE} AND coalesce(ai_relevance_score, 0) >= 0.1
-ORDER BY bucket_rank, coalesce(ai_relevance_score, 0) DESC, title, url LIMIT 40""")
-def seed_cases(spark, d):
-    df = offers(spark, d).filter(LIVE).filter("source = 'anrt' AND coalesce(ai_relevance_score, 0) >= 0.1").withColumn("bucket_rank", F.expr(RANK))
-    top = df.orderBy("bucket_rank", F.coalesce("ai_relevance_score", F.lit(0.0)).desc(), "title", "url").limit(40)
-    return top.select("url", "bucket_rank", F.to_json(F.struct("title", "source")).alias("case_json"))
+def _masked(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '{_E}', '{T.EMAIL_PLACEHOLDER}', 'g'), '{_P}', '{T.PHONE_PLACEHOLDER}', 'g')"
 
 
-@query("""WITH g AS (SELECT 'has_offers' AS gate, (SELECT count(*) > 0 FROM offers) AS passed UNION ALL SELECT 'latest_run_finished', (SELECT finished_at IS NOT NULL FROM runs ORDER BY started_at DESC, id DESC LIMIT 1)
-UNION ALL SELECT 'both_sources_present', (SELECT count(DISTINCT source) >= 2 FROM offers) UNION ALL SELECT 'has_primary_target', (SELECT coalesce(bool_or(target_bucket = 'primary_target'), false) FROM offers))
-SELECT gate, passed FROM g UNION ALL SELECT 'all', bool_and(passed) FROM g""")
+@query(f"""SELECT url, row_number() OVER (ORDER BY {RANK}, coalesce(ai_relevance_score, 0) DESC, title, url) AS position, coalesce(nullif(reference, ''), url) AS reference, target_bucket AS expected_bucket, coalesce(ai_category, 'not_relevant') AS expected_ai_domain,
+accessibility AS expected_accessibility, {_masked('title')} AS title, {_masked('description')} AS description, {_masked('raw_text')} AS raw_text, {_masked(_JSON.format('company_name'))} AS company FROM offers WHERE source = 'anrt' AND {LIVE} AND coalesce(ai_relevance_score, 0) >= 0.1
+ORDER BY position LIMIT 40""")
+def seed_cases(spark, d):
+    """The first cases to be labelled, contacts masked in all their texts."""
+    rows = top(offers(spark, d).filter(LIVE).filter("source = 'anrt' AND coalesce(ai_relevance_score, 0) >= 0.1"), 40, F.expr(RANK), F.coalesce("ai_relevance_score", F.lit(0.0)).desc(), "title", "url")
+    x = rows.select("url", "position", K.seed_case().alias("x"))
+    return x.select("url", "position", *[f"x.{c}" for c in ("reference", "expected_bucket", "expected_ai_domain", "expected_accessibility")], *[f"x.offer.{c}" for c in ("title", "description", "raw_text")], F.col("x.offer.source_specific")["company_name"].alias("company"))
+
+
+GATES = ("has_offers", "latest_run_finished", "latest_run_ok", "discovered_minimum", "fetched_minimum", "both_origins_present", "has_primary_target", "labelled_minimum", "no_broken_rows", "no_contact_in_titles")
+
+
+@query(f"""WITH r AS (SELECT * FROM runs WHERE source = 'anrt' ORDER BY started_at DESC, id DESC LIMIT 1), o AS (SELECT * FROM offers WHERE source = 'anrt'),
+g AS (SELECT 'has_offers' AS gate, count(*) > 0 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM o
+UNION ALL SELECT 'latest_run_finished', coalesce(bool_or(finished_at IS NOT NULL), false), coalesce(CAST(max(id) AS VARCHAR), 'n/a') FROM r
+UNION ALL SELECT 'latest_run_ok', coalesce(bool_or(coalesce(lower(trim(status_message)), '') IN ('', 'ok') AND errors_count = 0), false), coalesce(max(errors_count), 0) || ' errors' FROM r
+UNION ALL SELECT 'discovered_minimum', coalesce(max(offers_discovered), 0) >= 20, coalesce(max(offers_discovered), 0) || '/20' FROM r
+UNION ALL SELECT 'fetched_minimum', coalesce(max(offers_fetched), 0) >= 20, coalesce(max(offers_fetched), 0) || '/20' FROM r
+UNION ALL SELECT 'both_origins_present', count(*) FILTER (WHERE {LIVE} AND {_KIND} = 'entreprise') > 0 AND count(*) FILTER (WHERE {LIVE} AND {_KIND} = 'laboratoire') > 0, count(*) FILTER (WHERE {LIVE} AND {_KIND} = 'entreprise') || ' and ' || count(*) FILTER (WHERE {LIVE} AND {_KIND} = 'laboratoire') FROM o
+UNION ALL SELECT 'has_primary_target', count(*) FILTER (WHERE target_bucket = 'primary_target') > 0, CAST(count(*) FILTER (WHERE target_bucket = 'primary_target') AS VARCHAR) FROM o
+UNION ALL SELECT 'labelled_minimum', count(*) >= 20, count(*) || '/20' FROM eval_items
+UNION ALL SELECT 'no_broken_rows', count(*) FILTER (WHERE coalesce(title, '') = '' OR ai_relevance_score NOT BETWEEN 0 AND 1) = 0, CAST(count(*) FILTER (WHERE coalesce(title, '') = '' OR ai_relevance_score NOT BETWEEN 0 AND 1) AS VARCHAR) FROM o
+UNION ALL SELECT 'no_contact_in_titles', count(*) FILTER (WHERE regexp_matches(title, '{_E}|{_P}')) = 0, CAST(count(*) FILTER (WHERE regexp_matches(title, '{_E}|{_P}')) AS VARCHAR) FROM o)
+SELECT gate, passed, detail FROM g UNION ALL SELECT 'all', bool_and(passed), count(*) FILTER (WHERE passed) || '/' || count(*) FROM g""")
 def gate_report(spark, d):
     """One pass over each table, then one row per gate and one for all."""
-    o = offers(spark, d).agg((F.count("*") > 0).alias("has_offers"), (F.countDistinct("source") >= 2).alias("both_sources_present"), F.coalesce(F.bool_or(F.col("target_bucket") == "primary_target"), F.lit(False)).alias("has_primary_target"))
-    r = table(spark, d, "runs").orderBy(F.desc("started_at"), F.desc("id")).limit(1).select(F.col("finished_at").isNotNull().alias("latest_run_finished"))
-    names = ["has_offers", "latest_run_finished", "both_sources_present", "has_primary_target"]
-    one = o.crossJoin(r).withColumn("all", F.expr(" AND ".join(names)))  # two single rows
-    return one.selectExpr(f"stack({len(names) + 1}, " + ", ".join(f"'{n}', `{n}`" for n in [*names, "all"]) + ") AS (gate, passed)")
+    df, live = offers(spark, d).filter("source = 'anrt'"), F.expr(LIVE)
+    kind, bad = F.get_json_object("source_specific", "$.anrt_kind"), F.expr("coalesce(title, '') = '' OR ai_relevance_score NOT BETWEEN 0 AND 1")
+    o = df.agg(
+        F.count("*").alias("offers"), F.count_if(live & (kind == "entreprise")).alias("companies"), F.count_if(live & (kind == "laboratoire")).alias("labs"), F.count_if(F.col("target_bucket") == "primary_target").alias("primary"),
+        F.count_if(bad).alias("broken"), F.count_if(T.has_contact(F.col("title"))).alias("contacts"),
+    )
+    run = table(spark, d, "runs").filter("source = 'anrt'").orderBy(F.desc("started_at"), F.desc("id")).limit(1).agg(
+        F.max("id").alias("run"), F.coalesce(F.bool_or(F.col("finished_at").isNotNull()), F.lit(False)).alias("finished"), F.coalesce(F.max("errors_count"), F.lit(0)).alias("errors"), F.coalesce(F.max("offers_discovered"), F.lit(0)).alias("discovered"),
+        F.coalesce(F.max("offers_fetched"), F.lit(0)).alias("fetched"), F.coalesce(F.bool_or(F.coalesce(F.lower(F.trim("status_message")), F.lit("")).isin("", "ok") & (F.col("errors_count") == 0)), F.lit(False)).alias("fine"),
+    )
+    one = o.crossJoin(run).crossJoin(table(spark, d, "eval_items").agg(F.count("*").alias("cases")))  # single rows
+    text = lambda c: F.col(c).cast("string")
+    rules = {
+        "has_offers": (F.col("offers") > 0, text("offers")), "latest_run_finished": (F.col("finished"), F.coalesce(text("run"), F.lit("n/a"))), "latest_run_ok": (F.col("fine"), F.concat(text("errors"), F.lit(" errors"))),
+        "discovered_minimum": (F.col("discovered") >= 20, F.concat(text("discovered"), F.lit("/20"))), "fetched_minimum": (F.col("fetched") >= 20, F.concat(text("fetched"), F.lit("/20"))),
+        "both_origins_present": ((F.col("companies") > 0) & (F.col("labs") > 0), F.concat(text("companies"), F.lit(" and "), text("labs"))), "has_primary_target": (F.col("primary") > 0, text("primary")),
+        "labelled_minimum": (F.col("cases") >= 20, F.concat(text("cases"), F.lit("/20"))), "no_broken_rows": (F.col("broken") == 0, text("broken")), "no_contact_in_titles": (F.col("contacts") == 0, text("contacts")),
+    }
+    listed = F.array(*[F.struct(F.lit(g).alias("gate"), rules[g][0].alias("passed"), rules[g][1].alias("detail")) for g in GATES])
+    done = F.size(F.filter("g", lambda x: x["passed"]))
+    whole = F.struct(F.lit("all").alias("gate"), (done == len(GATES)).alias("passed"), F.concat(done.cast("string"), F.lit(f"/{len(GATES)}")).alias("detail"))
+    return one.select(listed.alias("g")).select(F.explode(F.concat("g", F.array(whole))).alias("x")).select("x.*")
 
 
 @query("SELECT offer_url AS url, count(*) AS fetches, epoch_us(min(fetched_at)) AS first_us, epoch_us(max(fetched_at)) AS last_us FROM offer_snapshots GROUP BY 1")

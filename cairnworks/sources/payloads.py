@@ -59,11 +59,15 @@ def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def fetch_missing(urls: DataFrame, held: DataFrame, fetch: Fetcher, *, delay: float = 0.5, partitions: int = 1) -> DataFrame:
+def fetch_missing(urls: DataFrame, held: DataFrame, fetch: Fetcher, *, delay: float = 0.5, partitions: int = 1, most: int | None = None) -> DataFrame:
     """Payloads of urls that are not held yet, then those held: a read-through cache as an anti-join.
 
-    One partition keeps the pace of a single polite client; errors become rows.
+    One partition keeps the pace of a single polite client; errors become rows. The anti-join itself runs in as many tasks
+    as the plan has. most: only so many urls, the first by `position` (or by url), before anything is fetched.
     """
+    if most is not None:
+        order = ["position", "url"] if "position" in urls.columns else ["url"]
+        urls = urls.groupBy("url").agg(*[F.min(c).alias(c) for c in order if c != "url"]).orderBy(*order).limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +82,7 @@ def fetch_missing(urls: DataFrame, held: DataFrame, fetch: Fetcher, *, delay: fl
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["url", "payload", "error"])
 
     wanted = urls.select("url").distinct()
-    new = wanted.join(held, "url", "left_anti").coalesce(partitions).mapInArrow(run, PAGES)
+    new = wanted.join(held, "url", "left_anti").repartition(partitions).mapInArrow(run, PAGES)
     return new.unionByName(wanted.join(held, "url").select("url", "payload", F.lit(None).cast("string").alias("error")))
 
 
@@ -151,6 +155,13 @@ class FolderAdapter(SourceAdapter):
         return self._records(payloads)
 
 
+def paged_files(spark: SparkSession, folder: str, total: int, length: int = 25) -> DataFrame:
+    """(start, payload, error) of pages saved as <start>.json on any file system; an absent page is a row with an error."""
+    offsets = spark.range(0, total, length).select(F.col("id").cast("int").alias("start"))
+    pages = read_files(spark, folder, "*.json").select(F.expr("try_cast(name AS INT)").alias("start"), "payload")
+    return offsets.join(pages, "start", "left").withColumn("error", F.when(F.col("payload").isNull(), "page missing"))
+
+
 # --- a paginated source, one partition per offset ---------------------------------------------------------
 
 
@@ -163,6 +174,7 @@ class _Offset(InputPartition):
 class _PageReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.total, self.length = options["path"], int(options["total"]), int(options.get("length", "25"))
+        self.missing = options.get("missing", "fail")
 
     def partitions(self):
         return [_Offset(s) for s in range(0, self.total, self.length)]
@@ -171,13 +183,17 @@ class _PageReader(DataSourceReader):
         import os
 
         name = os.path.join(self.folder, f"{partition.start}.json")
-        if os.path.exists(name):
-            with open(name, encoding="utf-8") as f:
-                yield partition.start, f.read()
+        if not os.path.exists(name) and self.missing == "skip":
+            return
+        with open(name, encoding="utf-8") as f:
+            yield partition.start, f.read()
 
 
 class PaginatedJson(DataSource):
-    """`format("paginated_json")`: pages saved as <start>.json in a shared folder, read one offset per partition."""
+    """`format("paginated_json")`: pages saved as <start>.json in a mounted shared folder, read one offset per partition.
+
+    A page that is absent fails the read; option missing=skip leaves it out. `paged_files` reads any file system instead.
+    """
 
     @classmethod
     def name(cls):

@@ -58,8 +58,11 @@ def test_folder_adapter_and_paginated_source(spark, tmp_path):
     got = P.FolderAdapter(P.SourceDefinition("s", "S", False), str(tmp_path), detail_rows).run(spark).collect()
     assert [(r["title"], r["source"]) for r in got] == [("One", "s")]
     spark.dataSource.register(P.PaginatedJson)
-    pages = spark.read.format("paginated_json").options(path=str(tmp_path), total="60", length="25").load()
-    assert sorted(r["start"] for r in pages.collect()) == [0, 50]
+    pages = spark.read.format("paginated_json").options(path=str(tmp_path), total="60", length="25")
+    assert sorted(r["start"] for r in pages.option("missing", "skip").load().collect()) == [0, 50]
+    with pytest.raises(Exception, match="25.json"):
+        pages.option("missing", "fail").load().collect()
+    assert {r["start"]: r["error"] for r in P.paged_files(spark, str(tmp_path), 60).collect()} == {0: None, 25: "page missing", 50: None}
     (tmp_path / "cases.json").write_text('[{"reference":"a"},{"reference":"b"}]')
     assert P.read_cases(spark, str(tmp_path / "cases.json"), "reference string").count() == 2
 

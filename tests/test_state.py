@@ -144,3 +144,10 @@ def test_stream_merges_into_versions(spark, tmp_path):
     before = state.version()
     go()
     assert state.version() == before
+
+
+def test_places_in_a_total_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("n")).repartition(7)
+    got = S.positioned(df, F.desc("n")).collect()
+    assert [(r["n"], r["position"]) for r in got] == [(999 - i, i + 1) for i in range(1000)]
+    assert [(r["n"], r["position"]) for r in S.top(df, 3, "n").collect()] == [(0, 1), (1, 2), (2, 3)] and S.positioned(df.filter("false"), "n").count() == 0
