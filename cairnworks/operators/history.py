@@ -7,8 +7,8 @@ tell when they were seen between their borders, so a key with a row at or before
 rebuilt from the log of earlier observations; without that log such a batch is refused.
 
 The work is spread so that no task holds the whole timeline of a key. Keys with more than HOT_ROWS
-observations, of which there can be at most rows/HOT_ROWS, are cut into time blocks; all others are one
-block. Changes are found within each block, a summary row per block carries the last digest, the running
+observations, of which there can be at most rows/HOT_ROWS, are cut into time blocks, and blocks that still hold
+more into as many shorter ones as they hold that number, four times over; all other keys are one block. Changes are found within each block, a summary row per block carries the last digest, the running
 version number and the next start across block borders, and is joined back to the block's versions.
 
 Defined cases: rows with a null key or time are left out; a null attribute is a value of its own; rows of
@@ -29,10 +29,15 @@ OPEN = -1
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
+    """rows with their block, by the time it begins; keys of few rows have one. Only rows of hot keys are counted by block."""
     hot = rows.groupBy("key").count().filter(F.col("count") > HOT_ROWS).select("key", F.lit(True).alias("hot"))
-    return rows.join(hot, "key", "left").withColumn(
-        "block", F.when(F.col("hot"), F.floor(F.col("at_us") / F.lit(HOT_BLOCK_US))).otherwise(F.lit(0).cast("long"))
-    ).drop("hot")
+    start = F.floor(F.col("at_us") / F.lit(HOT_BLOCK_US)) * F.lit(HOT_BLOCK_US)
+    coarse = rows.join(hot, "key", "left").withColumn("coarse", F.when(F.col("hot"), start).otherwise(F.lit(0)).cast("long"))
+    parts = F.ceil(F.col("count") / F.lit(HOT_ROWS)) * 4
+    dense = rows.join(hot, "key", "left_semi").groupBy("key", start.cast("long").alias("coarse")).count().filter(F.col("count") > HOT_ROWS)
+    width = dense.select("key", "coarse", F.greatest(F.floor(F.lit(HOT_BLOCK_US) / parts), F.lit(1)).cast("long").alias("width"))
+    fine = F.col("coarse") + F.floor((F.col("at_us") - F.col("coarse")) / F.col("width")) * F.col("width")
+    return coarse.join(width, ["key", "coarse"], "left").withColumn("block", F.when(F.col("width").isNotNull(), fine).otherwise(F.col("coarse")).cast("long")).drop("hot", "coarse", "width")
 
 
 def _versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
