@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnworks.operators.snapshot_diff import normalised_hash
+from cairnworks.runtime import cut
 
 HOT_ROWS = 100_000
 HOT_BLOCK_US = 6 * 3600 * 1_000_000
@@ -30,7 +31,9 @@ OPEN = -1
 
 def _blocked(rows: DataFrame) -> DataFrame:
     """rows with their block, by the time it begins; keys of few rows have one. Only rows of hot keys are counted by block."""
-    hot = rows.groupBy("key").count().filter(F.col("count") > HOT_ROWS).select("key", F.lit(True).alias("hot"))
+    hot = cut(rows.groupBy("key").count().filter(F.col("count") > HOT_ROWS).select("key", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        return rows.withColumn("block", F.lit(0).cast("long"))
     start = F.floor(F.col("at_us") / F.lit(HOT_BLOCK_US)) * F.lit(HOT_BLOCK_US)
     coarse = rows.join(hot, "key", "left").withColumn("coarse", F.when(F.col("hot"), start).otherwise(F.lit(0)).cast("long"))
     parts = F.ceil(F.col("count") / F.lit(HOT_ROWS)) * 4
