@@ -127,6 +127,35 @@ def aligned(text: str) -> tuple[str, tuple[list[int], list[int]] | None]:
     return plain, (starts, ends) if moved or len(plain) != len(text) else None
 
 
+_NEVER = tuple("%:;!?<>=\n\"'&#*@[]{}|_")  # after fewer than nine digits, none of the shapes goes on
+
+
+def _near_hints(plain: str) -> list[tuple[int, int]]:
+    """The lines around every sign of an email, with the one before and the one after, apart from each other."""
+    low = plain.lower()
+    if len(low) != len(plain):  # some letters have a longer lower case
+        return [(0, len(plain))]
+    at = {i for x in _EMAIL_HINTS if x in low for i in _found(low, x)} | set(_found(plain, " AT "))
+    out: list[tuple[int, int]] = []
+    for i in sorted(at):
+        lo = plain.rfind("\n", 0, max(plain.rfind("\n", 0, i), 0)) + 1
+        hi = plain.find("\n", i)
+        hi = plain.find("\n", hi + 1) if hi >= 0 else -1
+        hi = hi if hi >= 0 else len(plain)
+        if out and lo <= out[-1][1]:
+            lo, hi = out[-1][0], max(hi, out[-1][1])
+            out.pop()
+        out.append((lo, hi))
+    return out
+
+
+def _found(text: str, part: str) -> Iterator[int]:
+    i = text.find(part)
+    while i >= 0:
+        yield i
+        i = text.find(part, i + 1)
+
+
 def shaped_entities(plain: str) -> list[tuple[int, int, str]]:
     """Entities of rigid shape, without overlaps, in order."""
     taken: list[tuple[int, int, str]] = []
@@ -134,13 +163,15 @@ def shaped_entities(plain: str) -> list[tuple[int, int, str]]:
     def free(lo: int, hi: int) -> bool:
         return all(hi <= a or lo >= b for a, b, _ in taken)
 
-    low = plain.lower()
-    if " AT " in plain or any(x in low for x in _EMAIL_HINTS):
-        taken = [(*m.span(), "email") for m in EMAIL.finditer(plain)]
+    for lo, hi in _near_hints(plain):
+        taken += [(*m.span(), "email") for m in EMAIL.finditer(plain, lo, hi)]
     end = 0
     for start in _START.finditer(plain):
         if (lo := start.start()) < end:
             continue
+        after, digits = plain[start.end() : start.end() + 2], start.end() - lo
+        if digits < 9 and (after[:1] in _NEVER or digits > 4 and after[:1] == " " and "a" <= after[1:] <= "z"):
+            continue  # neither a house number nor the beginning of a long number
         before = plain[max(0, lo - 2) : lo]
         for kind, pattern, not_after in _NUMBERED:
             if (m := pattern.match(plain, lo)) and not not_after.search(before) and free(*m.span()):
@@ -150,18 +181,13 @@ def shaped_entities(plain: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-def typed_text(plain: str, found: list[tuple[int, int, str]]) -> tuple[str, list[int]]:
-    """The text with entities as typed tokens, and the position in it of each of its characters in the plain text."""
-    out, at, last = [], [], 0
+def typed_text(plain: str, found: list[tuple[int, int, str]]) -> str:
+    """The text with entities as typed tokens."""
+    out, last = [], 0
     for lo, hi, kind in found:
-        out.append(plain[last:lo])
-        at += range(last, lo)
-        out.append(f"<{kind}>")
-        at += [lo] * (len(kind) + 2)
+        out += [plain[last:lo], f"<{kind}>"]
         last = hi
-    out.append(plain[last:])
-    at += range(last, len(plain) + 1)
-    return "".join(out), at
+    return "".join([*out, plain[last:]])
 
 
 def context(typed: str, lo: int, hi: int) -> tuple[str, str]:
@@ -226,7 +252,14 @@ def typed_spans(found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, t
         moved += len(kind) + 2 - (hi - lo)
 
 
-_LOWER = re.compile(r"(?<![\w@.])[a-zà-ÿ]{3,}(?![\w@])")
+def plain_place(at: int, placed: list[tuple[int, int, tuple[int, int, str]]]) -> int:
+    """The place in the plain text of one in the typed text that is outside all typed tokens. placed: typed_spans."""
+    before = [(hi, b) for _, hi, (_, b, _) in placed if hi <= at]
+    return at if not before else before[-1][1] + at - before[-1][0]
+
+
+_LOWER = re.compile(r"[a-zà-ÿ]{3,}")
+_PARTS = re.compile(r"[^\w@.]+|\.$")
 
 
 def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +274,7 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text in batch.column(0).to_pylist():
             plain, _ = aligned(text)
             found = shaped_entities(plain)
-            typed, _ = typed_text(plain, found)
+            typed = typed_text(plain, found)
             for lo, hi, (a, b, kind) in typed_spans(found):
                 instance = "a" if kind == "street_address" else "@" if kind == "email" else "d " + shape_of(plain[a:b])
                 for pattern in context(typed, lo, hi):
@@ -256,9 +289,11 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for pattern in context(typed, lo, hi):
                     for w in name_words(typed[lo:hi]):
                         add(pattern, "n " + w, "person_name" if titled else None)
-            common.update(_LOWER.findall(typed))
-        for w, n in common.items():
-            add("lower", "n " + folded(w), "other", n)
+            common.update(typed.split())
+        for token, n in common.items():
+            for w in _PARTS.split(token):
+                if _LOWER.fullmatch(w):
+                    add("lower", "n " + folded(w), "other", n)
         cols = list(zip(*counts)) if counts else [(), (), ()]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(counts.values()), pa.int64())], names=["pattern", "instance", "seed", "n"])
 
@@ -314,7 +349,7 @@ def mentions(text: str, patterns: Patterns) -> list[tuple[int, int, str]]:
     """(start, end, kind) in the original text, in order, without overlaps."""
     plain, at = aligned(text)
     found = shaped_entities(plain)
-    typed, back = typed_text(plain, found)
+    typed = typed_text(plain, found)
     spans = []
     for lo, hi, titled in name_spans(typed):
         best, both = patterns.of("person_name", *context(typed, lo, hi))
@@ -330,7 +365,8 @@ def mentions(text: str, patterns: Patterns) -> list[tuple[int, int, str]]:
     for _, lo, hi, kind in sorted(spans):
         if all(hi <= a or lo >= b for a, b, _ in taken):
             taken.append((lo, hi, kind))
-    whole = sorted([*found, *((back[lo], back[hi], kind) for lo, hi, kind in taken)])
+    placed = list(typed_spans(found))
+    whole = sorted([*found, *((plain_place(lo, placed), plain_place(hi, placed), kind) for lo, hi, kind in taken)])
     return whole if at is None else [(at[0][lo], at[1][hi - 1], kind) for lo, hi, kind in whole]
 
 
