@@ -33,7 +33,7 @@ SUBTABLES = 3
 LEAST_CELLS = 8  # of one sub-table; a power of two
 BUCKET_ROWS = 64  # entries of one delivery aimed at in a bucket
 AT_ONCE = 100_000  # entries of whole buckets that are searched together
-RECOVERED = "pair long, kd long, kd2 long, sign int"
+CHANGES = "pair long, kd long, kd2 long, change_type string"
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -141,7 +141,14 @@ def _bucket_batches(log: list[tuple[int, int]]):
         place, take = np.concatenate(place), np.concatenate(take)
         used, table = np.unique(place, return_inverse=True)
         t, s, kd, kd2, _ = recovered(table, np.concatenate(sign), *(x[take].view(np.uint64) for x in parts), len(used))
-        return pa.RecordBatch.from_arrays([pa.array(names[used[t] % len(names)] if len(t) else names[:0]), pa.array(kd.view(np.int64)), pa.array(kd2.view(np.int64)), pa.array(s.astype(np.int32))], names=["pair", "kd", "kd2", "sign"])
+        # both entries of a key are in the table of its bucket, so its change is known here
+        keys, of = np.unique(np.stack([t.astype(np.uint64), kd, kd2], 1), axis=0, return_inverse=True)
+        newest, oldest = np.full(len(keys), -1), np.full(len(keys), 1)
+        np.maximum.at(newest, of.reshape(-1), s)
+        np.minimum.at(oldest, of.reshape(-1), s)
+        kinds = np.where(newest == -1, "removed", np.where(oldest == 1, "added", "changed"))
+        pairs = names[used[keys[:, 0].astype(np.int64)] % len(names)] if len(keys) else names[:0]
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(keys[:, 1].view(np.int64)), pa.array(keys[:, 2].view(np.int64)), pa.array(kinds.tolist(), pa.string())], names=["pair", "kd", "kd2", "change_type"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -168,28 +175,23 @@ def snapshot_changes(rows: DataFrame, deliveries: DataFrame, *, key: str, value:
     """
     order = Window.partitionBy("series").orderBy("position", "delivery")
     log = [tuple(r) for r in deliveries.select("delivery", F.lag("delivery").over(order).alias("before")).filter("before IS NOT NULL").collect()]
-    used = deliveries.sparkSession.createDataFrame([(d,) for d in sorted({x for pair in log for x in pair})], deliveries.select("delivery").schema)
     seen = rows.select(
         F.col(key).alias("key"), value.alias("value"), F.col(delivery).alias("delivery"), F.col(at).alias("at"), F.col(tie).alias("tie")
     ).filter("key IS NOT NULL AND delivery IS NOT NULL")
     most = seen.groupBy("delivery").count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-most // BUCKET_ROWS))
     entries = (
-        seen.join(used, "delivery", "left_semi")
+        seen.join(deliveries.select("delivery").distinct(), "delivery", "left_semi")
         .select(F.col("delivery").cast("long").alias("delivery"), "at", "tie", F.xxhash64("key").alias("kd"), F.xxhash64(F.lit("second"), "key").alias("kd2"), F.xxhash64("value").alias("vd"))
         .groupBy("delivery", "kd", "kd2")  # map-side combining first: a hot key shrinks to one row per task
         .agg(F.max(F.struct("at", "tie", "vd")).alias("last"))
         .select(F.pmod("kd", F.lit(buckets).cast("long")).alias("bucket"), "delivery", "kd", "kd2", F.col("last.vd").alias("vd"))
         .repartition("bucket").sortWithinPartitions("bucket")
     )
-    changed = (
-        entries.mapInArrow(_bucket_batches(log), RECOVERED)
-        .groupBy("pair", "kd", "kd2")
-        .agg(F.max("sign").alias("newest"), F.min("sign").alias("oldest"))
-        .select("pair", "kd", "kd2", F.when(F.col("newest") == -1, "removed").when(F.col("oldest") == 1, "added").otherwise("changed").alias("change_type"))
-    )
-    keys = seen.select("key").distinct().select("key", F.xxhash64("key").alias("kd"), F.xxhash64(F.lit("second"), "key").alias("kd2"))
-    return changed.join(keys, ["kd", "kd2"]).select("pair", "key", "change_type")
+    changed = entries.mapInArrow(_bucket_batches(log), CHANGES)
+    # a name for each digest: combined on the map side, and brought together by the digests that the join needs anyway
+    named = seen.groupBy(F.xxhash64("key").alias("kd"), F.xxhash64(F.lit("second"), "key").alias("kd2")).agg(F.min("key").alias("key"))
+    return changed.join(named, ["kd", "kd2"]).select("pair", "key", "change_type")
 
 
 def complete_runs(runs: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def test_buckets_that_go_on_over_batches(monkeypatch):
     cols = [np.array(c, np.int64) for c in zip(*rows)]
     batch = lambda i: D.pa.RecordBatch.from_arrays([D.pa.array(c[i : i + 5]) for c in cols], names=["bucket", "delivery", "kd", "kd2", "vd"])
     got = [tuple(r) for b in D._bucket_batches([(2, 1), (3, 2)])(batch(i) for i in range(0, 90, 5)) for r in zip(*(c.to_pylist() for c in b.columns))]
-    want = [(p, k, 0, s) for p, new, old in ((2, 2, 1), (3, 3, 2)) for _, d, k, _, _ in rows for s in [1 if d == new else -1] if d in (new, old)]
+    want = [(p, k, 0, "added" if d == new else "removed") for p, new, old in ((2, 2, 1), (3, 3, 2)) for _, d, k, _, _ in rows if d in (new, old)]
     assert sorted(got) == sorted(want)
 
 
