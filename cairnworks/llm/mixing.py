@@ -34,21 +34,28 @@ BUCKET_ROWS = 50_000
 STEEPEST = 0.8
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
+def vocabulary(path: str) -> tuple[str, bytes]:
+    """The pattern and the merges of a tokenizer, read on the driver alone; a few MB, whatever the corpus."""
     import public_tokenizers
-    import tiktoken
 
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return public_tokenizers.PATTERN, f.read()
+
+
+@lru_cache(maxsize=2)
+def tokenizer(pattern: str, merges: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, merges.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens), one row per document."""
+    """(doc_id, source, tokens), one row per document. path: a vocabulary on the driver's machine; it is sent to the executors."""
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokenizer(path)
+        encoding = tokenizer(*shared.value)
         for batch in batches:
             counts = pa.array([len(encoding.encode_ordinary(t)) for t in batch.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["doc_id", "source", "tokens"])
