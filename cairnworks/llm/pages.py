@@ -48,7 +48,8 @@ BARE_PHRASE = 0.2
 PLAIN_SHARE = 0.9  # of its places that are within records, for plain text
 BARE_TITLES, BARE_TITLE_SHARE = 5, 0.6
 LINE, TITLE, PAIR = 0, 1, 2
-STATISTICS = "kind int, digest long, head int, facts int, text int, list int, bare int, phrase int, source string"
+PLACES = ("head", "facts", "text", "list", "bare")
+STATISTICS = "kind int, digest long, s1 string, s2 string, pages long, head long, facts long, text long, list long, bare long, phrase long"
 
 _EMAIL, _URL, _HEX = re.compile(r"\S+@\S+"), re.compile(r"\b(?:https?://|www\.)\S+"), re.compile(r"\b[0-9a-f]{8,}\b", re.I)
 _MONTH = re.compile(r"\b(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|january|february|march|april|may|june|july|august|september|october|november|december)\b", re.I)
@@ -64,6 +65,7 @@ _CONTACTS = {"contact", "contacts"}
 SPARSEST = min(map(len, LABELS))
 _FACT = re.compile(rf"^(?:{'|'.join(LABELS)}) ?: ?\S")
 _BARS = re.compile(r"\s*[|/·•>]\s*|\s{2,}")
+_BAR_SIGNS = ("|", "/", "·", "•", ">", "  ", "\t", "\xa0")  # one of them is in a row of parts
 _SENTENCE = re.compile(r"[.!?…]$")
 _WORD = re.compile(r"\w+|[^\w\s]")
 _CAPITALS = re.compile(r"[^\W\d_a-zà-ÿ]{4,}$")
@@ -96,12 +98,17 @@ def line_digest(line: str) -> int:
     return _short_digest(line) if len(line) <= SHORT else _digest(line)
 
 
+@lru_cache(maxsize=200_000)
+def _pair_digest(before: str, word: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(f"{before} {word}"))
+
+
 def word_pairs(line: str) -> list[tuple[int, int]]:
     """(digest, characters of the second word) of neighbouring words; names in capitals are one word, the start is one too."""
     out, before = [], "^"
     for w in _WORD.findall(line):
         x = "¤" if _CAPITALS.match(w) else w.casefold()
-        out.append((_signed(xxhash.xxh64_intdigest(f"{before} {x}")), len(w)))
+        out.append((_pair_digest(before, x), len(w)))
         before = x
     return out
 
@@ -146,11 +153,9 @@ def line_traits(rough: str) -> tuple[str, int]:
     return _short_traits(rough) if len(rough) <= SHORT else _traits(rough)
 
 
-def _is_link(line: str, raw: str, lexicon: Lexicon) -> bool:
-    """Known as link text as a whole, or a row of known ones."""
-    if line_digest(line) in lexicon.links:
-        return True
-    if not _BARS.search(raw):
+def _is_row_of_links(raw: str, lexicon: Lexicon) -> bool:
+    """Whether most parts of a line between bars are known link text."""
+    if not any(x in raw for x in _BAR_SIGNS):
         return False
     parts = [x for x in _BARS.split(raw.strip()) if x]
     return len(parts) > 1 and sum(line_digest(canonical(x)) in lexicon.links for x in parts) >= 0.7 * len(parts)
@@ -183,9 +188,9 @@ def read_page(title: str | None, raw: str, lexicon: Lexicon | None = None) -> Pa
             kinds.append("fact")
         elif t & SECTION:
             kinds.append("section")
-        elif lexicon is not None and _is_link(x, r, lexicon):
+        elif lexicon is not None and ((d := line_digest(x)) in lexicon.links or _is_row_of_links(r, lexicon)):
             kinds.append("link")
-        elif lexicon is not None and line_digest(x) in lexicon.plain:
+        elif lexicon is not None and d in lexicon.plain:
             kinds.append("plain")
         else:
             kinds.append("sentence" if t & SENTENCE else "open")
@@ -281,11 +286,22 @@ def _places(page: Page, traits_of: list[int]) -> Iterator[tuple[int, str]]:
 
 
 def _statistics_batches(phrase):
-    names = ["head", "facts", "text", "list", "bare"]
+    """Counts of one batch of pages, so that a line which many of them hold leaves the task once."""
+    places = {n: i for i, n in enumerate(PLACES, 3)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            counts: dict[tuple[int, int], list] = {}  # least source, greatest source, pages, those of PLACES, phrase
+
+            def count(kind: int, digest: int, source: str | None) -> list:
+                row = counts.get((kind, digest))
+                if row is None:
+                    row = counts[kind, digest] = [source, source, 0, 0, 0, 0, 0, 0, 0]
+                elif source is not None and source != row[0]:
+                    row[0], row[1] = (source, source) if row[0] is None else (min(row[0], source), max(row[1], source))
+                row[2] += 1
+                return row
+
             for title, raw, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 page, own = read_page(title, raw), canonical(title or "")
                 known = own in page.lines if own else False
@@ -294,14 +310,22 @@ def _statistics_batches(phrase):
                 seen: dict[int, tuple[set[str], str]] = {}
                 for i, place in _places(page, [line_traits(x)[1] for x in page.lines]):
                     seen.setdefault(line_digest(page.lines[i]), (set(), page.lines[i]))[0].add(place)
-                rows += [(LINE, d, *(int(n in p) for n in names), int("bare" in p and phrase(x)), source) for d, (p, x) in seen.items()]
+                for d, (at, line) in seen.items():
+                    row = count(LINE, d, source)
+                    for place in at:
+                        if place:
+                            row[places[place]] += 1
+                    row[8] = row[8] or int("bare" in at and phrase(line))
                 if own:
-                    rows.append((TITLE, line_digest(own), 0, 0, 0, 0, int(not page.structured), int(phrase(own)), source))
+                    row = count(TITLE, line_digest(own), source)
+                    row[places["bare"]] += not page.structured
+                    row[8] = row[8] or int(phrase(own))
                     if page.structured and known:  # the title stands above its record
-                        rows += [(PAIR, d, 0, 0, 0, 0, 0, 0, source) for d in {d for d, _ in word_pairs(own)}]
-            cols = list(zip(*rows)) if rows else [()] * 9
-            types = (pa.int32(), pa.int64(), *[pa.int32()] * 6, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "digest", *names, "phrase", "source"])
+                        for d in {d for d, _ in word_pairs(own)}:
+                            count(PAIR, d, source)
+            keys, rows = list(zip(*counts)) or [(), ()], list(zip(*counts.values())) or [()] * 9
+            arrays = [pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.int64()), *(pa.array(c, pa.string()) for c in rows[:2]), *(pa.array(c, pa.int64()) for c in rows[2:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["kind", "digest", "s1", "s2", "pages", *PLACES, "phrase"])
 
     return run
 
@@ -322,7 +346,7 @@ def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str, phrase=
     rows = (
         texts.mapInArrow(_statistics_batches(phrase), STATISTICS)
         .groupBy("kind", "digest")
-        .agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("head", "facts", "text", "list", "bare")], F.max("phrase").alias("phrase"), F.min("source").alias("s1"), F.max("source").alias("s2"))
+        .agg(*[F.sum(c).alias(c) for c in ("pages", *PLACES)], F.max("phrase").alias("phrase"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))
         .filter(n >= least)
         .withColumn("message", line & ((bare >= BARE_SHARE * n) & several | (bare >= BARE_PHRASE * n) & phrased))
         .withColumn("link", line & ~F.col("message") & ((F.col("head") >= HEAD_SHARE * n) | (bare >= BESIDE_SHARE * n) & (bare < BARE_SHARE * n) | spread))
