@@ -59,14 +59,14 @@ def _content(df: DataFrame) -> Column:
     return F.xxhash64(F.to_json(F.struct(*df.columns)))
 
 
-def last_wins(df: DataFrame, key: Column, position: str) -> DataFrame:
-    """The last row of each key at the place of its first: no window over a hot key, one aggregation."""
-    row, order = F.struct(*df.columns), F.struct(F.col(position), _content(df))
+def last_wins(df: DataFrame, key: Column, position: str, tie: Column | None = None) -> DataFrame:
+    """The last row of each key at the place of its first: no window over a hot key, one aggregation. tie: settles equal positions, by default what the rows hold."""
+    row, order = F.struct(*df.columns), F.struct(F.col(position), _content(df) if tie is None else tie)
     return df.groupBy(key.alias("__key")).agg(F.max_by(row, order).alias("__row"), F.min(position).alias("first_position")).select("__row.*", "first_position")
 
 
-def first_wins(df: DataFrame, key: Column, position: str) -> DataFrame:
-    row, order = F.struct(*df.columns), F.struct(F.col(position), _content(df))
+def first_wins(df: DataFrame, key: Column, position: str, tie: Column | None = None) -> DataFrame:
+    row, order = F.struct(*df.columns), F.struct(F.col(position), _content(df) if tie is None else tie)
     return df.groupBy(key.alias("__key")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
 
 
@@ -249,4 +249,5 @@ def frontier(seed: list[str], links, limit: int) -> tuple[list[str], bool]:
 
 def first_owner(urls: DataFrame) -> DataFrame:
     """Of (url, kind, kind_order, page, position) the first kind that lists a url owns it."""
-    return urls.withColumn("rn", F.row_number().over(Window.partitionBy("url").orderBy("kind_order", "page", "position"))).filter("rn = 1").drop("rn")
+    row = F.struct(*urls.columns)
+    return urls.groupBy("url").agg(F.min_by(row, F.struct("kind_order", "page", "position")).alias("__row")).select("__row.*")

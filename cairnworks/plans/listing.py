@@ -183,13 +183,13 @@ def dedupe_last_wins(spark, d):
     """Key is the reference, or the url where there is none; the last row counts, the first place is kept."""
     key = F.coalesce(T.blank_to_null(F.col("reference")), F.col("offer_url"))
     df = table(spark, d, "offer_snapshots").select("offer_url", "content_hash", "id", key.alias("dedupe_key"))
-    return last_wins(df, F.col("dedupe_key"), "id")
+    return last_wins(df, F.col("dedupe_key"), "id", tie=F.col("offer_url"))
 
 
 @query("SELECT reference, min(id) AS id FROM offer_snapshots WHERE reference IS NOT NULL GROUP BY 1")
 def distinct_first_wins(spark, d):
     df = table(spark, d, "offer_snapshots").filter("reference IS NOT NULL").select("reference", "id")
-    return first_wins(df, F.col("reference"), "id")
+    return first_wins(df, F.col("reference"), "id", tie=F.col("reference"))
 
 
 _LAST_OK = "(SELECT id FROM runs WHERE source = 'cnrs' AND finished_at IS NOT NULL AND lower(trim(status_message)) = 'ok' ORDER BY started_at DESC, id DESC LIMIT 1)"
@@ -429,7 +429,7 @@ def page_counters(spark, d):
 # --- output rows -----------------------------------------------------------------------------------------
 
 
-NAMES, KINDS = {"cnrs": "CNRS", "anrt": "ANRT"}, {"entreprise": "ANRT entreprise", "laboratoire": "ANRT laboratoire"}
+NAMES, KINDS = {"cnrs": "Public research", "anrt": "Members"}, {"entreprise": "Company", "laboratoire": "Laboratory"}
 _JSON = "json_extract_string(source_specific, '$.{}')"
 _KIND = _JSON.format("anrt_kind")
 _ORIGIN = "CASE " + " ".join(f"WHEN source = 'anrt' AND {_KIND} = '{k}' THEN '{v}'" for k, v in KINDS.items()) + " ".join(f" WHEN source = '{k}' THEN '{v}'" for k, v in NAMES.items()) + " ELSE source END"
