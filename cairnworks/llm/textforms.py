@@ -15,11 +15,11 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# Letters of other scripts that look like Latin ones, in alphabetical order of the Latin letter.
+# Letters of other scripts (Greek, Cyrillic, Armenian, Cherokee, Lisu, Coptic) that look like Latin ones, in alphabetical order of the Latin letter.
 LOOKALIKES = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "Ԍ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ", "K": "ΚКᏦ",
-    "L": "Ꮮ", "M": "ΜМᎷ", "N": "Ν", "O": "ΟОՕ", "P": "ΡРᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ΤТᎢ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝꓝ", "G": "Ԍꓖ", "H": "ΗНᎻꓧⲎ", "I": "ΙІӀꓲ", "J": "ЈᎫꓙ", "K": "ΚКᏦꓗⲔ",
+    "L": "Ꮮꓡ", "M": "ΜМᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ΟОՕꓳⲞ", "P": "ΡРᏢꓑⲢ", "Q": "Ԛ", "R": "ꓣ", "S": "ЅՏᏚꓢ", "T": "ΤТᎢꓔⲦ", "U": "ꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ΧХꓫⲬ", "Y": "ΥҮꓬⲨ", "Z": "ΖᏃꓜ",
+    "a": "а", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօⲟ", "p": "рρⲣ",
     "q": "ԛ", "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уү",
     "ä": "ӓ", "ë": "ё", "ï": "ї", "ö": "ӧ", "è": "ѐ",
 }

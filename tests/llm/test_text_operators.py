@@ -1,20 +1,17 @@
-import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-if not os.path.isdir("/root/testdata"):
-    pytest.skip("no tables", allow_module_level=True)
-
-from cairnworks.llm import lookalikes, textforms as X  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
+from cairnworks.llm import lookalikes
+from cairnworks.llm import textforms as X
 
 
 @pytest.mark.parametrize(
     "text,form",
     [
         ("Dοctoral cοntract", "Doctoral contract"), ("ｉｎｇéｎｉｅｕｒ", "ingénieur"), ("e⁠̀", "è"), ("a  b", "a b"), ("ﬁn", "fin"),
-        ("α-stable", "α-stable"), ("Été", "Été"), ("x²", "x²"), ("THÈSE", "THÈSE"), ("it’s", "it’s"), ("", ""), (None, None), ("­​", ""),
+        ("α-stable", "α-stable"), ("Été", "Été"), ("x²", "x²"), ("THÈSE", "THÈSE"), ("it’s", "it’s"), ("", ""), (None, None), ("­​", ""), ("ꓝꓳꓑ Ⲏⲟ", "FOP Ho"),
     ],
 )
 def test_canonical(text, form):
