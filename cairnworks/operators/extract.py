@@ -45,10 +45,10 @@ def page_state(html: str | None, final_url: str | None = "") -> str:
 
 
 def page_states(html: Column, final_url: Column | None = None) -> Column:
-    """page_state as an expression."""
-    holds = lambda text, parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(text, p))
-    rules = [(F.coalesce(F.trim(html) == "", F.lit(True)), "empty"), *((holds(F.lower(html), phrases), state) for state, phrases in PAGE_STATES)]
-    return cascade(([(holds(F.lower(final_url), LOGOUT_URLS), "logged_out")] if final_url is not None else []) + rules, "record")
+    """page_state as an expression; the phrases of a state are one pattern, so that a page is lowered and read once per state."""
+    holds = lambda text, parts: F.lower(text).rlike("|".join(f"\\Q{p}\\E" for p in parts))
+    rules = [(F.coalesce(F.trim(html) == "", F.lit(True)), "empty"), *((holds(html, phrases), state) for state, phrases in PAGE_STATES)]
+    return cascade(([(holds(final_url, LOGOUT_URLS), "logged_out")] if final_url is not None else []) + rules, "record")
 
 
 def _text(e: Element | None) -> str | None:

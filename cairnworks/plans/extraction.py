@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.operators import extract as X
-from cairnworks.runtime import table
+from cairnworks.runtime import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,7 +43,7 @@ def _pages(spark, d) -> DataFrame:
         "</p></div><ul><li class='label'>", escaped("contract_type"), "<li class='label'>", escaped("duration"), "</ul></div><article><h1>", escaped("title"), "</h1></article><div class='card-dark'><h3>Lieu</h3><p>",
         escaped("location"), "</p></div><table><tr><th>Ref</th><td>", escaped("reference"), "</td></tr></table><h2>Skills</h2><p>", escaped("skills"), "</p><h2>Empty</h2></body></html>",
     )
-    return table(spark, d, "offers").select("url", html.alias("html"))
+    return spread(table(spark, d, "offers")).select("url", html.alias("html"))
 
 
 @query(f"SELECT url, {_clean('title')} AS title, {_clean('location')} AS place, {_clean('reference')} AS reference, {_clean('skills')} AS skills FROM offers")
@@ -103,7 +103,7 @@ _STATED = " OR ".join("contains(lower(title), '{}')".format(p.replace("'", "''")
 list_last(string_split(regexp_replace(url, '/+$', ''), '/')) AS last_part FROM offers WHERE {_clean('skills')} IS NOT NULL AND NOT ({_STATED})""")
 def member_details(spark, d):
     """Records of members' pages: fields by name, defaults, section by keyword."""
-    pages = table(spark, d, "offers").filter(F.trim(F.coalesce("skills", F.lit(""))) != "").select("url", _member_html().alias("payload"), F.lit("entreprise").alias("kind"))
+    pages = spread(table(spark, d, "offers")).filter(F.trim(F.coalesce("skills", F.lit(""))) != "").select("url", _member_html().alias("payload"), F.lit("entreprise").alias("kind"))
     rows = X.member_rows(pages).filter("state = 'record'")  # a page whose title is a message is none
     return rows.select("url", "title", "lab", "location", "duration", F.col("contract_type").alias("contract"), "description", F.element_at(F.split(F.regexp_replace("url", "/+$", ""), "/"), -1).alias("last_part"))
 

@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the session has cores, for work in Python.
+
+    A table of few files is dealt out once; one of many partitions, as any large table is, stays as it is. df must be a
+    scan with narrow steps only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of spark.checkpoint.dir; without one a session within one machine gets a folder of its own, a cluster an error."""
     sc = spark.sparkContext
