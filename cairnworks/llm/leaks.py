@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.textforms import words
+from cairnworks.runtime import spread
 
 SPAN = 13
 BLOCK_WORDS = 500_000
@@ -152,6 +153,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, span: int = SPAN, bu
     length = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-length // (4 * BLOCK_WORDS)))
     docs = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    docs = spread(docs)
     parts = []
     for b in range(blocks):
         held = [(r["item_id"], words(r["text"])) for r in sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.textforms import canonical, respaced
-from cairnworks.runtime import cut
+from cairnworks.runtime import cut, spread
 
 
 def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +36,7 @@ def _forms(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field_name, class, variant): digests of the canonical form and of the string."""
     long = rows.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
     texts = long.select("key", "x.field_name", "x.text").filter("key IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return cut(texts.mapInArrow(_form_batches, "key string, field_name string, class binary, variant binary").distinct())  # read twice by both forms below
+    return cut(spread(texts).mapInArrow(_form_batches, "key string, field_name string, class binary, variant binary").distinct())  # read twice by both forms below
 
 
 OF_CLASS = ["field_name", "class"]

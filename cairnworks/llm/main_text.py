@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairnworks.llm.pages import Lexicon, body_lines, read_page
 from cairnworks.llm.residue import holds_no_record, page_lexicon
+from cairnworks.runtime import spread
 
 
 def _body_batches(lexicon: Lexicon):
@@ -39,4 +40,4 @@ def main_lines(pages: DataFrame, key: str, title: str, raw: str, source: str) ->
     """(key, line_no, line) of the lines that belong to the record of the page."""
     lexicon = page_lexicon(pages, title, raw, source)
     texts = pages.select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(raw).alias("raw")).filter("key IS NOT NULL AND raw IS NOT NULL")
-    return texts.mapInArrow(_body_batches(lexicon), "key string, line_no int, line string")
+    return spread(texts).mapInArrow(_body_batches(lexicon), "key string, line_no int, line string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnworks.runtime import cut
+from cairnworks.runtime import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BUCKET_ROWS = 50_000
@@ -61,7 +61,7 @@ def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["doc_id", "source", "tokens"])
 
     docs = documents.select("doc_id", F.lower(F.trim("source")).alias("source"), "text").filter("doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counted = docs.mapInArrow(run, "doc_id long, source string, tokens long")
+    counted = spread(docs).mapInArrow(run, "doc_id long, source string, tokens long")
     return counted.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("x")).select("doc_id", "x.source", "x.tokens").filter("tokens > 0")
 
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.textforms import canonical
+from cairnworks.runtime import spread
 
 MIN_SHARE = 1e-4  # of all pages that a recurring line must be on, and at least MIN_PAGES
 MIN_PAGES = 3
@@ -336,20 +337,21 @@ def learned_lexicon(pages: DataFrame, title: str, raw: str, source: str, phrase=
     phrase: whether a line has a phrase of messages; it is asked for lines of bare pages and for titles, and decides on what recurs where the places alone do not.
     """
     texts = pages.select(F.col(title).alias("title"), F.col(raw).alias("raw"), F.col(source).alias("source")).filter("raw IS NOT NULL")
+    texts = spread(texts)
     total = texts.count()
     share = math.ceil(MIN_SHARE * total)
     n, bare, line, phrased = F.col("pages"), F.col("bare"), F.col("kind") == LINE, F.col("phrase") > 0
     least = F.when(phrased & (F.col("kind") != PAIR), max(MIN_PHRASED, share)).when(F.col("kind") == PAIR, max(MIN_PAGES, math.ceil(PAIR_SHARE * total))).otherwise(max(MIN_PAGES, share))
     inside = F.col("facts") + F.col("text") + F.col("list")
     several = F.col("s1") != F.col("s2")
-    spread = (inside > 0) & (inside - F.greatest("facts", "text", "list") >= SPREAD_SHARE * inside)
+    scattered = (inside > 0) & (inside - F.greatest("facts", "text", "list") >= SPREAD_SHARE * inside)
     rows = (
         texts.mapInArrow(_statistics_batches(phrase), STATISTICS)
         .groupBy("kind", "digest")
         .agg(*[F.sum(c).alias(c) for c in ("pages", *PLACES)], F.max("phrase").alias("phrase"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))
         .filter(n >= least)
         .withColumn("message", line & ((bare >= BARE_SHARE * n) & several | (bare >= BARE_PHRASE * n) & phrased))
-        .withColumn("link", line & ~F.col("message") & ((F.col("head") >= HEAD_SHARE * n) | (bare >= BESIDE_SHARE * n) & (bare < BARE_SHARE * n) | spread))
+        .withColumn("link", line & ~F.col("message") & ((F.col("head") >= HEAD_SHARE * n) | (bare >= BESIDE_SHARE * n) & (bare < BARE_SHARE * n) | scattered))
         .select(
             "digest", "message", "link", (line & ~F.col("message") & ~F.col("link") & (inside >= PLAIN_SHARE * n)).alias("plain"), (F.col("kind") == PAIR).alias("pair"),
             ((F.col("kind") == TITLE) & ((n >= BARE_TITLES) & (bare >= BARE_TITLE_SHARE * n) & several | phrased)).alias("title"),

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.textforms import folded, mapping
-from cairnworks.runtime import cut
+from cairnworks.runtime import cut, spread
 
 ROUNDS = 4
 HIGH = 0.7
@@ -388,7 +388,7 @@ def _fields(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 def personal_mentions(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field_name, pii_kind, mention), distinct."""
-    texts = _fields(rows, key, fields)
+    texts = spread(_fields(rows, key, fields))
     patterns = scored_patterns(texts.select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +404,7 @@ def personal_mentions(rows: DataFrame, key: str, fields: list[str]) -> DataFrame
 
 def masked_fields(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field_name, text) with typed placeholders for all mentions."""
-    texts = _fields(rows, key, fields)
+    texts = spread(_fields(rows, key, fields))
     patterns = scored_patterns(texts.select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

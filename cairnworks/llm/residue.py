@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cairnworks.llm.pages import Lexicon, Page, learned_lexicon, line_digest, read_page
 from cairnworks.llm.textforms import canonical
+from cairnworks.runtime import spread
 
 _FIELD = r"[A-Za-zÀ-ÿ]\w*(?:[._-]\w+)+"  # a name of parts: nom_labo, offer.location
 _CAPS = r"[A-ZÀ-Ý]{2,}(?:[_. ][A-ZÀ-Ý]+)*"
@@ -141,4 +142,4 @@ def residue_fields(pages: DataFrame, key: str, title: str, raw: str, source: str
     """(key, field_name) of the fields without real content."""
     lexicon = page_lexicon(pages, title, raw, source)
     texts = pages.select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(raw).alias("raw")).filter("key IS NOT NULL")
-    return texts.mapInArrow(_residue_batches(lexicon), "key string, field_name string").distinct()
+    return spread(texts).mapInArrow(_residue_batches(lexicon), "key string, field_name string").distinct()
