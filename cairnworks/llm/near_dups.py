@@ -34,7 +34,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnworks.llm.textforms import canonical, words
@@ -261,6 +261,15 @@ def _spread(reps: DataFrame, trees: range) -> DataFrame:
     return reps.select(F.explode(own).alias("node"), "id", *[F.col("near")[i].alias(f"s{i}") for i in range(NEAR // 32)])
 
 
+def _in_nodes(rows: DataFrame) -> DataFrame:
+    """The rows of nodes of two members and more, sorted by node, all of a node in one task.
+
+    A window asks for that, which no plan may undo. repartition does not: behind a join by node it is dropped, and the
+    join's own exchange may then be read by mapper, or a skewed part of it in pieces, which tears nodes apart.
+    """
+    return rows.withColumn("members", F.count("*").over(Window.partitionBy("node"))).filter("members > 1").drop("members")
+
+
 def _level_pairs(reps: DataFrame, trees: int, threshold: float, crowd: int) -> DataFrame:
     """(a, b) near pairs of nodes that are not crowded; (id, null) the members of those that are."""
     # nodes that are sure to be crowded never reach one task: rows of a batch are counted first, so at most rows * trees / MANY_IN_A_BATCH of these move
@@ -269,7 +278,7 @@ def _level_pairs(reps: DataFrame, trees: int, threshold: float, crowd: int) -> D
     for block in [range(i, min(i + BLOCK_TREES, trees)) for i in range(0, trees, BLOCK_TREES)]:
         rows = _spread(reps, block)
         others = rows.join(hot, "node", "left_anti") if some_hot else rows
-        pairs = others.repartition("node").sortWithinPartitions("node").mapInArrow(_node_batches(threshold, crowd), "a long, b long")
+        pairs = _in_nodes(others).mapInArrow(_node_batches(threshold, crowd), "a long, b long")
         if some_hot:
             pairs = pairs.unionByName(rows.join(hot, "node").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b")))
         found.append(cut_freed(pairs.distinct()))
@@ -317,7 +326,7 @@ def _last_pairs(reps: DataFrame, trees: int, threshold: float, crowd: int) -> Da
     for block in [range(i, min(i + BLOCK_TREES, trees)) for i in range(0, trees, BLOCK_TREES)]:
         rows = _spread(reps, block)
         large = cut(rows.groupBy("node").count().filter(F.col("count") > crowd).select("node", F.ceil(F.col("count") / (crowd // 2)).cast("long").alias("blocks")))
-        small = rows.join(large, "node", "left_anti").repartition("node").sortWithinPartitions("node")
+        small = _in_nodes(rows.join(large, "node", "left_anti"))
         halved = rows.join(large, "node").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
         sent = halved.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         order = [F.col("node"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]

@@ -105,3 +105,26 @@ def test_pairs_near_the_threshold_are_found_beside_a_hot_group(spark):
     rnd.shuffle(rows)
     pairs = {tuple(r) for r in N.near_duplicate_pairs(spark.createDataFrame(rows, "url string, t string"), "url", F.col("t"), n=3, threshold=0.5).collect()}
     assert want <= pairs and len(pairs) == 40 + 200 * 199 // 2
+
+
+def test_nodes_stay_whole_however_the_hot_ones_are_joined(spark):
+    """A join planned by sorting that turns into a broadcast when it runs, or is split for skew, must not tear nodes apart."""
+    rows = [(i, [0 if i < 60 else 1 + i % 90, 1000 + i], [0] * (N.NEAR // 32)) for i in range(600)]  # node 0 is hot
+    reps = spark.createDataFrame(rows, "id long, nodes array<long>, near array<long>").repartition(6, "id")
+    small = {(i, j) for i in range(60, 600) for j in range(i + 1, 600) if i % 90 == j % 90}
+    hot = {(i, j) for i in range(60) for j in range(i + 1, 60)}
+    sorting = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
+    skewed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.5",
+    }
+    for plan in (sorting, skewed):
+        for name, value in plan.items():
+            spark.conf.set(name, value)
+        try:
+            level = {tuple(r) for r in N._level_pairs(reps, 2, 0.5, 10).collect()}
+            last = {tuple(r) for r in N._last_pairs(reps, 2, 0.5, 10).collect()}
+        finally:
+            for name in plan:
+                spark.conf.unset(name)
+        assert level == small | {(i, None) for i in range(60)} and last == small | hot
