@@ -47,6 +47,17 @@ def test_reading_levels_of_a_table(spark):
     assert L.reading_levels(df.filter("false"), labels).count() == 0
 
 
+def test_all_labelled_documents_are_fitted(spark):
+    """More labelled documents and words than were once read: the words of all of them are known to the models."""
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, text(rnd, i % 3 + 1, 25 if i % 3 else 40) + f" Seul mot{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} ici.") for i in range(3300)], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, i % 3 + 1) for i in range(3300)], "doc_id long, reading_level int")
+    reader = L.fitted_grader(docs, labels).reader
+    assert reader.size == 2 + len(EASY) + len(WORK) + len(HARD) + 2 + 3300
+    whole = sum(len(s) for r in docs.collect() for s in L.sentences(r["text"]))
+    assert reader.totals.sum() == whole > 600_000
+
+
 @pytest.fixture
 def mix(spark, monkeypatch):
     monkeypatch.setattr(M, "BUCKET_ROWS", 40)
